@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filters
+from . import fingerprints, line_dedup, mixing, sharding, url_filters
 
 
 def queries() -> dict:
-    found = (mixing.op2_mixing, sharding.op5_sharding, url_filters.op6_url_filters)
+    found = (mixing.op2_mixing, fingerprints.op3_fingerprints, line_dedup.op4_line_dedup, sharding.op5_sharding, url_filters.op6_url_filters)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL}
