@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing, sharding, url_filters
+from . import fingerprints, line_dedup, mixing, near_dup, sharding, url_filters
 
 
 def queries() -> dict:
-    found = (mixing.op2_mixing, fingerprints.op3_fingerprints, line_dedup.op4_line_dedup, sharding.op5_sharding, url_filters.op6_url_filters)
+    found = (mixing.op2_mixing, fingerprints.op3_fingerprints, line_dedup.op4_line_dedup, sharding.op5_sharding, url_filters.op6_url_filters, near_dup.op7_near_dup)
     return {f.__name__: f for f in found}
 
 
