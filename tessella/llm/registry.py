@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, line_dedup, lm_scoring, mixing, near_dup, sharding, url_filters
+from . import decontaminate, fingerprints, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, url_filters
 
 
 def queries() -> dict:
-    found = (mixing.op2_mixing, fingerprints.op3_fingerprints, line_dedup.op4_line_dedup, sharding.op5_sharding, url_filters.op6_url_filters, near_dup.op7_near_dup, lm_scoring.op9_lm_scoring, decontaminate.op10_decontaminate)
+    found = (quality.op1_quality, mixing.op2_mixing, fingerprints.op3_fingerprints, line_dedup.op4_line_dedup, sharding.op5_sharding, url_filters.op6_url_filters, near_dup.op7_near_dup, lm_scoring.op9_lm_scoring, decontaminate.op10_decontaminate)
     return {f.__name__: f for f in found}
 
 
