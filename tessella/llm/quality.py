@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Stash, batches_of_rows, documents, mix64
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 8, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 HIDDEN, SAMPLE, EPOCHS, SEED = 32, 12_000, 40, 7
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -56,7 +56,7 @@ class Buckets(dict):
 
 def index_vectors() -> np.ndarray:
     """BUCKETS x DIM of -1, 0 and 1, NONZERO draws a row."""
-    out = np.zeros((BUCKETS, DIM), np.int8)
+    out = np.zeros((BUCKETS, DIM), np.float32)
     rows = np.arange(BUCKETS, dtype=np.uint64)
     for k in range(NONZERO):
         x = mix64(rows * np.uint64(NONZERO) + np.uint64(k + 1))
@@ -64,15 +64,12 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def _neighbours(flat: np.ndarray, doc: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each token the sum of the index vectors around it in its document."""
-    own = index[flat].astype(np.float32)
+def _neighbours(own: np.ndarray) -> np.ndarray:
+    """For each row of a document's index vectors the sum of those around it."""
     out = np.zeros_like(own)
-    for step in range(1, WINDOW + 1):
-        if len(flat) > step:
-            same = (doc[step:] == doc[:-step])[:, None]
-            out[step:] += own[:-step] * same
-            out[:-step] += own[step:] * same
+    for step in range(1, min(WINDOW, len(own) - 1) + 1):
+        out[step:] += own[:-step]
+        out[:-step] += own[step:]
     return out
 
 
@@ -82,10 +79,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     used = np.zeros(BUCKETS, np.int64)
     for batch in batches_of_rows(batches, 64):
         flat, n = seen.of(batch.column(0).to_pylist())
-        near = _neighbours(flat, np.repeat(np.arange(len(n)), n), index)
+        ends = np.cumsum(n).tolist()
+        near = [_neighbours(index[flat[a:b]]) for a, b in zip([0, *ends], ends, strict=False) if b > a]
+        if not near:
+            continue
+        near = np.ascontiguousarray(np.concatenate(near).T, np.float64)
         used += np.bincount(flat, minlength=BUCKETS)
         for d in range(DIM):
-            total[d] += np.bincount(flat, weights=near[:, d], minlength=BUCKETS)
+            total[d] += np.bincount(flat, weights=near[d], minlength=BUCKETS)
     at = np.flatnonzero(used)
     for k in range(0, len(at), 4096):
         part = at[k : k + 4096]
@@ -112,20 +113,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pooled(flat: np.ndarray, n: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """len(n) x 3 DIM features."""
     out = np.zeros((len(n), 3 * DIM), np.float32)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    size = n[full, None].astype(np.float32)
-    starts = (np.cumsum(n) - n)[full]
-    own = vectors[flat]
-    mean = np.add.reduceat(own, starts, axis=0) / size
-    square = np.add.reduceat(own * own, starts, axis=0) / size
-    step = np.zeros_like(own)
-    step[1:] = np.abs(own[1:] - own[:-1])
-    step[starts] = 0
-    out[full, :DIM] = mean
-    out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
-    out[full, 2 * DIM :] = np.add.reduceat(step, starts, axis=0) / np.maximum(size - 1, 1)
+    ends = np.cumsum(n).tolist()
+    for row, a, b in zip(out, [0, *ends], ends, strict=False):
+        if b > a:
+            own = vectors[flat[a:b]]
+            mean = np.add.reduce(own, axis=0) / (b - a)
+            row[:DIM] = mean
+            row[DIM : 2 * DIM] = np.sqrt(np.maximum(np.einsum("ij,ij->j", own, own) / (b - a) - mean * mean, 0))
+            row[2 * DIM :] = np.add.reduce(np.abs(own[1:] - own[:-1]), axis=0) / max(b - a - 1, 1)
     return out
 
 
