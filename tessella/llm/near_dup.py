@@ -180,6 +180,10 @@ def links(docs: DataFrame, members: DataFrame, words: int, least: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, m: int = POSITIONS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
+    return _grouped(docs, words, least, m, rows).drop("s1", "s2")
+
+
+def _grouped(docs: DataFrame, words: int, least: int, m: int, rows: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sig = Stash(signed(docs, words, m, rows), "signatures").df
     classes = Stash(
@@ -190,7 +194,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, m: int = P
     named = Stash(classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp")), "class-components").df
     out = sig.drop("bands").join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", comp.alias("component_id"), "s1", "s2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, least: int = 80) -> DataFrame:
+    """docs, with all columns, without the rows whose component has a smaller doc_id. Rows that
+    share the kept doc_id and their text stay once; rows without a doc_id stay unless linked
+    to one with; documents without words all stay."""
+    found = Stash(_grouped(docs, words, least, POSITIONS, ROWS), "near-duplicates").df
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone.select(F.col("doc_id").alias("near_dup_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("near_dup_id")), "left_anti")
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("near_dup_id"))
+    if repeated.isEmpty():
+        return left
+    many = F.col("doc_id").cast("long").eqNullSafe(F.col("near_dup_id"))
+    return left.join(repeated, many, "left_anti").unionByName(left.join(repeated, many, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
