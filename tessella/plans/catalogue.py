@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import color_queries, stat_queries, stencil_queries  # noqa: F401  they register themselves
+from . import color_queries, composite_queries, stat_queries, stencil_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 
