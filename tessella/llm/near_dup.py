@@ -6,12 +6,12 @@ lie in [j, j+1), a document whose positions are all filled after some level is f
 stop after one. Levels are run over all documents of a batch at once.
 
 Documents with equal shingle sets form a class, grouped by a 128-bit hash, and only class
-representatives (least doc_id) go on. Bands of the signature give buckets. In each bucket the
-first member is compared with all others; links are confirmed on the full sets and grouped.
-Buckets whose members are still in different components go on with the next heads, 15, 240 and
-so on at a time, each compared with the members after it in other components, until every
-candidate pair has been linked, found to be in one component, or refuted: no pairs within a
-group of copies, and no link lost to a cap.
+representatives (least doc_id) go on. Bands of the signature give buckets. The first member
+of a bucket is its pivot and is compared with all others on the full sets; links are grouped.
+Two members of a pivot that are still in different components are compared too, unless the
+differences from the pivot refute a link (see ``unrefuted``). So every pair that shares a
+bucket is linked, in one component, or refuted: no pairs within a group of copies, and no
+link lost to a cap.
 
 Sets are compared as sorted arrays of 64-bit shingle hashes.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stash, WordHashes, batches_of_rows, documents, mix64, shingle_set
@@ -113,69 +113,86 @@ def _sets(words: int):
     return run
 
 
-def _confirm(least: int):
+_COMPARED = "a long, b long, linked boolean, n_a long, n_b long, diff array<long>"
+
+
+def _compare(least: int, with_diff: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of_rows(batches, 500):
-            ok_a, ok_b = [], []
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            linked, n_a, n_b, diff = [], [], [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                both = int(np.count_nonzero(v[np.minimum(at, len(v) - 1)] == u)) if len(u) else 0
-                if 100 * both >= least * (len(u) + len(v) - both):
-                    ok_a.append(a)
-                    ok_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ok_a, pa.int64()), pa.array(ok_b, pa.int64())], names=["a", "b"])
+                apart = np.setxor1d(u, v, assume_unique=True)
+                both = (len(u) + len(v) - len(apart)) // 2
+                linked.append(100 * both >= least * (len(u) + len(v) - both))
+                n_a.append(len(u))
+                n_b.append(len(v))
+                diff.append(apart.view(np.int64) if with_diff else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["a", "b", "linked", "n_a", "n_b", "diff"]
+            )
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, least: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets have 100 * intersection >= least * union.
+def compared(sets: DataFrame, pairs: DataFrame, least: int, with_diff: bool) -> DataFrame:
+    """Each of pairs (a, b) with whether 100 * intersection >= least * union, the sets' sizes
+    and, with_diff, their symmetric difference.
 
     b's set travels to the pair; a's set, which may serve very many pairs, is copied once per
     PER_TASK of them, and the pairs are salted alike.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).join(ids, "doc_id", "left_semi")
-    sets = Stash(texts.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets").df
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
     salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     hubs = sets.join(parts, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("x"))
     with_b = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(hubs, ["a", "salt"]).select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(least), "a long, b long").distinct()
+    return both.mapInArrow(_compare(least, with_diff), _COMPARED)
+
+
+def unrefuted(star: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) of members of one pivot, in different components, that may be linked.
+
+    star holds each member's difference D from its pivot (a: pivot, b: member). Members u, v
+    differ by |D_u| + |D_v| - 2 |D_u and D_v| shingles, and what only one member of the pivot
+    has in its D is in no intersection: with c the rest of D, they differ by at least
+    |D_u| + |D_v| - 2 min(c_u, c_v). Independent edits are such elements, so of a large group
+    of copies with different edits hardly a pair is left to compare. The bound is tried on
+    the distinct sizes of a pivot's members first, whose number doesn't grow with the group.
+    """
+    comp = lambda c, name: labels.select(F.col("node").alias(c), F.col("comp").alias(name))
+    known = star.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
+    known = known.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    open_ = known.where("ca <> cb").select("a").distinct()
+    rows = Stash(known.join(open_, "a", "left_semi").select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("open"), F.col("n_b").alias("n"), F.size("diff").alias("d"), "diff"), "open").df
+    alone = rows.select("a", "b", F.explode("diff").alias("e")).groupBy("a", "e").agg(F.count(F.lit(1)).alias("k"), F.min("b").alias("b")).where("k = 1")
+    own = alone.groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+    sized = Stash(rows.drop("diff").join(own, ["a", "b"], "left").withColumn("c", F.col("d") - F.coalesce("own", F.lit(0))).drop("own"), "sized").df
+    left = sized.where("open").select("a", *[F.col(k).alias(f"{k}_l") for k in ("b", "cb", "n", "d", "c")])
+    right = sized.select("a", *[F.col(k).alias(f"{k}_r") for k in ("b", "cb", "open", "n", "d", "c")])
+    apart = F.col("d_l") + F.col("d_r") - 2 * F.least("c_l", "c_r")
+    fits = (100 + least) * apart <= (100 - least) * (F.col("n_l") + F.col("n_r"))
+    kinds = left.select("a", "n_l", "d_l", "c_l").distinct().join(right.select("a", "n_r", "d_r", "c_r").distinct(), "a").where(fits)
+    some = left.join(kinds, ["a", "n_l", "d_l", "c_l"])
+    pairs = some.join(right, ["a", "n_r", "d_r", "c_r"]).where((F.col("cb_l") != F.col("cb_r")) & (~F.col("open_r") | (F.col("b_l") < F.col("b_r"))))
+    return pairs.select(F.least("b_l", "b_r").alias("a"), F.greatest("b_l", "b_r").alias("b")).distinct()
 
 
 def links(docs: DataFrame, members: DataFrame, words: int, least: int) -> DataFrame:
-    """(node, comp) of class representatives with links; members: (bucket, node, n)."""
-    close = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * least  # noqa: E731  sizes further apart can't be similar enough
-    heads = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = Stash(members.join(heads, "bucket"), "buckets").df
-    pairs = Stash(shared.where(F.col("node") != F.col("head.node")).where(close(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs").df
-    edges = Stash(verified(docs, pairs, words, least), "links").df
+    """(node, comp) of class representatives with links; members: (bucket, node)."""
+    heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    star = Stash(members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs").df
+    ids = star.select(F.col("a").alias("doc_id")).unionAll(star.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).join(ids, "doc_id", "left_semi")
+    sets = Stash(texts.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets").df
+    seen = Stash(compared(sets, star, least, True), "star").df
+    edges = seen.where("linked").select("a", "b")
     labels = components(edges)
-    ranked, start, span = None, 1, 15
-    while True:
-        rows = shared.select("bucket", "node", "n") if ranked is None else ranked
-        now = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("of")).where((F.col("lo") < F.col("hi")) & (F.col("of") > 2) & (F.col("of") > start + 1))
-        open_rows = now.join(mixed.select("bucket"), "bucket", "left_semi")
-        if ranked is None:
-            open_rows = open_rows.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")) - 1)
-        stage = Stash(open_rows, "open").df
-        if stage.isEmpty():
-            return labels
-        ranked = stage.drop("comp")
-        head = stage.where((F.col("rank") >= start) & (F.col("rank") < start + span)).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("r_a"), F.col("comp").alias("c_a"))
-        more = stage.join(head, "bucket").where((F.col("rank") > F.col("r_a")) & (F.col("comp") != F.col("c_a")) & close(F.col("n"), F.col("n_a")))
-        fresh = Stash(more.select("a", F.col("node").alias("b")).distinct(), "pairs").df
-        start, span = start + span, span * 16
-        if fresh.isEmpty():
-            continue
-        edges = Stash(edges.unionAll(verified(docs, fresh, words, least)), "links").df
-        labels = components(edges)
+    more = Stash(unrefuted(seen, labels, least), "pairs").df
+    if more.isEmpty():
+        return labels
+    found = compared(sets, more, least, False).where("linked").select("a", "b")
+    return components(edges.unionAll(found))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, m: int = POSITIONS, rows: int = ROWS) -> DataFrame:
@@ -187,9 +204,9 @@ def _grouped(docs: DataFrame, words: int, least: int, m: int, rows: int) -> Data
     docs = docs.select("doc_id", "text")
     sig = Stash(signed(docs, words, m, rows), "signatures").df
     classes = Stash(
-        sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
+        sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes"
     ).df
-    members = classes.where(F.col("node").isNotNull()).select(F.explode("bands").alias("bucket"), "node", "n").dropDuplicates(["bucket", "node"])
+    members = classes.where(F.col("node").isNotNull()).select(F.explode("bands").alias("bucket"), "node").distinct()
     labels = links(docs, members, words, least)
     named = Stash(classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp")), "class-components").df
     out = sig.drop("bands").join(named, ["s1", "s2"], "left")
