@@ -5,14 +5,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # sRGB primaries and D65 white, and the CIE constants.
 WHITE = (0.95047, 1.0, 1.08883)
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
-FROM_XYZ = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
 EPSILON, KAPPA = 216 / 24389, 24389 / 27
+#: The inverse of TO_XYZ, so that a colour survives the way there and back.
+FROM_XYZ = tuple(tuple(float(v) for v in row) for row in np.linalg.inv(np.array(TO_XYZ)))
 
 # The colormap's polynomial, lowest power first, for r, g and b.
 TURBO = (

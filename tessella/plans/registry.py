@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.color import FROM_XYZ
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,7 +54,7 @@ def rgb_ctes(source: str, out: str) -> str:
     enc = lambda c: f"CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 255 * CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92::DOUBLE ELSE pow(greatest({c}, 0.0::DOUBLE), 1 / 2.4::DOUBLE) * 1.055::DOUBLE - 0.055::DOUBLE END)) + 5e-7) AS INT)"
     return f"""{out}_1 AS (SELECT *, (l + 16) / 116 AS fy FROM {source}),
 {out}_2 AS (SELECT *, {xyz("(fy + la / 500)", 0.95047)} AS q1, {xyz("fy", 1.0)} AS q2, {xyz("(fy - lb / 200)", 1.08883)} AS q3 FROM {out}_1),
-{out}_3 AS (SELECT *, q1 * 3.2404542::DOUBLE + q2 * -1.5371385::DOUBLE + q3 * -0.4985314::DOUBLE AS k1, q1 * -0.9692660::DOUBLE + q2 * 1.8760108::DOUBLE + q3 * 0.0415560::DOUBLE AS k2, q1 * 0.0556434::DOUBLE + q2 * -0.2040259::DOUBLE + q3 * 1.0572252::DOUBLE AS k3 FROM {out}_2),
+{out}_3 AS (SELECT *, {", ".join(f"q1 * {m[0]!r}::DOUBLE + q2 * {m[1]!r}::DOUBLE + q3 * {m[2]!r}::DOUBLE AS k{i + 1}" for i, m in enumerate(FROM_XYZ))} FROM {out}_2),
 {out} AS (SELECT * EXCLUDE (fy, q1, q2, q3, k1, k2, k3), {enc("k1")} AS nr, {enc("k2")} AS ng, {enc("k3")} AS nb FROM {out}_3)"""
 
 
