@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +127,63 @@ def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts, nulls as text; the same in every engine."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+class IdFilter:
+    """A Bloom filter of longs, at most MAX_BITS, so that it may be broadcast whatever their
+    number: with very many ids it lets more through."""
+
+    BLOCKS, PROBES, PER_ID, MAX_BITS = 64, 4, 16, 1 << 27
+
+    def __init__(self, bits: np.ndarray, block_bits: int, tight: bool):
+        #: tight: there are PER_ID bits or more per id
+        self.bits, self.block_bits, self.tight = bits, block_bits, tight
+
+    @staticmethod
+    def _block(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(58)).astype(np.int64)
+
+    @classmethod
+    def _positions(cls, h: np.ndarray, block_bits: int) -> Iterator[np.ndarray]:
+        low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(26)) | np.uint64(1)
+        for k in range(cls.PROBES):
+            yield ((low + np.uint64(k) * high) % np.uint64(block_bits)).astype(np.int64)
+
+    @classmethod
+    def build(cls, ids: DataFrame) -> IdFilter:
+        """From a DataFrame with one column of longs. Each block is filled by one task."""
+        n = ids.count()
+        bits = min(cls.MAX_BITS, 1 << max(13, (n * cls.PER_ID).bit_length()))
+        block_bits = bits // cls.BLOCKS
+
+        def deal(batches: Iterator) -> Iterator:
+            for b in batches:
+                x = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cls._block(mix64(x.view(np.uint64))).astype(np.int32)), pa.array(x)], names=["block", "id"])
+
+        def fill(batches: Iterator) -> Iterator:
+            full: dict[int, np.ndarray] = {}
+            for b in batches:
+                h = mix64(b.column(1).to_numpy().astype(np.int64).view(np.uint64))
+                block = cls._block(h)
+                for k in np.unique(block):
+                    own = full.setdefault(int(k), np.zeros(block_bits, bool))
+                    for at in cls._positions(h[block == k], block_bits):
+                        own[at] = True
+            for k, own in full.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["block", "bits"])
+
+        filled = ids.where(F.col(ids.columns[0]).isNotNull()).mapInArrow(deal, "block int, id long").repartition("block").mapInArrow(fill, "block int, bits binary")
+        out, size = np.zeros(bits // 8, np.uint8), block_bits // 8
+        for row in filled.toLocalIterator():  # BLOCKS rows
+            out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        return cls(out, block_bits, n * cls.PER_ID <= bits)
+
+    def maybe(self, ids: np.ndarray) -> np.ndarray:
+        """False only for ids that were not put in."""
+        h = mix64(ids.astype(np.int64).view(np.uint64))
+        base, ok = self._block(h) * self.block_bits, np.ones(len(h), bool)
+        for at in self._positions(h, self.block_bits):
+            at = base + at
+            ok &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return ok

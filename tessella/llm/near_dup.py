@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, WordHashes, batches_of_rows, documents, mix64, shingle_set
+from .common import IdFilter, Stash, WordHashes, batches_of_rows, documents, mix64, shingle_set
 from .components import components
 
 POSITIONS, ROWS = 80, 4
@@ -103,10 +104,11 @@ def signed(docs: DataFrame, words: int, m: int = POSITIONS, rows: int = ROWS) ->
     return thin.mapInArrow(_sign(words, m, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
-def _sets(words: int):
+def _sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         for batch in batches_of_rows(batches, 500):
+            batch = batch.filter(pa.array(wanted.value.maybe(pc.fill_null(batch.column(0), 0).to_numpy())))
             sets = [shingle_set(seen.of((t or b"").lower().split()), words).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
@@ -183,8 +185,16 @@ def links(docs: DataFrame, members: DataFrame, words: int, least: int) -> DataFr
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     star = Stash(members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs").df
     ids = star.select(F.col("a").alias("doc_id")).unionAll(star.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary")).join(ids, "doc_id", "left_semi")
-    sets = Stash(texts.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets").df
+    ids = Stash(ids, "ids").df
+    # sets are made only for rows that a bounded Bloom filter of the ids lets through, so that the
+    # texts needn't be shuffled; a set too many finds no pair. Where there are more ids than the
+    # filter is made for, a join makes the choice exact.
+    wanted = docs.sparkSession.sparkContext.broadcast(IdFilter.build(ids))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
+    sets = texts.mapInArrow(_sets(words, wanted), "doc_id long, shingles binary")
+    if not wanted.value.tight:
+        sets = sets.join(ids, "doc_id", "left_semi")
+    sets = Stash(sets, "sets").df
     seen = Stash(compared(sets, star, least, True), "star").df
     edges = seen.where("linked").select("a", "b")
     labels = components(edges)
