@@ -229,14 +229,37 @@ def distinct_documents(docs: DataFrame, words: int = 5, least: int = 80) -> Data
     share the kept doc_id and their text stay once; rows without a doc_id stay unless linked
     to one with; documents without words all stay."""
     found = Stash(_grouped(docs, words, least, POSITIONS, ROWS), "near-duplicates").df
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone.select(F.col("doc_id").alias("near_dup_id")), F.col("doc_id").cast("long").eqNullSafe(F.col("near_dup_id")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("near_dup_id"))
-    if repeated.isEmpty():
-        return left
-    many = F.col("doc_id").cast("long").eqNullSafe(F.col("near_dup_id"))
-    return left.join(repeated, many, "left_anti").unionByName(left.join(repeated, many, "left_semi").dropDuplicates(["doc_id", "text"]))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("n_id")).distinct()
+    rows = docs.select(F.struct("*").alias("n_row"), F.col("doc_id").cast("long").alias("n_doc"), F.col("text").alias("n_text"))
+    same = F.col("n_doc").eqNullSafe(F.col("n_id"))
+    left = rows.join(gone, same, "left_anti")
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("n_id"))
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["n_doc", "n_text"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select("n_row.*")
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, least=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list(g) AS g, count(*) AS n FROM (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)
+  ) GROUP BY doc_id
+), e AS (
+  SELECT doc_id, n, unnest(g) AS g FROM s
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT x.b, r.root FROM reach r JOIN both_ways x ON x.a = r.node WHERE r.root < x.b
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
+FROM d JOIN reach r ON r.node = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
