@@ -11,7 +11,8 @@ all of them; none that repeats is ever lost.
 Pass 2 groups exactly, by 128 bits (minimizer and window hash), the windows estimated repeated
 and finds those that start in a document with a smaller doc_id. Consecutive windows with one
 minimizer are one row. Minimizers that hold more than 1 / HEAVY of all rows, HEAVY at most, are
-grouped by partial aggregation and joined back (splittable); the others are dealt by minimizer.
+first resolved within each batch of rows, which leaves a row per batch and window; those are
+grouped by partial aggregation and joined back (splittable). The others are dealt by minimizer.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; a
 null doc_id comes after all others; rows that share a doc_id never remove each other's words;
@@ -33,7 +34,8 @@ from .common import Stash, WordHashes, batches_of_rows, documents, mix64, ngram_
 
 WINDOW, K = 13, 5
 SKETCH_BITS, DEPTH, PAGES = 1 << 28, 2, 256
-HEAVY = 2000
+#: A minimizer is heavy with more rows than HEAVY_ROWS, which one task holds with ease, and 1 / HEAVY of all.
+HEAVY, HEAVY_ROWS = 2000, 20_000
 _PAGE = SKETCH_BITS // PAGES
 _CODEC = pa.Codec("zstd")
 
@@ -173,36 +175,59 @@ def _candidates(sketch, window: int):
 _GONE = "doc long, th int, start int, size int"
 
 
-def _resolve(table: pa.Table) -> pa.RecordBatch:
-    """The removed windows of whole groups of minimizers, as runs."""
+def _flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Per window of the table's rows: m, w, doc, th, start, the row, and whether the same
+    window is in a row with a smaller doc."""
     lists = table.column("w").combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
     size = np.diff(lists.offsets.to_numpy())
     w = lists.flatten().to_numpy()
     row = np.repeat(np.arange(table.num_rows), size)
-    m, doc = table.column("m").to_numpy()[row], table.column("doc").to_numpy()[row]
-    at = table.column("pos").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    m, doc, th = (table.column(c).to_numpy()[row] for c in ("m", "doc", "th"))
+    start = table.column("pos").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     order = np.lexsort((doc, w, m))
     new = np.ones(len(order), bool)
     new[1:] = (m[order][1:] != m[order][:-1]) | (w[order][1:] != w[order][:-1])
     first = doc[order][new][np.cumsum(new) - 1]
     gone = np.zeros(len(order), bool)
     gone[order] = doc[order] > first
+    return m, w, doc, th, start, row, gone
+
+
+def _gone_runs(flat: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    """The removed windows as runs: doc, th, start, size."""
+    _, _, doc, th, start, row, gone = flat
     hit = np.flatnonzero(gone)
     head = np.ones(len(hit), bool)
     head[1:] = (row[hit][1:] != row[hit][:-1]) | (np.diff(hit) != 1)
-    starts = np.flatnonzero(head)
-    rows = row[hit][starts]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(table.column("doc").to_numpy()[rows], pa.int64()),
-            pa.array(table.column("th").to_numpy()[rows], pa.int32()),
-            pa.array(at[hit][starts], pa.int32()),
-            pa.array(np.diff(starts, append=len(hit)), pa.int32()),
-        ],
-        names=["doc", "th", "start", "size"],
-    )
+    at = np.flatnonzero(head)
+    where = hit[at]
+    return [pa.array(doc[where], pa.int64()), pa.array(th[where], pa.int32()), pa.array(start[where], pa.int32()), pa.array(np.diff(at, append=len(hit)), pa.int32())]
+
+
+def _resolve(table: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(_gone_runs(_flat(table)), names=["doc", "th", "start", "size"])
+
+
+_HALF = _GONE + ", m long, w long"
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch: what its own rows already remove, as runs, and for each window only the
+    rows with the least doc (m and w set), to be resolved over all batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flat = _flat(pa.Table.from_batches([batch]))
+        runs = _gone_runs(flat)
+        m, w, doc, th, start, _, gone = flat
+        left = ~gone
+        n, k = len(runs[0]), int(left.sum())
+        own = [doc[left], th[left].astype(np.int32), start[left].astype(np.int32), np.ones(k, np.int32)]
+        columns = [pa.concat_arrays([a, pa.array(b, a.type)]) for a, b in zip(runs, own, strict=True)]
+        keys = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c[left], pa.int64())]) for c in (m, w)]
+        yield pa.RecordBatch.from_arrays([*columns, *keys], names=["doc", "th", "start", "size", "m", "w"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +247,20 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _resolve(held)
 
 
-def removed_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed_windows(rows: DataFrame, window: int = WINDOW, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(doc, th, start, size): runs of windows of rows (doc, text) that also start in a row
-    with a smaller doc."""
+    with a smaller doc. A minimizer of up to heavy_rows rows is never heavy."""
     spark = rows.sparkSession
     sketch = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), window))
     runs = Stash(rows.mapInArrow(_candidates(sketch, window), _RUNS), "windows").df
     total = runs.count()
-    heavy = Stash(runs.groupBy("m").count().where(F.col("count") > max(1000, total // HEAVY)).select("m"), "heavy").df  # at most HEAVY rows
+    heavy = Stash(runs.groupBy("m").count().where(F.col("count") > max(heavy_rows, total // HEAVY)).select("m"), "heavy").df  # at most HEAVY rows
     light = runs.join(F.broadcast(heavy), "m", "left_anti").repartition("m").sortWithinPartitions("m").mapInArrow(_groups, _GONE)
-    each = runs.join(F.broadcast(heavy), "m", "left_semi").select("m", "doc", "th", "pos", F.posexplode("w").alias("off", "w"))
-    least = each.groupBy("m", "w").agg(F.min("doc").alias("least"))
-    hot = each.join(least, ["m", "w"]).where(F.col("doc") > F.col("least")).select("doc", "th", (F.col("pos") + F.col("off")).alias("start"), F.lit(1).alias("size"))
-    return light.unionByName(hot)
+    half = Stash(runs.join(F.broadcast(heavy), "m", "left_semi").select("m", "doc", "th", "pos", "w").mapInArrow(_local, _HALF), "heavy-windows").df
+    done, each = half.where("m is null").drop("m", "w"), half.where("m is not null")
+    least = each.groupBy("m", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    hot = each.join(least, ["m", "w"]).where(F.col("doc") > F.col("least")).select("doc", "th", "start", "size")
+    return light.unionByName(done).unionByName(hot)
 
 
 def _cut(window: int, digest: bool):
