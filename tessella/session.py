@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where it lies beside the driver's copy, even if the
+    session was started without it on PYTHONPATH."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if here not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "tessella", **conf: str) -> SparkSession:
     settings = {
         "spark.sql.shuffle.partitions": str(cores) if str(cores).isdigit() else "8",
@@ -19,4 +30,4 @@ def local_session(cores: int | str = 8, app: str = "tessella", **conf: str) -> S
     } | conf
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return importable(spark)
