@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op7_near_dup": near_dup.OP7_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL}
+    return {"op2_mixing": mixing.OP2_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op6_url_filters": url_filters.oracle(), "op7_near_dup": near_dup.OP7_SQL, "op8_substring_dedup": substring_dedup.OP8_SQL}

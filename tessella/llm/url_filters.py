@@ -125,3 +125,45 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL."""
+    rule, says = "NULL", "NULL"
+    for text, verdict in sorted(RULES, key=lambda r: (len(r[0]), r[0])):
+        host, _, path = text.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        rule, says = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
+    seeded = " OR ".join(f"contains(host, '{w}')" for w in SEED_WORDS)
+    levels = []
+    for k in range(1, DEPTH + 2):
+        levels.append(f"w{k} AS (SELECT host, template FROM t{k - 1} WHERE segs[{k}] IS NOT NULL GROUP BY host, template HAVING count(DISTINCT segs[{k}]) > {MANY_CHILDREN})")
+        levels.append(f"t{k} AS (SELECT t.host, t.segs, t.n, t.blocked, t.template || CASE WHEN t.segs[{k}] IS NULL THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || t.segs[{k}] END AS template FROM t{k - 1} t LEFT JOIN w{k} w ON t.host = w.host AND t.template = w.template)")
+    last = f"t{DEPTH + 1}"
+    return f"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, contains(coalesce(url, ''), '://') AS ok, substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3) AS rest FROM pages
+), h AS (
+  SELECT page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u
+), r AS (
+  SELECT *, {rule} AS rule, {says} AS says, {seeded} AS seeded, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM h
+), p AS (
+  SELECT page_id, host, path, rule, says, CASE WHEN says IS NOT NULL THEN says = 'block' WHEN seeded THEN true END AS label,
+    list_transform(CASE WHEN len(parts) > {DEPTH} THEN list_concat(parts[1:{DEPTH}], ['**']) ELSE parts END, lambda s: regexp_replace(regexp_replace(s, '[0-9a-fA-F]{{16,}}', '{{hex}}', 'g'), '[0-9]+', '{{n}}', 'g')) AS segs FROM r
+), t0 AS (
+  SELECT host, segs, count(label) AS n, count(*) FILTER (WHERE label) AS blocked, '' AS template FROM p GROUP BY host, segs
+), {", ".join(levels)}, node AS (
+  SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS above, sum(n) AS n, sum(blocked) AS blocked FROM {last} GROUP BY host, template
+), sib AS (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY host, above) AS DOUBLE) AS an, CAST(sum(blocked) OVER (PARTITION BY host, above) AS DOUBLE) AS ab FROM node
+), br AS (
+  SELECT host, template, n, blocked, CASE WHEN n > 0 AND an > n AND abs(blocked / CAST(n AS DOUBLE) - (ab - blocked) / (an - n)) <= {Z} * sqrt(ab / an * (1 - ab / an) * (1 / CAST(n AS DOUBLE) + 1 / (an - n))) THEN above || '/~' ELSE template END AS branch FROM sib
+), prior AS (
+  SELECT coalesce(sum(blocked), 0) / greatest(coalesce(sum(n), 0), 1)::DOUBLE AS q FROM node
+), rej AS (
+  SELECT host, branch FROM br, prior GROUP BY host, branch, q HAVING sum(n) >= {SUPPORT} AND (sum(blocked) + {ALPHA} * q) / (sum(n) + {ALPHA}) >= {PURITY}
+)
+SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.says, CASE WHEN rej.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, f.template
+FROM p JOIN {last} f ON p.host = f.host AND p.segs = f.segs JOIN br ON br.host = f.host AND br.template = f.template LEFT JOIN rej ON rej.host = br.host AND rej.branch = br.branch
+"""
