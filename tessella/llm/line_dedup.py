@@ -11,11 +11,10 @@ Incremental use: ``LineIndex.new_lines`` (lines in no run yet) then ``add``. Who
 
 Line hashes are 128 bits wide (two longs), so that equal hashes stand for equal keys.
 
-Edge cases: a null or empty text is one empty line; a document is a row when
-counted, and rows that share a doc_id drop and keep the same lines; a null doc_id counts as the smallest; an empty
-table gives an empty result. A line of a third of all documents is one row per task in the
-runs' aggregation, and in the anti-join its rows are split by adaptive skew handling, as the
-runs' side holds each hash once.
+Edge cases: a null or empty text is one empty line; a document is a row when counted, and
+rows that share a doc_id drop and keep the same lines; a null doc_id counts as the smallest;
+an empty table gives an empty result. A line of a third of all documents is one row per task in the
+runs' aggregation; in the anti-join such hot lines, HOT at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import BLANKS, Stash, batches_of_rows, documents
 
 FANOUT, BATCHES, MIN_CHARS, MIN_DOCS = 4, 3, 40, 5
+#: A line is hot if more than HOT_ROWS documents hold it and more than 1 / HOT of all (line, document) pairs.
+HOT, HOT_ROWS = 2000, 1000
 _STRIP = BLANKS.encode()
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
@@ -109,9 +110,16 @@ class LineIndex:
 def repeated(docs_lines: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, h1, h2) of the lines that go: held by min_docs documents or more, and kept by
     a larger doc_id."""
-    often = index.merged().where((F.col("n_docs") >= min_docs) & F.col("max_doc").isNotNull())
-    hit = docs_lines.join(often.select("h1", "h2", "max_doc"), ["h1", "h2"])
-    return hit.where(F.coalesce(F.col("doc_id") < F.col("max_doc"), F.lit(True))).select("doc_id", "h1", "h2")
+    often = Stash(index.merged().where((F.col("n_docs") >= min_docs) & F.col("max_doc").isNotNull()), "often").df
+    total = often.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    hot = F.col("n_docs") > max(HOT_ROWS, total // HOT)
+    hottest = often.where(hot).select("h1", "h2", F.col("max_doc").alias("hot_max"))  # at most HOT rows, so it may be broadcast
+    lines = docs_lines.join(F.broadcast(hottest), ["h1", "h2"], "left")
+    # rows of hot lines are done; their keys are scattered so that they meet in no task
+    scattered = lambda h: F.when(F.col("hot_max").isNotNull(), F.xxhash64("doc_id", h)).otherwise(F.col(h))
+    rest = often.where(~hot).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "max_doc")
+    hit = lines.withColumn("k1", scattered("h1")).withColumn("k2", scattered("h2")).join(rest, ["k1", "k2"], "left").withColumn("last", F.coalesce("hot_max", "max_doc"))
+    return hit.where(F.col("last").isNotNull() & F.coalesce(F.col("doc_id") < F.col("last"), F.lit(True))).select("doc_id", "h1", "h2")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])

@@ -171,8 +171,9 @@ def strip_key(line):
     return re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", line).translate({c: c + 32 for c in range(65, 91)})
 
 
-@pytest.mark.parametrize(("batches", "fanout"), [(1, 4), (3, 2), (5, 2)])
-def test_line_dedup_equals_brute_force(unique_docs, unique_rows, batches, fanout):
+@pytest.mark.parametrize(("batches", "fanout", "hot_rows"), [(1, 4, 1000), (3, 2, 0), (5, 2, 1000)])
+def test_line_dedup_equals_brute_force(unique_docs, unique_rows, batches, fanout, hot_rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", hot_rows)
     holders = collections.defaultdict(set)
     for i, text, *_ in unique_rows:
         for line in (text or "").split("\n"):
