@@ -10,8 +10,8 @@ A leak of LENGTH + STRIDE characters of an item holds a whole segment, so it is
 at most RATE edits; so is any item shorter than LENGTH in full.
 
 The items are the query set and the texts are all scanned: items go to the workers in blocks
-of at most BLOCK_BYTES, one scan a block. Texts are compared with A-Z lower-cased and each run
-of blanks as one space.
+of at most BLOCK_BYTES, one scan a block. Texts are compared lower-cased, each run of blanks
+as one space, byte by byte.
 
 Edge cases: null and empty texts match nothing; items null or of fewer than MIN_WORDS words are
 not looked for; repeated rows and items give a row each; an empty benchmark matches nothing.
@@ -34,7 +34,7 @@ BLOCK_BYTES, TABLE_BITS = 4 << 20, 22
 
 
 def normal(text: bytes | None) -> bytes:
-    return b" ".join((text or b"").lower().split())
+    return " ".join((text or b"").decode("utf-8", "replace").lower().split()).encode()
 
 
 def qgrams(text: bytes) -> np.ndarray:
@@ -116,13 +116,24 @@ class SegmentIndex:
                 self.edits.append(e)
                 self.least.append(least)
         g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        seg = np.concatenate(seg) if seg else np.zeros(0, int)
+        pos = np.concatenate(pos) if pos else np.zeros(0, int)
+        # Of N q-grams at least `least` are kept by a match, so of any N - least + k at least k:
+        # only that many are indexed, those rarest among the items.
+        _, back, often = np.unique(g, return_inverse=True, return_counts=True)
+        least = np.array(self.least, int)
+        need = np.maximum(1, least // 3)
+        size = np.bincount(seg, minlength=len(need))
+        order = np.lexsort((pos, often[back], seg))
+        place = np.empty(len(g), int)
+        place[order] = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+        kept = place < (size - least + need)[seg]
+        g, seg, pos = g[kept], seg[kept], pos[kept]
         order = np.argsort(g, kind="stable")
-        self.gram, first, self.times = np.unique(g[order], return_index=True, return_counts=True)
-        self.first = first
-        self.seg = np.concatenate(seg)[order] if seg else np.zeros(0, int)
-        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, int)
+        self.gram, self.first, self.times = np.unique(g[order], return_index=True, return_counts=True)
+        self.seg, self.pos = seg[order], pos[order]
         self.step = np.maximum(1, np.array(self.edits, int))
-        self.need = np.array(self.least, int)
+        self.need = need
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.slot(self.gram)] = True
 
@@ -157,17 +168,19 @@ class SegmentIndex:
         key = np.concatenate([seg * span + band, seg * span + band - 1])
         key, n = np.unique(key, return_counts=True)
         best: dict[int, tuple[int, int, int, int]] = {}
-        for k, m in zip(key.tolist(), n.tolist(), strict=True):
+        enough = n >= self.need[key // span]
+        for k in key[enough][np.argsort(-n[enough], kind="stable")].tolist():  # fullest bands first
             s, b = divmod(k, span)
-            if m < self.need[s]:
+            item = self.ids[s]
+            if item in best and best[item][3] == 0:
                 continue
-            low = (b - 1) * int(self.step[s]) - LENGTH - 8
-            e = self.edits[s]
-            found = banded_edits(self.text[s], text, low - e, low + 2 * int(self.step[s]) + e, e)
-            if found:
-                now = (self.ids[s], self.start[s], found[1], found[0])
-                if self.ids[s] not in best or now[3] < best[self.ids[s]][3]:
-                    best[self.ids[s]] = now
+            e, low = self.edits[s], (b - 1) * int(self.step[s]) - LENGTH - 8
+            high = low + 2 * int(self.step[s]) + e
+            low -= e
+            at = text.find(self.text[s], max(0, low), max(0, high) + len(self.text[s]))
+            found = (0, at + len(self.text[s])) if at >= 0 else banded_edits(self.text[s], text, low, high, e)
+            if found and (item not in best or found[0] < best[item][3]):
+                best[item] = (item, self.start[s], found[1], found[0])
         return list(best.values())
 
 
