@@ -275,3 +275,120 @@ def dither(pixels: DataFrame, size, out, palette) -> DataFrame:
         return to_pixels(dither_array(to_array(pdf, out), palette), pdf["img"].iloc[0])
 
     return small.groupBy("img").applyInPandas(run, PIXELS)
+
+
+# --- the whole edge stage over one output-sized image ------------------------------------------
+
+
+def _around(a: np.ndarray, fill) -> list[np.ndarray]:
+    """The 8 shifted copies of an array, `fill` outside."""
+    p = np.pad(a, 1, constant_values=fill)
+    h, w = a.shape
+    return [p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in stencil.NEIGHBOURS]
+
+
+def nms_array(v: np.ndarray) -> np.ndarray:
+    """STN08."""
+    return np.where(np.max(_around(v, -np.inf), axis=0) > v, 0.0, v)
+
+
+def grow_array(strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """ITR01."""
+    mask = strong.copy()
+    while True:
+        new = mask | (weak & np.any(_around(mask, False), axis=0))
+        if (new == mask).all():
+            return mask
+        mask = new
+
+
+def components_array(mask: np.ndarray) -> np.ndarray:
+    """ITR03: per cell of mask the least flat index of its 8-connected component, else -1."""
+    none = mask.size
+    lab = np.where(mask, np.arange(mask.size).reshape(mask.shape), none)
+    while True:
+        new = np.where(mask, np.minimum(lab, np.min(_around(lab, none), axis=0)), none)
+        if (new == lab).all():
+            return np.where(mask, lab, -1)
+        lab = new
+
+
+def cleanup_array(mask: np.ndarray, min_segment: int) -> np.ndarray:
+    """ITR04."""
+    h, w = mask.shape
+    out, p = mask.copy(), np.pad(mask, 2)
+    for dy in range(-2, 3):
+        for dx in range(-2, 3):
+            if max(abs(dy), abs(dx)) == 2:
+                y, x = np.nonzero(mask & p[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w])
+                out[y + np.sign(dy), x + np.sign(dx)] = True
+    out &= np.any(_around(out, False), axis=0)
+    if min_segment > 1:
+        lab = components_array(out)
+        size = np.bincount(lab[out], minlength=1)
+        out[out] = size[lab[out]] >= min_segment
+    return out
+
+
+def classify_array(mask: np.ndarray, mode: str, labels: np.ndarray | None, seg: np.ndarray | None) -> np.ndarray:
+    """CMP04."""
+    if mode == "none":
+        return np.zeros_like(mask)
+    if seg is not None:
+        fore = seg >= 0.5
+        has_fore = fore | np.any(_around(fore, False), axis=0)
+        outline = has_fore & (~fore | np.any(_around(~fore, False), axis=0))
+        return mask & {"outlines": outline, "internal": ~outline & has_fore, "both": True}[mode]
+    if labels is not None:
+        low = np.minimum(labels, np.min(_around(labels, np.inf), axis=0))
+        high = np.maximum(labels, np.max(_around(labels, -np.inf), axis=0))
+        return mask & {"outlines": low != high, "internal": low == high, "both": True}[mode]
+    if mode != "internal":
+        return mask.copy()
+    p = np.pad(mask, 1)  # beyond the border counts as a gap, as border cells are kept anyway
+    return mask & ~(p[1:-1, :-2] & p[1:-1, 2:] & p[:-2, 1:-1] & p[2:, 1:-1])
+
+
+def sobel_mask_array(image: np.ndarray, threshold: float) -> np.ndarray:
+    """STN03, NRM03, FIL04."""
+    v = np.floor((image[..., 0] * 2126 + image[..., 1] * 7152 + image[..., 2] * 722) / 10000)
+    g = np.zeros(v.shape)
+    if min(v.shape) >= 3:
+        gx = v[:-2, 2:] - v[:-2, :-2] + 2 * (v[1:-1, 2:] - v[1:-1, :-2]) + v[2:, 2:] - v[2:, :-2]
+        gy = v[2:, :-2] - v[:-2, :-2] + 2 * (v[2:, 1:-1] - v[:-2, 1:-1]) + v[2:, 2:] - v[:-2, 2:]
+        g[1:-1, 1:-1] = np.sqrt(gx * gx + gy * gy) / 255
+    g /= g.max() or 1.0
+    order = np.sort(g.ravel())
+    low, high = (order[int(np.floor((g.size - 1) * p + 0.5))] for p in (0.05, 0.95))
+    return np.clip((g - low) / (high - low), 0, 1) > threshold if high - low >= 1e-6 else np.zeros(g.shape, bool)
+
+
+def draw(pixels: DataFrame, edge: DataFrame | None, labels: DataFrame | None, seg: DataFrame | None, size, config: EdgeConfig, palette) -> DataFrame:
+    """The edge stage of output-sized images, a group and one numpy function each: CMP03 from
+    the block maximum (img, y, x, v) or the image's own gradients, ITR02, ITR04, CMP04, ITR05.
+    The same steps as the operators above, which serve rasters that don't fit a task."""
+    rows = pixels.select("img", "y", "x", *"rgba")
+    for name, layer, value in (("edge", edge, "v"), ("label", labels, "region"), ("seg", seg, "v")):
+        if layer is not None:
+            got = F.coalesce(F.col(value).cast("double"), F.lit(-1.0)) if name == "label" else F.col(value).cast("double")
+            rows = rows.join(layer.select("img", "y", "x", got.alias(name)), ["img", "y", "x"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image = to_array(pdf, size)
+        planes = {}
+        for name in ("edge", "label", "seg"):
+            if name in pdf:
+                planes[name] = np.zeros(size)
+                planes[name][pdf["y"], pdf["x"]] = pdf[name].fillna(0.0)
+        if "edge" in planes:
+            top = nms_array(planes["edge"])
+            mask = grow_array(top >= config.threshold, (top >= config.threshold * LOW_SHARE) & (top < config.threshold))
+        else:
+            mask = sobel_mask_array(image, config.threshold)
+        bones = cleanup_array(thin_array(mask), config.min_segment)
+        paint_array(image, classify_array(bones, config.mode, planes.get("label"), planes.get("seg")), config, palette)
+        if config.anti_alias:
+            anti_alias_array(image, bones)
+        return to_pixels(image, pdf["img"].iloc[0])
+
+    return rows.groupBy("img").applyInPandas(run, PIXELS)

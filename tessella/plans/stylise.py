@@ -108,14 +108,11 @@ def draw_edges(pixels: DataFrame, out, layers: Layers | None, size, config: Edge
     prefixes with the output's stride; without, they are resampled to the output first."""
     if config.mode == "none":
         return pixels
+    edge = None
     if layers is not None and layers.edge is not None:
-        mask = edges.edge_mask(layers.edge, size, out, config.threshold)
-    else:
-        if layers is not None:
-            warnings.append("no edge map: gradients of the image are used")
-        mask = edges.sobel_mask(pixels, config.threshold)
-    skeleton = cut(edges.thin(cut(mask), out))
-    cleaned = cut(edges.cleanup(skeleton, out, config.min_segment))
+        edge = blocks.block_max(layers.edge, "v", size, out).select("img", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
+    elif layers is not None:
+        warnings.append("no edge map: gradients of the image are used")
     region, seg = (layers.region, layers.seg) if layers is not None else (None, None)
     if compat:
         # a layer smaller than the output doesn't count
@@ -125,8 +122,9 @@ def draw_edges(pixels: DataFrame, out, layers: Layers | None, size, config: Edge
     elif region is not None or seg is not None:
         small = resample_layers(Layers(seg=seg, region=region), size, out)
         region, seg = small.region, small.seg
-    keep = edges.classify(cleaned, out, config.mode, region, seg, warnings)
-    return edges.paint(pixels, keep, cleaned, out, config, colors)
+    if config.mode == "internal" and region is None and seg is None:
+        warnings.append("internal edges without regions or a segmentation: only edges beside a gap or the border are kept")
+    return edges.draw(pixels, edge, region, seg, out, config, colors)
 
 
 def downsample(pixels: DataFrame, size, out, method: str, colors, weights: DataFrame | None = None) -> DataFrame:

@@ -167,6 +167,31 @@ def test_classification_modes(spark):
     assert points(edges.classify(mask, (3, 6), "internal", warnings=notes)) == [(1, 1), (1, 3)] and notes
 
 
+def test_arrays_agree_with_joins(spark):
+    """The numpy edge stage against the distributed operators."""
+    rng = np.random.default_rng(11)
+    v = rng.random((14, 17)) ** 2
+    size = v.shape
+    rows = stencil.rows_of(raster(spark, v))
+    top = edges.nms_array(v)
+    assert (as_grid(stencil.non_maximum(rows), "v", size) == top).all()
+    mask = edges.grow_array(v >= 0.7, (v >= 0.3) & (v < 0.7))
+    assert points(edges.hysteresis(raster(spark, v), 0.7).where("true")) == sorted(map(tuple, np.argwhere(edges.grow_array(v >= 0.7, (v >= 0.28) & (v < 0.7))).tolist()))
+    own = cells(spark, np.argwhere(mask).tolist())
+    assert points(edges.thin(own, size)) == sorted(map(tuple, np.argwhere(edges.thin_array(mask)).tolist()))
+    bones = rng.random(size) < 0.12
+    thin = cells(spark, np.argwhere(bones).tolist())
+    assert points(edges.cleanup(thin, size, 4)) == sorted(map(tuple, np.argwhere(edges.cleanup_array(bones, 4)).tolist()))
+    labels = (np.arange(v.size).reshape(size) % 17 > 8).astype(float)
+    lab = spark.createDataFrame([("i", y, x, int(labels[y, x])) for y in range(14) for x in range(17)], "img string, y int, x int, region long")
+    seg = raster(spark, v)
+    for mode in ("none", "outlines", "internal", "both"):
+        for got, want in ((edges.classify(own, size, mode, lab), edges.classify_array(mask, mode, labels, None)), (edges.classify(own, size, mode, seg=seg), edges.classify_array(mask, mode, None, v)), (edges.classify(own, size, mode, warnings=[]), edges.classify_array(mask, mode, None, None))):
+            assert points(got) == sorted(map(tuple, np.argwhere(want).tolist()))
+    px = fixtures.busy(spark, 20)
+    assert points(edges.sobel_mask(px, 0.4)) == sorted(map(tuple, np.argwhere(edges.sobel_mask_array(edges.to_array(px.toPandas(), (20, 20)), 0.4)).tolist()))
+
+
 def test_stroke_shapes():
     assert [len(stencil.stroke(t)) for t in (1, 2, 3, 4, 6)] == [1, 5, 9, 13, 25]
 
