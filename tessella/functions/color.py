@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sRGB primaries and D65 white, and the CIE constants.
@@ -70,6 +70,28 @@ def lab_to_rgb(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]
     return out[0], out[1], out[2]
 
 
+def with_lab(df: DataFrame, out: tuple[str, str, str] = ("l_", "a_", "b_"), rgb: tuple[str, str, str] = ("r", "g", "b")) -> DataFrame:
+    """PRJ01 as a chain of projections, each value computed once: as one expression the formula
+    repeats itself and outgrows the generated code."""
+    df = df.withColumns({f"c{k}_": linear(F.col(c).cast("double")) for k, c in enumerate(rgb)})
+    df = df.withColumns({f"t{k}_": (F.col("c0_") * row[0] + F.col("c1_") * row[1] + F.col("c2_") * row[2]) / white for k, (row, white) in enumerate(zip(TO_XYZ, WHITE, strict=True))})
+    df = df.withColumns({f"f{k}_": F.when(F.col(f"t{k}_") > EPSILON, F.cbrt(f"t{k}_")).otherwise((F.col(f"t{k}_") * KAPPA + 16) / 116) for k in range(3)})
+    df = df.withColumns(dict(zip(out, (F.col("f1_") * 116 - 16, (F.col("f0_") - F.col("f1_")) * 500, (F.col("f1_") - F.col("f2_")) * 200), strict=True)))
+    return df.drop(*[f"{c}{k}_" for c in "ctf" for k in range(3)])
+
+
+def with_rgb(df: DataFrame, out: tuple[str, str, str] = ("r", "g", "b"), lab: tuple[str, str, str] = ("l_", "a_", "b_")) -> DataFrame:
+    """PRJ02 as a chain of projections."""
+    df = df.withColumn("f1_", (F.col(lab[0]) + 16) / 116)
+    df = df.withColumns({"f0_": F.col("f1_") + F.col(lab[1]) / 500, "f2_": F.col("f1_") - F.col(lab[2]) / 200})
+    df = df.withColumns({f"q{k}_": F.col(f"f{k}_") * F.col(f"f{k}_") * F.col(f"f{k}_") for k in range(3)})
+    df = df.withColumns({f"t{k}_": F.when(F.col(f"q{k}_") > EPSILON, F.col(f"q{k}_")).otherwise((F.col(f"f{k}_") * 116 - 16) / KAPPA) * WHITE[k] for k in range(3)})
+    df = df.withColumns({f"c{k}_": F.col("t0_") * row[0] + F.col("t1_") * row[1] + F.col("t2_") * row[2] for k, row in enumerate(FROM_XYZ)})
+    light = {f"s{k}_": F.when(F.col(f"c{k}_") <= 0.0031308, F.col(f"c{k}_") * 12.92).otherwise(F.pow(F.greatest(F.col(f"c{k}_"), F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055) for k in range(3)}
+    df = df.withColumns(light).withColumns({name: to_byte(F.col(f"s{k}_") * 255) for k, name in enumerate(out)})
+    return df.drop(*[f"{c}{k}_" for c in "fqtcs" for k in range(3)])
+
+
 def delta_squared(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """PRJ03, without the root: comparisons don't need it."""
     return sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0))

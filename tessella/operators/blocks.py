@@ -37,19 +37,17 @@ def block_area(cells: DataFrame, size, out) -> DataFrame:
 
 def block_median(cells: DataFrame, size, out) -> DataFrame:
     """AGG02: median of each Lab channel (l, a, b). Blocks are small, so the built-in median."""
-    lab = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    rows = cells.select("img", "y", "x", *[c.alias(k) for c, k in zip(lab, ("l_", "a_", "b_"), strict=True)])
+    rows = color.with_lab(cells).select("img", "y", "x", "l_", "a_", "b_")
     return to_blocks(rows, size, out).groupBy("img", "oy", "ox").agg(F.median("l_").alias("l"), F.median("a_").alias("a"), F.median("b_").alias("b"))
 
 
 def block_mean_weighted(cells: DataFrame, size, out, weight: str | None = None) -> DataFrame:
     """AGG01: weighted mean in Lab, back to bytes; a missing weight is 1, no weight gives black."""
-    lab = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
     w = F.coalesce(F.col(weight), F.lit(1.0)) if weight else F.lit(1.0)
-    rows = cells.select("img", "y", "x", w.alias("w_"), F.col("a").alias("alpha_"), *[c.alias(k) for c, k in zip(lab, ("l_", "a_", "b_"), strict=True)])
+    rows = color.with_lab(cells.withColumn("w_", w)).select("img", "y", "x", "w_", F.col("a").alias("alpha_"), "l_", "a_", "b_")
     sums = to_blocks(rows, size, out).groupBy("img", "oy", "ox").agg(F.sum("w_").alias("w"), *[F.sum(F.col(c) * F.col("w_")).alias(c) for c in ("l_", "a_", "b_", "alpha_")])
     ok = F.col("w") > 0
-    mean = [F.when(ok, F.col(c) / F.col("w")) for c in ("l_", "a_", "b_")]
-    r, g, b = color.lab_to_rgb(*mean)
+    mean = sums.withColumns({c: F.when(ok, F.col(c) / F.col("w")).otherwise(0.0) for c in ("l_", "a_", "b_")})
     alpha = F.when(ok, color.clamp(F.round(F.col("alpha_") / F.col("w")), 0, 255).cast("int")).otherwise(255)
-    return sums.select("img", "oy", "ox", *[F.when(ok, c).otherwise(0).alias(k) for c, k in zip((r, g, b), "rgb", strict=True)], alpha.alias("a"))
+    out = color.with_rgb(mean, ("r", "g", "b"))
+    return out.select("img", "oy", "ox", *[F.when(ok, F.col(c)).otherwise(0).alias(c) for c in "rgb"], alpha.alias("a"))

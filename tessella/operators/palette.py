@@ -14,6 +14,9 @@ SAMPLE, ROUNDS, TOLERANCE = 16_384, 20, 1e-6
 HASH_A, HASH_B, HASH_M = 48_271, 12_345, 2_147_483_647
 
 
+LAB = ("l_", "a_", "b_")
+
+
 def lab_palette(colors) -> list[tuple[float, float, float]]:
     """The palette in Lab, computed once on the driver."""
     out = []
@@ -27,17 +30,18 @@ def lab_palette(colors) -> list[tuple[float, float, float]]:
     return out
 
 
-def _distances(lab: tuple[Column, Column, Column], colors) -> list[Column]:
+def _distances(lab, colors) -> list[Column]:
+    lab = tuple(F.col(c) if isinstance(c, str) else c for c in lab)
     return [color.delta_squared(lab, tuple(F.lit(v) for v in entry)) for entry in lab_palette(colors)]
 
 
-def nearest_index(lab: tuple[Column, Column, Column], colors) -> Column:
+def nearest_index(lab, colors) -> Column:
     """JOI03: the palette is a literal, so there is neither a join nor 32 rows a cell. Lowest
-    index on ties."""
+    index on ties. lab: three column names or columns."""
     return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for i, d in enumerate(_distances(lab, colors))]))["i"]
 
 
-def furthest_index(lab: tuple[Column, Column, Column], colors) -> Column:
+def furthest_index(lab, colors) -> Column:
     """JOI04: lowest index on ties."""
     return F.array_min(F.array(*[F.struct((-d).alias("d"), F.lit(i).alias("i")) for i, d in enumerate(_distances(lab, colors))]))["i"]
 
@@ -55,7 +59,7 @@ def quantise(cells: DataFrame, colors) -> DataFrame:
     """CMP06: each pixel (r, g, b) replaced by its nearest entry; an empty palette changes nothing."""
     if not colors:
         return cells
-    indexed = cells.withColumn("idx_", nearest_index(color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), colors))
+    indexed = color.with_lab(cells).withColumn("idx_", nearest_index(LAB, colors)).drop("l_", "a_", "b_")
     return indexed.withColumns({c: entry(F.col("idx_"), colors, k) for k, c in enumerate("rgb")} | {"a": F.lit(255)}).drop("idx_")
 
 
@@ -131,16 +135,15 @@ def generate(cells: DataFrame, mode: str = "auto", max_colors: int = 32, preset:
     if mode == "custom":
         return [tuple(c) for c in custom]
     spark = cells.sparkSession
-    lab = dict(zip(("l_", "a_", "b_"), color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), strict=True))
     key = key if key is not None else F.col("y").cast("long") * 100_003 + F.col("x")
-    picked = weighted_sample(cells.withColumns(lab).withColumn("k_", key), F.col("k_"), color.chroma_weight(F.col("a_"), F.col("b_")))
+    picked = weighted_sample(color.with_lab(cells).withColumn("k_", key), F.col("k_"), color.chroma_weight(F.col("a_"), F.col("b_")))
     points = picked.orderBy("k_").select("l_", "a_", "b_").toPandas().to_numpy(float)
     centers = kmeans(points, max_colors)
     if not len(centers):
         return []
     frame = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centers)], "i int, l double, a double, b double")
-    r, g, b = color.lab_to_rgb(F.col("l"), F.col("a"), F.col("b"))
-    return [(x["r"], x["g"], x["b"]) for x in frame.select("i", r.alias("r"), g.alias("g"), b.alias("b")).orderBy("i").collect()]
+    back = color.with_rgb(frame, lab=("l", "a", "b"), out=("nr", "ng", "nb"))
+    return [(x["nr"], x["ng"], x["nb"]) for x in back.orderBy("i").collect()]
 
 
 def as_frame(spark: SparkSession, colors) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoint import cut
-from ..functions.color import clamp, rgb_to_lab
+from ..functions.color import clamp, with_lab
 from . import stats, stencil
 from .palette import uniform_sample
 
@@ -117,8 +117,7 @@ def grow(strong: DataFrame, weak: DataFrame, rounds: int = MOST_ROUNDS) -> DataF
 def features(cells: DataFrame, size, depth: str | None = None, weight: float = 0.7) -> DataFrame:
     """PRJ11: (img, y, x, f array<double> of 10): Lab, depth, their forward gradients over the
     95th percentile of both directions, and position."""
-    l, a, b = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))  # noqa: E741
-    base = cut(cells.select("img", "y", "x", l.alias("l"), a.alias("a_"), b.alias("b_"), (F.coalesce(F.col(depth), F.lit(0.5)) if depth else F.lit(0.5)).alias("d")))
+    base = cut(with_lab(cells, ("l", "a_", "b_")).select("img", "y", "x", "l", "a_", "b_", (F.coalesce(F.col(depth), F.lit(0.5)) if depth else F.lit(0.5)).alias("d")))
     out = base
     for v in ("l", "d"):
         g = cut(stencil.forward_gradients(stencil.rows_of(base, v)))

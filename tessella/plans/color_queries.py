@@ -18,8 +18,7 @@ LAB = lab_ctes("r", "lab")
 
 def lab_cells(spark, d):
     """(y, x, r, g, b, a, l, la, lb)."""
-    c = rgba_cells(spark, d)
-    return c.withColumns(dict(zip(("l", "la", "lb"), color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")), strict=True)))
+    return color.with_lab(rgba_cells(spark, d), LABS)
 
 
 LABS = ("l", "la", "lb")
@@ -36,8 +35,7 @@ def to_lab(spark, d):
 
 @query(with_([R, LAB, rgb_ctes("lab", "back")], "SELECT y, x, nr AS r, ng AS g, nb AS b FROM back"))
 def lab_roundtrip(spark, d):
-    back = color.lab_to_rgb(*lab_of(None))
-    return lab_cells(spark, d).select("y", "x", *[c.alias(k) for c, k in zip(back, "rgb", strict=True)])
+    return color.with_rgb(lab_cells(spark, d), lab=LABS).select("y", "x", *"rgb")
 
 
 @query(with_([R, LAB], "SELECT y, x, round(1 + sqrt(la * la + lb * lb), 6) + 0.0 AS w FROM lab"))
@@ -59,14 +57,14 @@ def delta_e(spark, d):
 @query(with_([R, LAB, "s AS (SELECT y, x, la, lb, CASE WHEN abs((r - g) / 255.0::DOUBLE) < 0.001 THEN l ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, l + sign(r - g) * pow(abs((r - g) / 255.0::DOUBLE), 0.8::DOUBLE) * (0.6::DOUBLE * 40))) END AS l FROM lab)", rgb_ctes("s", "o")], "SELECT y, x, nr AS r, ng AS g, nb AS b FROM o"))
 def fg_shade(spark, d):
     s = (F.col("r") - F.col("g")) / 255.0
-    out = color.lab_to_rgb(color.foreground_lightness(F.col("l"), s, 0.6, 0.8, 40.0), F.col("la"), F.col("lb"))
-    return lab_cells(spark, d).select("y", "x", *[c.alias(k) for c, k in zip(out, "rgb", strict=True)])
+    lit = lab_cells(spark, d).withColumn("l", color.foreground_lightness(F.col("l"), s, 0.6, 0.8, 40.0))
+    return color.with_rgb(lit, lab=LABS).select("y", "x", *"rgb")
 
 
 @query(with_([R, LAB, "s AS (SELECT y, x, greatest(0.0::DOUBLE, least(100.0::DOUBLE, l + -0.08::DOUBLE * 100)) AS l, la * (1 - 0.65::DOUBLE) AS la, lb * (1 - 0.65::DOUBLE) AS lb FROM lab)", rgb_ctes("s", "o")], "SELECT y, x, nr AS r, ng AS g, nb AS b FROM o"))
 def bg_treat(spark, d):
-    out = color.lab_to_rgb(*color.background_lab(*lab_of(None), 0.65, -0.08))
-    return lab_cells(spark, d).select("y", "x", *[c.alias(k) for c, k in zip(out, "rgb", strict=True)])
+    toned = lab_cells(spark, d).withColumns(dict(zip(LABS, color.background_lab(*lab_of(None), 0.65, -0.08), strict=True)))
+    return color.with_rgb(toned, lab=LABS).select("y", "x", *"rgb")
 
 
 @query(with_([R, LAB], "SELECT y, x, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, l - 25)), 6) + 0.0 AS l, round(sqrt(la * la + lb * lb) * cos(atan2(lb, la) + radians(30)), 6) + 0.0 AS la, round(sqrt(la * la + lb * lb) * sin(atan2(lb, la) + radians(30)), 6) + 0.0 AS lb FROM lab"))

@@ -62,14 +62,14 @@ def depth_to_flat(pixels: DataFrame, size, layers: Layers, config: ShadingConfig
         base = base.drop("region")
     marked = regions.classify_background(base, size, config.bg_cluster_size_pct, config.use_otsu, config.bg_depth_threshold, seg="seg" if layers.seg is not None else None)
     rows = pixels.join(marked.select("img", "y", "x", "shade", "is_bg"), ["img", "y", "x"])
-    lab = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    rows = rows.withColumns(dict(zip(("l_", "a_", "b_"), lab, strict=True)))
+    rows = color.with_lab(rows)
     lab = tuple(F.col(k) for k in ("l_", "a_", "b_"))
-    back = color.lab_to_rgb(*color.background_lab(*lab, config.bg_desaturation, config.bg_lightness_shift))
-    front = color.lab_to_rgb(color.foreground_lightness(lab[0], F.col("shade"), config.strength, config.gamma, config.l_shift_scale), lab[1], lab[2])
-    same = (F.abs(F.col("shade")) < 0.001) if config.strength >= 0.001 else F.lit(True)
-    new = {c: F.when(F.col("is_bg"), back[k]).when(same, F.col(c)).otherwise(front[k]) for k, c in enumerate("rgb")}
-    return rows.select("img", "y", "x", *[new[c].alias(c) for c in "rgb"], "a")
+    back = color.background_lab(*lab, config.bg_desaturation, config.bg_lightness_shift)
+    front = (color.foreground_lightness(lab[0], F.col("shade"), config.strength, config.gamma, config.l_shift_scale), lab[1], lab[2])
+    rows = rows.withColumns({k: F.when(F.col("is_bg"), b).otherwise(f) for k, b, f in zip(("l_", "a_", "b_"), back, front, strict=True)})
+    rows = color.with_rgb(rows, ("nr", "ng", "nb"))
+    same = ~F.col("is_bg") & ((F.abs(F.col("shade")) < 0.001) if config.strength >= 0.001 else F.lit(True))
+    return rows.select("img", "y", "x", *[F.when(same, F.col(c)).otherwise(F.col(f"n{c}")).alias(c) for c in "rgb"], "a")
 
 
 def resample_layers(layers: Layers, size, out) -> Layers:
