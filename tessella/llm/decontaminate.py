@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of_rows, documents
 
-Q, LENGTH, STRIDE, RATE, MIN_WORDS = 8, 100, 50, 0.08, 5
+Q, LENGTH, STRIDE, RATE, MIN_WORDS = 8, 80, 20, 0.08, 5
 BLOCK_BYTES, TABLE_BITS = 4 << 20, 22
 
 
