@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from ..functions.color import clamp, with_lab
 from . import stats, stencil
 from .palette import uniform_sample
 
-#: Rounds after which a fixpoint loop gives up; each halves what is left or extends by one ring.
-MOST_ROUNDS = 10_000
+#: Rows of an image whose runs of cells are joined by one task.
+BAND = 64
 
 
 def region_stats(cells: DataFrame, size, value: str = "v") -> DataFrame:
@@ -47,21 +48,51 @@ def components(mask: DataFrame, key: str | None = None) -> DataFrame:
     """AGG15, ITR03: mask with `comp`, the least cell index (y * 2^32 + x) of its 8-connected
     component; with key, only cells of one value of key are connected.
 
-    Runs of cells in a row are one node, so a filled area costs a node per row; touching runs of
-    neighbouring rows are edges. Edges are contracted to the least node round by round (what is
-    left at least halves), each round written to the shared folder.
+    Runs of cells in a row are one node. Runs are joined within bands of BAND rows by union-find,
+    a band a task; what then links the bands, through their first rows, is contracted by joins,
+    which at least halve it in each round. So a component of any size and shape takes few
+    rounds, and an image within one band none.
     """
     part = ["img"] + ([key] if key else [])
     gap = F.col("x") - F.row_number().over(_order([*part, "y"], "x"))
     runs = mask.withColumn("run_", gap).groupBy(*part, "y", "run_").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = cut(runs.select(*part, "y", "x0", "x1", (F.col("y").cast("long") * (1 << 32) + F.col("x0")).alias("node")))
-    # runs of one row that touch the same run above need no edge of their own
-    up = runs.select(*part, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("node").alias("a"))
-    edges = runs.join(up, [*part, "y"]).where((F.col("u0") <= F.col("x1") + 1) & (F.col("u1") >= F.col("x0") - 1)).select("img", "a", F.col("node").alias("b"))
+    runs = runs.select("img", (F.col(key) if key else F.lit(0)).cast("long").alias("k_"), F.col("y").cast("long").alias("y"), F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"))
+    runs = runs.withColumn("node", F.col("y") * (1 << 32) + F.col("x0")).withColumn("band_", F.floor(F.col("y") / BAND))
+    local = cut(runs.groupBy("img", "band_").applyInPandas(_joined_in_band, "img string, k_ long, y long, x0 long, x1 long, root long"))
+    up = local.where(F.col("y") % BAND == BAND - 1).select("img", "k_", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("root").alias("a"))
+    edges = local.where(F.col("y") % BAND == 0).join(up, ["img", "k_", "y"]).where((F.col("u0") <= F.col("x1") + 1) & (F.col("u1") >= F.col("x0") - 1)).select("img", "a", F.col("root").alias("b"))
     labels = _contracted(edges)
-    named = runs.join(labels, ["img", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
-    cells = named.select(*part, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "comp")
-    return mask.join(cells, [*part, "y", "x"])
+    named = local.join(labels.withColumnRenamed("node", "root"), ["img", "root"], "left").withColumn("comp", F.coalesce("comp", "root"))
+    cells = named.select("img", "k_", F.col("y").cast("int").alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"), "comp").withColumn("x", F.col("x").cast("int"))
+    if key:
+        return mask.join(cells.withColumnRenamed("k_", key), ["img", key, "y", "x"])
+    return mask.join(cells.drop("k_"), ["img", "y", "x"])
+
+
+def _joined_in_band(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adds to the runs of one band the least node of what they touch, row by row, in it."""
+    pdf = pdf.sort_values(["k_", "y", "x0"], ignore_index=True)
+    k, y, x0, x1 = (pdf[c].tolist() for c in ("k_", "y", "x0", "x1"))
+    top = list(range(len(pdf)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    above = 0
+    for i in range(len(pdf)):
+        # the first run of the row above that may still touch this or a later one
+        while (k[above], y[above], x1[above]) < (k[i], y[i] - 1, x0[i] - 1):
+            above += 1
+        j = above
+        while j < i and k[j] == k[i] and y[j] == y[i] - 1 and x0[j] <= x1[i] + 1:
+            a, b = root(j), root(i)
+            top[max(a, b)] = min(a, b)
+            j += 1
+    pdf["root"] = pdf["node"].to_numpy()[[root(i) for i in range(len(pdf))]] if len(pdf) else pdf["node"]
+    return pdf[["img", "k_", "y", "x0", "x1", "root"]]
 
 
 def _order(by: list[str], order: str):
@@ -104,7 +135,7 @@ def split_disconnected(cells: DataFrame) -> DataFrame:
     return done.unionByName(cells.where("region is null").select("img", "y", "x", "region"))
 
 
-def grow(strong: DataFrame, weak: DataFrame, rounds: int = MOST_ROUNDS) -> DataFrame:
+def grow(strong: DataFrame, weak: DataFrame) -> DataFrame:
     """ITR01: strong cells and the weak ones reachable from them through weak ones. Weak
     components that touch a strong cell are kept, so the number of rounds follows the
     logarithm of a component's size, not its length."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoint import cut
 from ..operators import regions, stats, stencil
 from ..sources.tables import cells, scalar_cells, scalar_rows, table
 from .registry import E, nearest_rank_sql, query, r6, with_
@@ -23,7 +24,7 @@ def normalised(spark, d):
 
 def _shaded(spark, d):
     rows = scalar_rows(spark, d)
-    med = stencil.median5(rows, "v").join(rows.select("img", "y", "region"), ["img", "y"])
+    med = cut(stencil.median5(rows, "v").join(rows.select("img", "y", "region"), ["img", "y"]))  # read by four aggregations
     local = stats.mad_stats(med, ["region"], "v").select("region", "med", "mad")
     both = stats.global_shading(med, "v", ["img"], "glob").join(F.broadcast(local), "region")
     s = stats.shading_from_stats(F.col("v"), F.col("region"), F.col("med"), F.col("mad"), MAD_LEAST)

@@ -118,7 +118,9 @@ def test_components_and_split(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 2, 4: None}
 
 
-def test_components_partition_and_match_a_flood(spark):
+@pytest.mark.parametrize("band", [64, 3])
+def test_components_partition_and_match_a_flood(spark, band, monkeypatch):
+    monkeypatch.setattr(regions, "BAND", band)
     rng = np.random.default_rng(3)
     grid = rng.random((23, 31)) < 0.45
     got = {(r["y"], r["x"]): r["comp"] for r in regions.components(cells(spark, np.argwhere(grid).tolist())).collect()}
