@@ -2,7 +2,9 @@
 
 Tokens are summed per source, a water-filling gives each source its target (capped at a
 multiple of its size), and the repetition rate target / size follows. A document is emitted
-floor(rate) times, and once more if a hash of its id, seeded, falls below the fraction.
+floor(rate) times, and once more if a hash of its id, seeded, falls below the fraction. The seed
+is a source's own: of SEEDS shifts of the hash the one that brings the source's words nearest
+to its target, from one aggregation that holds the sums for all of them.
 
 Edge cases: a null text has size 0; a null source is a source of its own, ordered last; a
 source without words has rate 1, since no number of copies changes its words; repeated rows
@@ -18,7 +20,7 @@ from .common import documents, stash, unit_hash, word_count
 
 #: The per-source table is broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
-WEIGHTS, CAP, SEED = (1.0, 2.0, 3.0), 3.0, "mix-1"
+WEIGHTS, CAP, SEED, SEEDS = (1.0, 2.0, 3.0), 3.0, "mix-1", 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -48,21 +50,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return filled.withColumn("first", first).select("m_source", "source_size", F.least(most, F.coalesce(share, most)).alias("target"))
 
 
-def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
-    """floor(rate) copies and a Bernoulli one with the fraction's probability."""
-    whole = F.floor(rate)
-    return (whole + F.when(unit_hash(F.lit(seed), doc_id) < rate - whole, 1).otherwise(0)).cast("long")
+def _rate(cap: float) -> Column:
+    return F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(cap)))
 
 
-def with_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """Adds m_size, source_size, target and m_copies to each row of docs (doc_id, text, source)."""
-    sized = docs.withColumn("m_size", word_count(F.col("text"))).withColumn("m_source", F.col("source"))
-    targets = stash(source_targets(sized.select("m_source", "m_size"), weights, cap), "mix-targets")
+def _extra(shift: Column) -> Column:
+    """Whether the Bernoulli copy is made, for a shift of the hash m_u."""
+    x = F.col("m_u") + shift / float(SEEDS)
+    return x - F.floor(x) < F.col("m_rate") - F.floor("m_rate")
+
+
+def _joined(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """sized with its source's row of targets; that table is broadcast if it is small."""
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.alias("d").join(targets.withColumnRenamed("m_source", "t_source").alias("t"), F.col("m_source").eqNullSafe(F.col("t_source")), "left")
-    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.least(F.col("target") / F.col("source_size"), F.lit(cap)))
-    return joined.withColumn("m_copies", copies(F.col("doc_id"), rate, seed)).drop("m_source", "t_source")
+    right = targets.withColumnRenamed("m_source", "t_source")
+    return sized.join(right, F.col("m_source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+
+
+def with_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """Adds m_size, source_size, target and m_copies to each row of docs (doc_id, text, source)."""
+    sized = docs.withColumns({"m_size": word_count(F.col("text")), "m_source": F.col("source"), "m_u": unit_hash(F.lit(seed), F.col("doc_id"))})
+    targets = stash(source_targets(sized.select("m_source", "m_size"), weights, cap).withColumn("m_rate", _rate(cap)), "mix-targets")
+    tried = _joined(sized.select("m_source", "m_size", "m_u"), targets)
+    sums = [F.coalesce(F.sum(F.when(_extra(F.lit(k)), F.col("m_size"))), F.lit(0)).alias(f"e{k}") for k in range(SEEDS)]
+    base = F.floor("m_rate") * F.col("source_size")
+    gaps = F.array(*[F.struct(F.abs(base + F.col(f"e{k}") - F.col("target")).alias("gap"), F.lit(k).alias("k")) for k in range(SEEDS)])
+    known = tried.groupBy("m_source", "source_size", "target", "m_rate").agg(*sums)
+    chosen = stash(known.select("m_source", "source_size", "target", "m_rate", F.array_min(gaps)["k"].alias("m_shift")), "mix-seeds")
+    out = _joined(sized, chosen)
+    copies = F.floor("m_rate") + F.when(_extra(F.col("m_shift")), 1).otherwise(0)
+    return out.withColumn("m_copies", copies.cast("long")).drop("m_source", "m_u", "m_rate", "m_shift")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
@@ -94,10 +112,16 @@ WITH d AS (
 ), t AS (
   SELECT f.source, f.source_size, least(f.most, coalesce(l.level * f.weight, f.most)) AS target FROM f, l
 ), c AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-    CASE WHEN t.source_size = 0 THEN 1.0 ELSE least(t.target / t.source_size, 3.0) END AS rate,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size = 0 THEN 1.0::DOUBLE ELSE least(t.target / t.source_size, 3.0::DOUBLE) END AS rate,
     CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN size ELSE 0 END) - any_value(target)) AS gap
+  FROM c, (SELECT unnest(range(32)) AS k) GROUP BY source, k
+), b AS (
+  SELECT source, k FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY gap, k) = 1
 )
-SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM c
+SELECT doc_id, size, source_size, target, size * (CAST(floor(rate) AS BIGINT) + CASE WHEN u + k / 32.0::DOUBLE - floor(u + k / 32.0::DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
 """
