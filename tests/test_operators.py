@@ -288,3 +288,13 @@ def test_streaming_totals(spark, tmp_path):
     spark.createDataFrame(rows, incremental.ROWS).repartition(3).write.parquet(str(tmp_path / "in"))
     got = incremental.drain(incremental.region_totals(incremental.read_rows(spark, str(tmp_path / "in"), 1)), "totals", spark)
     assert sorted((r["region"], r["n"], r["total"]) for r in got.collect()) == [(0, 6, 9.0), (1, 6, 12.0)]
+
+
+def test_written_tables_can_be_released(spark):
+    from tessella.checkpoint import cut, release
+
+    path = cut(spark.range(3)).inputFiles()[0]
+    assert spark.read.parquet(path).count() >= 0
+    release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path.rsplit("/", 1)[0]).count()
