@@ -1,11 +1,9 @@
-"""What the corpus operators share: the shared folder, written tables, word and shingle hashes."""
+"""What the corpus operators share: written tables, word and shingle hashes, an id filter."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +11,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoint import shared_folder
+
 #: Characters that separate words, and those stripped from lines: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tessella-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where
-    that is unset, a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{base.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
-
-
 class Stash:
     """A DataFrame written to the shared folder and read again: lineage ends here, so a lost
     executor costs no recomputation of what came before."""
@@ -112,10 +100,6 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(h, min(n, len(h))))
 
 
-def as_long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
 def batches_of_rows(batches: Iterator, rows: int) -> Iterator:
     """Arrow record batches cut to at most so many rows, so that memory follows one slice."""
     for b in batches:
