@@ -34,8 +34,8 @@ from .common import Stash, WordHashes, batches_of_rows, documents, mix64, ngram_
 
 WINDOW, K = 13, 5
 SKETCH_BITS, DEPTH, PAGES = 1 << 28, 2, 256
-#: A minimizer is heavy with more rows than HEAVY_ROWS, which one task holds with ease, and 1 / HEAVY of all.
-HEAVY, HEAVY_ROWS = 2000, 20_000
+#: A minimizer is heavy with more rows than HEAVY_ROWS and 1 / HEAVY of all.
+HEAVY, HEAVY_ROWS = 2000, 1000
 _PAGE = SKETCH_BITS // PAGES
 _CODEC = pa.Codec("zstd")
 
