@@ -203,9 +203,9 @@ def dither(spark, d):
 @query()
 def paint_edges(spark, d):
     """ITR05, ITR07, STN12, STN14 over the RGBA raster."""
-    px = rgba_cells(spark, d).where("y < 64")
+    px = rgba_cells(spark, d)
     mask = edges.sobel_mask(px, 0.6)
-    return edges.paint(px, mask, mask, (64, 16), EdgeConfig(style="contrast", thickness=2, anti_alias=True), PALETTES["pico8"]).select("y", "x", "r", "g", "b", "a")
+    return edges.paint(px, mask, mask, (height(spark, d), 16), EdgeConfig(style="contrast", thickness=2, anti_alias=True), PALETTES["pico8"]).select("y", "x", "r", "g", "b", "a")
 
 
 @query()
