@@ -1,20 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of tokens (words, and one end per document) are exact. Counts of bigrams between the
-VOCABULARY most frequent tokens are quantised on a logarithmic scale, q = 1 + floor(log_b c),
-and a bigram is entered into a Bloom filter once for each level 1..q. A probe asks for level
-1, 2, ... until one is absent: the last present level is the quantised count. The filter has a
-size bounded by the vocabulary's, whatever the corpus, and is broadcast.
+Counts of tokens (words, and one end per document) and of all bigrams are exact. A bigram's count
+is quantised on a logarithmic scale, q = 1 + floor(log_b c), and the bigram is entered into a
+Bloom filter once for each level 1..q. A probe asks for level 1, 2, ... until one is absent: the
+last present level is the quantised count. The filter grows with the entries and is broadcast.
 
 Probability, absolutely discounted and interpolated with the unigram:
     p(w | h) = max(c^(h w) - D, 0) / c(h) + alpha(h) p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 where c^ = b^(q - 1) is at most the count and alpha(h) = 1 - sum_w max(c^ - D, 0) / c(h), so
-the probabilities of a context add up to one but for the filter's false positives. Contexts
-outside the vocabulary, and a document's first token, use p(w).
+the probabilities of a context add up to one but for the filter's false positives. Contexts that
+were never seen, and a document's first token, use p(w).
 
-Exact token counts: those of the DICTIONARY most frequent tokens are broadcast (a bounded
-table). Rarer tokens of a text are looked up by a join of (row, token, times) with the table of
-all counts; as they are rare, that join has no hot key.
+Bigrams are keyed by the 64-bit hash of the context and a mix of both words' hashes, which for one
+context is a bijection of the second word's.
+
+The totals of the DICTIONARY most frequent tokens are broadcast (a bounded table). A position with
+a rarer token, as word or context, is completed by joins with the table of all totals; as these
+tokens are rare, the joins have no hot key.
 
 Edge cases: a null text is empty and has its end only; a null doc_id is training data; repeated
 rows count and are scored each; without training tokens every count is 0; an empty table gives
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import Stash, WordHashes, batches_of_rows, documents, mix64
 
-DICTIONARY, VOCABULARY = 1 << 20, 1 << 12
-BASE, DISCOUNT, LEAST = 1.5, 0.75, 2
-BITS_PER_ENTRY, PROBES, BLOCKS, MAX_BITS = 12, 5, 256, 1 << 28
+DICTIONARY = 1 << 20
+BASE, DISCOUNT = 1.5, 0.75
+BITS_PER_ENTRY, PROBES, BLOCKS = 12, 5, 256
+BROADCAST_BITS = 1 << 28
 #: No word holds a line end, so it can stand for the document's.
 END = b"\n"
 
@@ -76,57 +79,37 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("binary")).mapInArrow(_count_tokens, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class WordIds(dict):
-    """word -> position in a sorted array of hashes, or -1; emptied when large."""
+def grams_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The bigrams' keys; for one h each w has its own."""
+    return mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray):
-        super().__init__()
-        self.ids = dict(zip(hashes.tolist(), ids.tolist(), strict=True))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WordHashes.LIMIT:
-            self.clear()
-        i = self[word] = self.ids.get(xxhash.xxh3_64_intdigest(word), -1)
-        return i
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, g, count) with each g once."""
+    h, g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, back = np.unique(g, return_index=True, return_inverse=True)
+    return h[first], key, np.bincount(back, weights=c).astype(np.int64)
 
 
-def _added(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(ids), return_inverse=True)
-    return key, np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
+def _count_bigrams(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    seen = WordHashes()
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
 
+    def out() -> pa.RecordBatch:
+        h, g, c = _added(parts)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(c)], names=["h", "g", "c"])
 
-def _count_bigrams(vocabulary, limit: int = 2_000_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = vocabulary.value
-        size = len(hashes)
-        seen = WordIds(hashes, np.arange(size))
-        ids: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        held = 0
-        out = lambda k, c: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(c, pa.int64())], names=["g", "c"])
-        for batch in batches_of_rows(batches, 300):
-            own = []
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                v = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
-                a, b = v[:-1], v[1:]
-                ok = (a >= 0) & (b >= 0)
-                own.append(a[ok] * size + b[ok])
-            if own:
-                k, c = np.unique(np.concatenate(own), return_counts=True)
-                ids.append(k)
-                counts.append(c)
-                held += len(k)
+    for batch in batches_of_rows(batches, 300):
+        for text in batch.column(0).to_pylist():
+            w = seen.of(tokens(text))
+            parts.append((w[:-1], grams_of(w[:-1], w[1:]), np.ones(len(w) - 1, np.int64)))
+            held += len(w) - 1
             if held > limit:
-                k, c = _added(ids, counts)
-                ids, counts, held = [k], [c], len(k)
-                if held > limit // 2:
-                    yield out(k, c)
-                    ids, counts, held = [], [], 0
-        if ids:
-            yield out(*_added(ids, counts))
-
-    return run
+                yield out()
+                parts, held = [], 0
+    if held:
+        yield out()
 
 
 def levels_of(c: Column) -> Column:
@@ -142,28 +125,34 @@ def _positions(gram: np.ndarray, level: int, block_bits: int) -> list[np.ndarray
     return [at + (low + np.uint64(k) * high) % np.uint64(block_bits) for k in range(PROBES)]
 
 
-#: block = (gram * factor mod 2^32) / 2^24, in numpy and in Spark alike; grams are under 2^30.
+#: block = (gram's low 31 bits * factor mod 2^32) / 2^24, in numpy and in Spark alike.
 FACTOR = 2654435761
 
 
 def block_of(gram: np.ndarray) -> np.ndarray:
-    return (gram * np.uint64(FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
+    return ((gram & np.uint64(0x7FFFFFFF)) * np.uint64(FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
 
 
 def _fill(block_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
+        slot = np.full(BLOCKS, -1)
+        filled = np.zeros((0, block_bits), np.bool_)
         for batch in batches:
             gram = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             q = batch.column(1).to_numpy()
+            used = np.unique(block_of(gram).astype(np.int64))
+            new = used[slot[used] < 0]
+            if len(new):
+                slot[new] = len(filled) + np.arange(len(new))
+                filled = np.concatenate([filled, np.zeros((len(new), block_bits), np.bool_)])
+            flat = filled.reshape(-1)
             for level in range(1, int(q.max(initial=0)) + 1):
                 now = gram[q >= level]
+                shift = (slot[block_of(now).astype(np.int64)] - block_of(now).astype(np.int64)) * block_bits
                 for at in _positions(now, level, block_bits):
-                    block = (at // np.uint64(block_bits)).astype(np.int64)
-                    for b in np.unique(block):
-                        blocks.setdefault(int(b), np.zeros(block_bits, np.bool_))[(at[block == b] % np.uint64(block_bits)).astype(np.int64)] = True
-        for b, bits in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
+                    flat[at.astype(np.int64) + shift] = True
+        for b in np.flatnonzero(slot >= 0):
+            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([np.packbits(filled[slot[b]]).tobytes()], pa.binary())], names=["block", "bits"])
 
     return run
 
@@ -189,13 +178,13 @@ class LogFrequencyFilter:
         return out
 
     @classmethod
-    def build(cls, grams: DataFrame) -> LogFrequencyFilter:
-        """From rows (g, q). Grams are dealt by block, so that each block is filled by one task
-        and comes to the driver once."""
+    def build(cls, grams: DataFrame, most: int = BROADCAST_BITS) -> LogFrequencyFilter:
+        """From rows (g, q), with BITS_PER_ENTRY up to `most` bits. Grams are dealt by block, so that each block is filled by one task and
+        comes to the driver once."""
         entries = grams.agg(F.sum("q")).first()[0] or 0
-        bits = min(MAX_BITS, 1 << max(16, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY)))))
+        bits = min(most, 1 << max(16, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY)))))
         block_bits = bits // BLOCKS
-        block = F.floor(F.pmod(F.col("g") * F.lit(FACTOR), F.lit(1 << 32)) / (1 << 24))
+        block = F.shiftright((F.col("g").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(FACTOR)).bitwiseAND(F.lit(0xFFFFFFFF)), 24)
         filled = grams.withColumn("part", block).repartition("part").select("g", "q").mapInArrow(_fill(block_bits), "block int, bits binary")
         whole = np.zeros(bits // 8, np.uint8)
         step = block_bits // 8
@@ -205,14 +194,15 @@ class LogFrequencyFilter:
         return cls(whole, block_bits)
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail_h array<long>, tail_n array<long>"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_h array<long>, open_w array<long>, open_g array<long>, open_q array<long>, open_ch array<long>, open_m array<double>, open_cw array<long>"
+OPEN = ("h", "w", "g", "q", "ch", "m", "cw")
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         seen = WordHashes()
-        sizes, unit, total = m["vocabulary_size"], m["unit"], m["total"]
+        lfbf = m["filter"]
         for batch in batches_of_rows(batches, 300):
             texts = batch.column(2).to_pylist()
             words = [tokens(t) for t in texts]
@@ -223,47 +213,45 @@ def _score(model):
             at = np.minimum(np.searchsorted(m["hashes"], key), max(0, len(m["hashes"]) - 1))
             found = m["hashes"][at] == key if len(m["hashes"]) else np.zeros(len(key), bool)
             count = np.where(found, m["counts"][at] if len(m["counts"]) else 0, 0)[back]
-            voc = np.where(found, m["ids"][at] if len(m["ids"]) else -1, -1)[back]
-            found = found[back]
-            tail = ~found & (not m["complete"])
-            p = (count + 0.1) / total
+            mass = np.where(found, m["mass"][at] if len(m["mass"]) else 0.0, 0.0)[back]
+            with_mass = (found & (m["carried"][at] if len(m["carried"]) else False))[back] | m["all_carried"]
+            tail = ~found[back] & (not m["complete"])
+            p = (count + 0.1) / m["total"]
             base = np.where(tail, 0.0, np.log10(p))
             # contexts: the token before in the same document
-            ctx = np.full(len(h), -1)
-            ctx[1:] = np.where(doc[1:] == doc[:-1], voc[:-1], -1)
-            in_ctx = ctx >= 0
-            alpha = np.where(in_ctx, m["alpha"][np.maximum(ctx, 0)], 1.0) if sizes else np.ones(len(h))
-            paired = in_ctx & (voc >= 0)
-            mass = np.zeros(len(h))
-            if paired.any():
-                g, g_back = np.unique(ctx[paired] * sizes + voc[paired], return_inverse=True)
-                q = m["filter"].quantised(g.view(np.uint64))
-                c = np.where(q > 0, np.maximum(BASE ** (q - 1.0) - DISCOUNT, 0.0), 0.0)[g_back]
-                mass[paired] = c / m["context"][ctx[paired]]
-            full = np.where(tail, np.log10(alpha), np.log10(np.minimum(1.0, mass + alpha * p)))
+            follows = np.zeros(len(h), bool)
+            follows[1:] = doc[1:] == doc[:-1]
+            before = np.maximum(np.arange(len(h)) - 1, 0)
+            c_h, m_h = np.where(follows, count[before], 0), np.where(follows, mass[before], 0.0)
+            rare = follows & ~with_mass[before]
+            # a bigram of tokens never seen in training needs no probe
+            probed = follows & (rare | (c_h > 0)) & (tail | (count > 0))
+            g, q = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
+            g[probed] = grams_of(h[before[probed]], h[probed])
+            if lfbf is not None and probed.any():
+                grams, g_back = np.unique(g[probed], return_inverse=True)
+                q[probed] = lfbf.quantised(grams)[g_back]
+            left = tail | rare | (probed if lfbf is None else False)
+            c = np.where(q > 0, np.maximum(BASE ** (q - 1.0) - DISCOUNT, 0.0), 0.0)
+            inner = np.maximum(c_h, 1)
+            alpha = np.where(c_h > 0, np.maximum(1e-6, 1 - m_h / inner), 1.0)
+            full = np.where(left, 0.0, np.log10(np.minimum(1.0, np.where(c_h > 0, c / inner, 0.0) + alpha * p)))
             add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
-            t_h, t_n = [], []
-            starts = np.cumsum(n) - n
-            for k in range(len(n)):
-                if not m["complete"]:
-                    own = slice(starts[k], starts[k] + n[k])
-                    hh, nn = np.unique(h[own][tail[own]], return_counts=True)
-                    t_h.append(hh.view(np.int64))
-                    t_n.append(nn.astype(np.int64))
-                else:
-                    t_h.append([])
-                    t_n.append([])
+            # -1 stands for what the joins fill in
+            q_open = np.where(probed, -1, 0) if lfbf is None else q
+            opened = (h[before].view(np.int64), h.view(np.int64), g.view(np.int64), q_open, np.where(rare, -1, c_h), np.where(rare, 0.0, m_h), np.where(tail, -1, count))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[left], minlength=len(n)))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(full)), pa.array(t_h, pa.list_(pa.int64())), pa.array(t_n, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(full)), *(pa.ListArray.from_arrays(offsets, pa.array(x[left])) for x in opened)],
                 names=[c.split()[0] for c in _SCORED.split(", ")],
             )
 
     return run
 
 
-def dictionary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(hashes, counts) of the most frequent tokens, at most `most`, ordered by hash; whether
-    they are all. The cut is by classes of counts, a few hundred rows."""
+def dictionary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(hashes, counts, masses) of the most frequent tokens, at most `most`, ordered by hash;
+    whether they are all. The cut is by classes of counts, a few hundred rows."""
     cls = F.floor(F.log2(F.col("c").cast("double")) * 16 + 1e-9)
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(cls.alias("k")).count().collect()), reverse=True)
     taken, least = 0, None
@@ -272,49 +260,66 @@ def dictionary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bo
             break
         taken, least = taken + n, k
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), not sizes
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), not sizes
     top = counts.where(cls >= least).toArrow()
     h = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], top.column("c").to_numpy()[order], taken == sum(n for _, n in sizes)
+    return h[order], top.column("c").to_numpy()[order], top.column("m").to_numpy()[order], taken == sum(n for _, n in sizes)
 
 
-def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = VOCABULARY) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, text)."""
+def discounted(q: Column) -> Column:
+    """max(c^ - D, 0) of a quantised count, 0 for none."""
+    return F.when(q > 0, F.greatest(F.pow(F.lit(BASE), q - 1) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
+
+
+def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY, filter_bits: int = BROADCAST_BITS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, text).
+
+    At most `most` tokens' counts are broadcast, and with the `vocabulary` most frequent of them
+    what they need as contexts; the others' are joined. Neither bounds what is counted."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
-    counts = Stash(token_counts(train), "token-counts").df
+    grams = train.mapInArrow(_count_bigrams, "h long, g long, c long").groupBy("h", "g").agg(F.sum("c").alias("c"))
+    grams = Stash(grams.select("h", "g", levels_of(F.col("c")).alias("q")), "bigrams").df
+    masses = grams.groupBy("h").agg(F.sum(discounted(F.col("q"))).alias("m"))
+    counts = Stash(token_counts(train).join(masses, "h", "left").select("h", "c", F.coalesce("m", F.lit(0.0)).alias("m")), "token-totals").df
     n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    hashes, count, complete = dictionary(counts, most)
-    order = np.lexsort((hashes, -count))[:vocabulary]
-    ids = np.full(len(hashes), -1)
-    ids[order] = np.arange(len(order))
-    size = len(order)
-
-    context, alpha, lfbf = count[order].astype(float), np.ones(size), LogFrequencyFilter(np.zeros(1 << 13, np.uint8), (1 << 16) // BLOCKS)
-    if size:
-        words = spark.sparkContext.broadcast(hashes[order])
-        grams = train.mapInArrow(_count_bigrams(words), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
-        grams = Stash(grams.select("g", levels_of(F.col("c")).alias("q")), "bigrams").df
-        lfbf = LogFrequencyFilter.build(grams)
-        mass = F.sum(F.greatest(F.pow(F.lit(BASE), F.col("q") - 1) - DISCOUNT, F.lit(0.0))).alias("m")
-        for r in grams.groupBy(F.floor(F.col("g") / size).alias("h")).agg(mass).toLocalIterator():  # at most `vocabulary` rows
-            alpha[r["h"]] = max(1e-6, 1 - r["m"] / context[r["h"]])
-    model = spark.sparkContext.broadcast(
-        {"hashes": hashes, "counts": count, "ids": ids, "complete": complete, "unit": 0.1, "total": n_all + 0.1 * (v_all + 1), "vocabulary_size": size, "context": context, "alpha": alpha, "filter": lfbf}
-    )
+    hashes, count, mass, complete = dictionary(counts, most)
+    carried = np.zeros(len(hashes), bool)
+    carried[np.lexsort((hashes, -count))[:vocabulary]] = True
+    all_carried = complete and bool(carried.all())
+    lfbf = LogFrequencyFilter.build(grams.select("g", "q"), filter_bits)
+    total = n_all + 0.1 * (v_all + 1)
+    model = spark.sparkContext.broadcast({"hashes": hashes, "counts": count, "mass": mass, "carried": carried, "complete": complete, "all_carried": all_carried, "total": total, "filter": lfbf})
     out = rows.mapInArrow(_score(model), _SCORED)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"]
-    if complete:
+    if all_carried and lfbf is not None:
         return out.select(*columns)
     out = Stash(out.withColumn("rid", F.monotonically_increasing_id()), "scored").df
-    tail = out.select("rid", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("rid", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    more = tail.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(n_all + 0.1 * (v_all + 1)))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"))
-    both = out.drop("tail_h", "tail_n").join(more, "rid", "left")
+    left = out.select("rid", F.explode(F.arrays_zip(*[f"open_{k}" for k in OPEN])).alias("t")).select("rid", *[F.col(f"t.open_{k}").alias(k) for k in OPEN])
+    left = left.withColumn("tail", F.col("cw") < 0)
+    if lfbf is None:
+        known = grams.select("h", "g", F.col("q").cast("long").alias("q_"))
+        left = _completed(left, F.col("q") < 0, known, ["h", "g"], {"q": F.coalesce("q_", F.lit(0))})
+    zero = F.lit(0)
+    left = _completed(left, F.col("ch") < 0, counts.select("h", F.col("c").alias("c_"), F.col("m").alias("m_")), ["h"], {"ch": F.coalesce("c_", zero), "m": F.coalesce("m_", F.lit(0.0))})
+    left = _completed(left, F.col("tail"), counts.select(F.col("h").alias("w"), F.col("c").alias("c_")), ["w"], {"cw": F.coalesce("c_", zero)})
+    p = (F.col("cw") + 0.1) / F.lit(total)
+    seen = F.col("ch") > 0
+    inner = F.greatest("ch", F.lit(1))
+    full = F.log10(F.least(F.lit(1.0), F.when(seen, discounted(F.col("q")) / inner).otherwise(0.0) + F.when(seen, F.greatest(F.lit(1e-6), 1 - F.col("m") / inner)).otherwise(1.0) * p))
+    more = left.groupBy("rid").agg(F.sum(full).alias("full"), F.sum(F.when(F.col("tail"), F.log10(p)).otherwise(0.0)).alias("base"), F.sum(F.when(F.col("tail") & (F.col("cw") > 0), 1).otherwise(0)).alias("known"))
+    both = out.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "rid", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return both.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), columns[4], plus("base_score", "more"), plus("score", "more"))
+    return both.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), columns[4], plus("base_score", "base"), plus("score", "full"))
+
+
+def _completed(rows: DataFrame, lacking: Column, known: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows, those lacking a value with it from the join; the others keep off the join, as their
+    keys may be hot."""
+    joined = rows.where(lacking).join(known, keys, "left").withColumns(values).select(*rows.columns)
+    return rows.where(~lacking).unionByName(joined)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
