@@ -40,7 +40,8 @@ from .common import Stash, WordHashes, batches_of_rows, documents, mix64
 DICTIONARY = 1 << 20
 BASE, DISCOUNT = 1.5, 0.75
 BITS_PER_ENTRY, PROBES, BLOCKS = 12, 5, 256
-BROADCAST_BITS = 1 << 28
+#: A filter of more bits is not broadcast; the counts are joined instead.
+BROADCAST_BITS = 1 << 30
 #: No word holds a line end, so it can stand for the document's.
 END = b"\n"
 
@@ -178,11 +179,14 @@ class LogFrequencyFilter:
         return out
 
     @classmethod
-    def build(cls, grams: DataFrame, most: int = BROADCAST_BITS) -> LogFrequencyFilter:
-        """From rows (g, q), with BITS_PER_ENTRY up to `most` bits. Grams are dealt by block, so that each block is filled by one task and
+    def build(cls, grams: DataFrame, most: int = BROADCAST_BITS) -> LogFrequencyFilter | None:
+        """From rows (g, q), with BITS_PER_ENTRY at least whatever their number; None if that takes more
+        than `most` bits. Grams are dealt by block, so that each block is filled by one task and
         comes to the driver once."""
         entries = grams.agg(F.sum("q")).first()[0] or 0
-        bits = min(most, 1 << max(16, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY)))))
+        bits = 1 << max(16, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
+        if bits > most:
+            return None
         block_bits = bits // BLOCKS
         block = F.shiftright((F.col("g").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(FACTOR)).bitwiseAND(F.lit(0xFFFFFFFF)), 24)
         filled = grams.withColumn("part", block).repartition("part").select("g", "q").mapInArrow(_fill(block_bits), "block int, bits binary")

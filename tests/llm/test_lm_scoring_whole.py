@@ -40,7 +40,7 @@ def many_words():
     return [(i, " ".join(f"w{x}" for x in rng.integers(0, 6000, 150)) + " of the end of the day") for i in range(60)]
 
 
-@pytest.mark.parametrize(("most", "vocabulary", "bits"), [(1 << 20, 1 << 20, 1 << 28), (1 << 20, 20, 1 << 28), (300, 300, 1 << 28)])
+@pytest.mark.parametrize(("most", "vocabulary", "bits"), [(1 << 20, 1 << 20, 1 << 30), (1 << 20, 20, 1 << 30), (300, 300, 1 << 30), (1 << 20, 1 << 20, 0), (300, 4, 0)])
 def test_lm_scores_count_every_bigram(spark, many_words, most, vocabulary, bits):
     docs = spark.createDataFrame(many_words, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(docs, most, vocabulary, bits).collect()}
