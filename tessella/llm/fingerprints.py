@@ -7,9 +7,9 @@ ln a = ln c + r b - r - r t; the term with the least a is drawn. Two texts draw
 (term, t) with a probability equal to the generalised Jaccard similarity of their weights.
 As ln a is a function of (term, t), the least value itself stands for the draw.
 
-Terms are hashed to TERMS buckets, for which r, b and ln a at t = 0 are tabled once per Python
-worker (the same tables on every machine, as they come from the buckets' numbers); weights of
-one need one table only. Two texts of n terms each share about n / TERMS of them by chance.
+Terms are 64-bit hashes, and r, c and b come from a mix of (term, sample), so that two texts
+share no term by chance however long they are; terms are taken in blocks, so memory is bounded.
+What was computed for the terms of a document and of the one after it serves the edit too.
 
 Edge cases: a null text is empty; a text without words has a fingerprint of zeros, alike (1)
 to another such and unlike (0) to any other; rows with the same doc_id are ordered by text;
@@ -28,45 +28,78 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, batches_of_rows, documents, mix64, ngram_hashes, partitions
 
-SAMPLES, TERMS = 128, 1 << 16
-
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
-def tables(samples: int = SAMPLES, terms: int = TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ln a at t = 0, r, b), each terms x samples; made on first use in a process."""
-    if (samples, terms) not in _tables:
-        cell = np.arange(terms * samples, dtype=np.uint64)
-        u = [((mix64(cell + np.uint64((k + 1) << 40)) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24) for k in range(5)]
-        r = -(np.log(u[0]) + np.log(u[1]))
-        ln_c = np.log(-(np.log(u[2]) + np.log(u[3])))
-        base = ln_c + r * u[4] - r
-        _tables[samples, terms] = tuple(x.astype(np.float32).reshape(terms, samples) for x in (base, r, u[4]))
-    return _tables[samples, terms]
-
-
-def signature(hashes: np.ndarray, samples: int = SAMPLES, terms: int = TERMS) -> np.ndarray | None:
-    """The samples' least ln a for the words' hashes; None without words."""
+SAMPLES = 128
+#: Terms for which variates are made at a time (few enough for a processor's cache), and up to which a text's are kept.
+BLOCK, KEPT = 128, 1 << 14
+
+#: Sorted terms and their ln a at t = 0.
+Known = tuple[np.ndarray, np.ndarray]
+
+
+def _product(bits: np.ndarray) -> np.ndarray:
+    """The product of two uniforms of 24 bits, from the halves of 64."""
+    u = (bits.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32)
+    u += np.float32(0.5)
+    return u[:, 0::2] * u[:, 1::2] * np.float32(2.0**-48)
+
+
+def variates(term: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ln a at t = 0, r, b), each len(term) x samples."""
+    x = mix64(term[:, None] ^ mix64(np.arange(1, samples + 1, dtype=np.uint64) << np.uint64(40)))
+    y = x * np.uint64(0xD6E8FEB86659FD93)
+    y ^= y >> np.uint64(32)
+    y *= np.uint64(0xC2B2AE3D27D4EB4F)
+    r = -np.log(_product(x))
+    ln_c = np.log(-np.log(_product(y)))
+    b = ((x * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)).astype(np.uint32).view(np.int32).astype(np.float32)
+    b += np.float32(0.5)
+    b *= np.float32(2.0**-24)
+    return ln_c + r * b - r, r, b
+
+
+def bases(term: np.ndarray, samples: int, known: tuple[Known, ...]) -> np.ndarray:
+    """ln a at t = 0 of sorted terms, from those known where they hold them."""
+    out = np.empty((len(term), samples), np.float32)
+    lacking = np.ones(len(term), bool)
+    for terms, values in known:
+        at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+        hit = lacking & (terms[at] == term)
+        out[hit] = values[at[hit]]
+        lacking &= ~hit
+    left = np.flatnonzero(lacking)
+    for k in range(0, len(left), BLOCK):
+        out[left[k : k + BLOCK]] = variates(term[left[k : k + BLOCK]], samples)[0]
+    return out
+
+
+def drawn(hashes: np.ndarray, samples: int = SAMPLES, known: tuple[Known, ...] = ()) -> tuple[np.ndarray | None, tuple[Known, ...]]:
+    """The samples' least ln a for the words' hashes, None without words; and what is worth
+    knowing of the terms."""
     if not len(hashes):
-        return None
-    base, r, b = tables(samples, terms)
-    grams = ngram_hashes(hashes, min(2, len(hashes)))
-    counts = np.bincount((grams & np.uint64(terms - 1)).astype(np.int64), minlength=0) if len(grams) > 4096 else None
-    if counts is not None:
-        term = np.flatnonzero(counts)
-        weight = counts[term]
-    else:
-        term, weight = np.unique((grams & np.uint64(terms - 1)).astype(np.int64), return_counts=True)
+        return None, ()
+    term, weight = np.unique(ngram_hashes(hashes, min(2, len(hashes))), return_counts=True)
     least = np.full(samples, np.inf, np.float32)
-    once = term[weight == 1]
-    for k in range(0, len(once), 2048):
-        np.minimum(least, base[once[k : k + 2048]].min(axis=0), out=least)
-    many, weight = term[weight > 1], weight[weight > 1]
-    for k in range(0, len(many), 1024):
-        at = many[k : k + 1024]
-        step = np.floor(np.log(weight[k : k + 1024].astype(np.float32))[:, None] / r[at] + b[at])
-        np.minimum(least, (base[at] - r[at] * step).min(axis=0), out=least)
-    return least
+    kept: tuple[Known, ...] = ()
+    for k in range(0, len(term), KEPT):
+        some, times = term[k : k + KEPT], weight[k : k + KEPT]
+        once = times == 1
+        if once.any():
+            single = some[once]
+            value = bases(single, samples, known)
+            np.minimum(least, value.min(axis=0), out=least)
+            if len(term) <= KEPT:
+                kept = ((single, value),)
+        many = np.flatnonzero(~once)
+        for j in range(0, len(many), BLOCK):
+            at = many[j : j + BLOCK]
+            base, r, b = variates(some[at], samples)
+            step = np.floor(np.log(times[at].astype(np.float32))[:, None] / r + b)
+            np.minimum(least, (base - r * step).min(axis=0), out=least)
+    return least, kept
+
+
+def signature(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray | None:
+    return drawn(hashes, samples)[0]
 
 
 def as_text(sig: np.ndarray | None, samples: int = SAMPLES) -> str:
@@ -103,11 +136,11 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of_rows(batches, 1000):
         out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
         for bucket, head, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            now = (bucket, doc_id, text, signature(seen.of(_words(text))))
+            now = (bucket, doc_id, text, *drawn(seen.of(_words(text))))
             if held is not None and held[0] == bucket:
-                _, before_id, before, sig = held
+                _, before_id, before, sig, known = held
                 changed = edited(before, text)
-                new = signature(seen.of(_words(changed)))
+                new = drawn(seen.of(_words(changed)), known=known + now[4])[0]
                 for name, value in zip(
                     out,
                     (before_id, len(before), hashlib.sha256(changed.encode("utf-8")).hexdigest(), as_text(sig), as_text(new), likeness(sig, new), likeness(sig, now[3])),
