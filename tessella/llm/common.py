@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,14 +83,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+#: The base of a hash that is independent of the first.
+SECOND_BASE = int(_ODD[1])
+
+
+def ngram_hashes(h: np.ndarray, n: int, base: int = int(_ODD[0])) -> np.ndarray:
     """Hash of each run of n consecutive values of h; fewer than n: none. The polynomial's
     base is odd, so order counts."""
     if len(h) < n:
         return h[:0]
-    base, out = int(_ODD[0]), np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(base) + h[k : k + len(out)]
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out *= np.uint64(base)
+        out += h[k : k + len(out)]
     return mix64(out)
 
 
@@ -107,6 +113,20 @@ def batches_of_rows(batches: Iterator, rows: int) -> Iterator:
             yield b.slice(k, rows)
 
 
+def batches_of_bytes(batches: Iterable, column: int, size: int = 4 << 20) -> Iterator:
+    """Arrow record batches cut so that the binary column holds about `size` bytes a slice, or one
+    row that has more."""
+    for b in batches:
+        texts = b.column(column)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < b.num_rows:
+            done = int(ends[k - 1]) if k else 0
+            to = max(k + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield b.slice(k, to - k)
+            k = to
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts, nulls as text; the same in every engine."""
     digest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))

@@ -1,22 +1,25 @@
 """Substring dedup: windows of words that also start in an earlier document.
 
-Pass 1 counts, in a count-min sketch, the documents of each window's minimizer (the least hash
-of the K-word runs in the window). Equal windows have equal minimizers, so the estimate is
-never below the number of documents that hold the window. Each partition packs its sketch
-sparsely, by pages; pages are merged on the executors with counters that stop at 2, and only
-the bit "two or more" of each cell is broadcast: SKETCH_BITS cells, whatever the corpus. A
-larger corpus than the sketch is made for raises the share of unique windows that pass, up to
-all of them; none that repeats is ever lost.
-
-Pass 2 groups exactly, by 128 bits (minimizer and window hash), the windows estimated repeated
-and finds those that start in a document with a smaller doc_id. Consecutive windows with one
-minimizer are one row. Minimizers that hold more than 1 / HEAVY of all rows, HEAVY at most, are
-first resolved within each batch of rows, which leaves a row per batch and window; those are
-grouped by partial aggregation and joined back (splittable). The others are dealt by minimizer.
-
-Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; a
-null doc_id comes after all others; rows that share a doc_id never remove each other's words;
-an empty table gives an empty result.
+Windows have a 96-bit hash; its high bits name the part, one of as many as there are shuffle
+partitions, that a window belongs to. What is sent to a part is packed: one row per part and
+FLUSH windows, whatever these hold.
+
+Pass 1 counts windows in a count-min sketch of about a cell per byte of text, cut into the parts.
+Each task packs its sketch sparsely; the parts are merged on the executors with counters that
+stop at 2, and only the bit "two or more" of each cell is kept. Up to BROADCAST_CELLS cells the
+bits are broadcast, so that windows estimated unique are never sent; a larger sketch stays where
+it is, and the windows meet it in their part. Both ways have the same windows left.
+
+Pass 2 groups the windows estimated repeated exactly, by their hash. Each task first resolves
+what it holds itself, and sends of each window only the starts in its least doc_id; so a window
+that a third of all documents hold is a few entries a task. A part answers with the starts that
+go, packed by the documents' part; there they meet the texts, which are shuffled once.
+
+Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; a very
+long text is hashed by itself; of equal windows the least doc_id keeps all its own (ties); a null
+doc_id comes after all others; rows that share a doc_id never remove each other's words, and
+repeated rows lose the same; only doc_id and text are read, so other columns cannot clash; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,108 +33,137 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, WordHashes, batches_of_rows, documents, mix64, ngram_hashes
+from .common import SECOND_BASE, Stash, WordHashes, batches_of_bytes, documents, mix64, ngram_hashes, partitions
 
-WINDOW, K = 13, 5
-SKETCH_BITS, DEPTH, PAGES = 1 << 28, 2, 256
-#: A minimizer is heavy with more rows than HEAVY_ROWS and 1 / HEAVY of all.
-HEAVY, HEAVY_ROWS = 2000, 1000
-_PAGE = SKETCH_BITS // PAGES
+WINDOW, DEPTH = 13, 2
+#: Windows that a task holds before it sends them; a sketch of more cells is not broadcast.
+FLUSH, BROADCAST_CELLS = 1_500_000, 1 << 30
 _CODEC = pa.Codec("zstd")
+_M32 = np.uint64(0xFFFFFFFF)
 
 
-def minimizers(h: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
-    """For each window of words (hashes h) the least hash of its k-word runs."""
-    x = ngram_hashes(h, k)
-    span = window - k + 1
-    if len(x) < span:
-        return x[:0]
-    have = 1
-    while have < span:
-        step = min(have, span - have)
-        x = np.minimum(x[:-step], x[step:])
-        have += step
-    return x
+def _squeezed(raw: bytes) -> bytes:
+    return _CODEC.compress(raw, asbytes=True)
 
 
-def cells(values: np.ndarray) -> list[np.ndarray]:
-    """The DEPTH cells of each value; each depth has its own part of the sketch."""
-    width = np.uint64(SKETCH_BITS // DEPTH)
-    return [mix64(values + np.uint64(d + 1)) % width + np.uint64(d) * width for d in range(DEPTH)]
+def _opened(packed: bytes, size: int) -> bytes:
+    return _CODEC.decompress(packed, size, asbytes=True)
+
+
+def part_of(w: np.ndarray, parts: int) -> np.ndarray:
+    """The window's part; it never falls as w rises."""
+    return ((w >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def windows(texts: list[bytes | None], seen: WordHashes, window: int = WINDOW, second: bool = True) -> tuple[np.ndarray, ...]:
+    """(w, v, row, start) of each window of each text: 64 and, if second, 32 more bits of hash."""
+    words = [(t or b"").split() for t in texts]
+    n = np.array([len(x) for x in words], np.int64)
+    h = seen.of([x for own in words for x in own])
+    row = np.repeat(np.arange(len(n)), n)
+    if len(h) < window:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), row[:0], row[:0]
+    inside = np.flatnonzero(row[window - 1 :] == row[: len(row) - window + 1])
+    v = (ngram_hashes(h, window, SECOND_BASE)[inside] >> np.uint64(32)).astype(np.uint32) if second else np.zeros(0, np.uint32)
+    row = row[inside]
+    return ngram_hashes(h, window)[inside], v, row, inside - (np.cumsum(n) - n)[row]
+
+
+class Sketch:
+    """Measures of a count-min sketch: parts, and cells of each depth in a part."""
+
+    def __init__(self, parts: int, cells: int):
+        self.parts = parts
+        self.width = max(64, -(-cells // (parts * DEPTH * 8)) * 8)
+
+    @property
+    def cells(self) -> int:
+        return self.parts * DEPTH * self.width
+
+    def cells_of(self, w: np.ndarray) -> list[np.ndarray]:
+        """The DEPTH cells of each window, over the whole sketch; each depth has its own."""
+        x, width = mix64(w + np.uint64(1)), np.uint64(self.width)
+        first = part_of(w, self.parts).astype(np.uint64) * np.uint64(DEPTH * self.width)
+        return [first + np.uint64(d * self.width) + (half * width >> np.uint64(32)) for d, half in enumerate((x & _M32, x >> np.uint64(32)))]
+
+    def repeated(self, bits: np.ndarray, w: np.ndarray, shift: int = 0) -> np.ndarray:
+        """Whether the windows are estimated repeated; bits start at cell `shift`."""
+        ok = np.ones(len(w), bool)
+        for cell in self.cells_of(w):
+            cell = cell.astype(np.int64) - shift
+            ok &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+        return ok
 
 
 def _packed(cell: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted cells of a page as gaps, with a bit for a count of two or more."""
-    gaps = np.diff(cell, prepend=0).astype(np.uint32) * 2 + twice
-    wide = int(gaps.max(initial=0) > 65535)
-    return bytes([wide]) + _CODEC.compress(gaps.astype(np.uint32 if wide else np.uint16).tobytes(), asbytes=True)
+    """Sorted cells of a part as gaps, with a bit for a count of two or more."""
+    gaps = np.diff(cell, prepend=0).astype(np.int64) * 2 + twice
+    kind = next(k for k in (np.uint16, np.uint32, np.uint64) if gaps.max(initial=0) <= np.iinfo(k).max)
+    return bytes([kind().itemsize]) + _squeezed(gaps.astype(kind).tobytes())
+
 
+_ROWS = "part int, n int, blob binary"
 
-def _sketch(window: int):
+
+def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["part", "n", "blob"])
+
+
+def _sketch(window: int, sketch: Sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
         held: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             value, n = np.unique(np.concatenate(held), return_counts=True)
-            cell = np.concatenate(cells(value))
-            order = np.argsort(cell)
-            cell, times = cell[order], np.tile(n, DEPTH)[order]
-            first = np.flatnonzero(np.diff(cell, prepend=np.uint64(1 << 63)))
-            cell, times = cell[first], np.add.reduceat(times, first)
-            bounds = np.searchsorted(cell, np.arange(PAGES + 1, dtype=np.uint64) * np.uint64(_PAGE))
-            rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-            packs = [_packed((cell[a:b] - np.uint64(p * _PAGE)).astype(np.int64), times[a:b] > 1) for p, a, b in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([int(r[2] - r[1]) for r in rows], pa.int32()), pa.array(packs, pa.binary())], names=["page", "n", "pack"])
-
-        for batch in batches_of_rows(batches, 500):
-            for text in batch.column(0).to_pylist():
-                own = np.unique(minimizers(seen.of((text or b"").split()), window))
-                if len(own):
-                    held.append(own)
-                    size += len(own)
-            if size > 1_500_000:
-                yield from flush()
-                held, size = [], 0
-        if held:
-            yield from flush()
+            held.clear()
+            key = np.concatenate([cell * np.uint64(2) + (n > 1) for cell in sketch.cells_of(value)])
+            key.sort()
+            cell = (key >> np.uint64(1)).astype(np.int64)
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            twice = (np.diff(first, append=len(cell)) > 1) | (key[first] & np.uint64(1)).astype(bool)
+            cell, step = cell[first], DEPTH * sketch.width
+            bounds = np.searchsorted(cell, np.arange(sketch.parts + 1) * step)
+            return _rows([(p, int(b - a), _packed(cell[a:b] - p * step, twice[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
+
+        for batch in batches_of_bytes(batches, 0):
+            held.append(windows(batch.column(0).to_pylist(), seen, window, second=False)[0])
+            if sum(map(len, held)) > FLUSH:
+                yield flush()
+        if sum(map(len, held)):
+            yield flush()
 
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for page, n, pack in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            kind = np.uint32 if pack[0] else np.uint16
-            gaps = np.frombuffer(_CODEC.decompress(pack[1:], n * np.dtype(kind).itemsize, asbytes=True), kind).astype(np.int64)
-            cell = np.cumsum(gaps >> 1)
-            count = pages.setdefault(page, np.zeros(_PAGE, np.uint8))
-            count[cell] = np.minimum(2, count[cell] + 1 + (gaps & 1).astype(np.uint8))
-    for page, count in pages.items():
-        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], names=["page", "bits"])
-
-
-def repeated_cells(texts: DataFrame, window: int = WINDOW) -> np.ndarray:
-    """The merged sketch of all texts: a bit for each cell with a count of two or more."""
-    parts = texts.mapInArrow(_sketch(window), "page int, n int, pack binary").repartition("page").mapInArrow(_merge, "page int, bits binary")
-    out = np.zeros(SKETCH_BITS // 8, np.uint8)
-    size = _PAGE // 8
-    for row in parts.toLocalIterator():  # PAGES rows
-        out[row["page"] * size : (row["page"] + 1) * size] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
+def _merge(sketch: Sketch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, n, pack in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                kind = {2: np.uint16, 4: np.uint32, 8: np.uint64}[pack[0]]
+                gaps = np.frombuffer(_opened(pack[1:], n * pack[0]), kind).astype(np.int64)
+                cell = np.cumsum(gaps >> 1)
+                count = counts.setdefault(part, np.zeros(DEPTH * sketch.width, np.uint8))
+                count[cell] = np.minimum(2, count[cell] + 1 + (gaps & 1).astype(np.uint8))
+        for part, count in counts.items():
+            yield _rows([(part, len(count), np.packbits(count > 1).tobytes())])
 
+    return run
 
-def estimated_repeated(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(values), bool)
-    for cell in cells(values):
-        cell = cell.astype(np.int64)
-        ok &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-    return ok
 
+def merged_sketch(texts: DataFrame, sketch: Sketch, window: int = WINDOW) -> DataFrame:
+    """(part, n, blob): the bits of each part that has any window."""
+    return texts.mapInArrow(_sketch(window, sketch), _ROWS).repartitionById(sketch.parts, "part").mapInArrow(_merge(sketch), _ROWS)
 
-_RUNS = "m long, doc long, th int, pos int, w array<long>"
+
+def gathered(rows: DataFrame, sketch: Sketch) -> np.ndarray:
+    """The parts' bits as one array."""
+    out = np.zeros(sketch.cells // 8, np.uint8)
+    size = DEPTH * sketch.width // 8
+    for row in rows.toLocalIterator():  # a row a part
+        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(bytes(row["blob"]), np.uint8)
+    return out
 
 
 def text_tag(text: bytes) -> int:
@@ -139,167 +171,198 @@ def text_tag(text: bytes) -> int:
     return int(np.uint32(xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF).view(np.int32))
 
 
-def _candidates(sketch, window: int):
+def _places(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> list[bytes]:
+    return [doc.astype(np.int64).tobytes(), tag.astype(np.int32).tobytes(), np.diff(start, prepend=0).astype(np.int32).tobytes()]
+
+
+def _read_places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = np.cumsum(np.frombuffer(raw, np.int32, n, 12 * n), dtype=np.int64)
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n), start
+
+
+def pack_windows(w: np.ndarray, v: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int) -> bytes:
+    """The first n are entries to be compared, the others are known to go and need no hash."""
+    places = b"".join(_places(doc[:n], tag[:n], start[:n]) + _places(doc[n:], tag[n:], start[n:]))
+    return np.array([n, len(doc) - n], np.int64).tobytes() + w[:n].tobytes() + v[:n].tobytes() + _squeezed(places)
+
+
+def unpack_windows(blob: bytes) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """(w, v, places of these, places that go)"""
+    n, gone = np.frombuffer(blob, np.int64, 2).tolist()
+    raw = _opened(blob[16 + 12 * n :], 16 * (n + gone))
+    return np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint32, n, 16 + 8 * n), _read_places(raw[: 16 * n], n), _read_places(raw[16 * n :], gone)
+
+
+def later(w: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether the same window is there with a smaller doc."""
+    order = np.argsort(w, kind="stable")
+    same = np.diff(w[order]) == 0
+    if (same & (np.diff(v[order].astype(np.int64)) != 0)).any():
+        order = np.lexsort((v, w))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(w[order]) != 0) | (np.diff(v[order].astype(np.int64)) != 0)
+    out = np.zeros(len(order), bool)
+    if len(order):
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+        out[order] = doc[order] > least[np.cumsum(new) - 1]
+    return out
+
+
+def _candidates(window: int, sketch: Sketch, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = WordHashes(), sketch.value
-        for batch in batches_of_rows(batches, 300):
-            m_, doc_, th_, pos_, len_, w_ = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = seen.of((text or b"").split())
-                least = minimizers(h, window)
-                if not len(least):
-                    continue
-                start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                ok = estimated_repeated(bits, least[start])
-                if not ok.any():
-                    continue
-                size = np.diff(start, append=len(least))
-                keep = np.repeat(ok, size)
-                w_.append(ngram_hashes(h, window)[keep])
-                start, size = start[ok], size[ok]
-                m_.append(least[start])
-                pos_.append(start)
-                len_.append(size)
-                doc_.append(np.full(len(start), doc))
-                th_.append(np.full(len(start), text_tag(text)))
-            if m_:
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(len_))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(w_).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(m_).view(np.int64)), pa.array(np.concatenate(doc_), pa.int64()), pa.array(np.concatenate(th_), pa.int32()), pa.array(np.concatenate(pos_), pa.int32()), lists], names=["m", "doc", "th", "pos", "w"]
-                )
+        seen = WordHashes()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            w, v, doc, tag, start = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            part, gone = part_of(w, sketch.parts), later(w, v, doc)
+            order = np.argsort(part * 2 + gone, kind="stable")
+            w, v, doc, tag, start, gone, part = (x[order] for x in (w, v, doc, tag, start, gone, part))
+            bounds = np.searchsorted(part, np.arange(sketch.parts + 1))
+            return _rows([(p, int(b - a), pack_windows(w[a:b], v[a:b], doc[a:b], tag[a:b], start[a:b], int(b - a - gone[a:b].sum()))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
+
+        for batch in batches_of_bytes(batches, 1):
+            texts = batch.column(1).to_pylist()
+            w, v, row, start = windows(texts, seen, window)
+            if bits is not None:
+                ok = np.flatnonzero(sketch.repeated(bits.value, w))
+                w, v, row, start = w[ok], v[ok], row[ok], start[ok]
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            tag = np.array([text_tag(t or b"") for t in texts], np.int32)
+            held.append((w, v, doc[row], tag[row], start))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield flush()
+        if sum(len(x[0]) for x in held):
+            yield flush()
 
     return run
 
 
-_GONE = "doc long, th int, start int, size int"
+def home_of(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a document's text."""
+    return part_of(mix64(mix64(doc.astype(np.int64).view(np.uint64)) ^ tag.astype(np.int64).view(np.uint64)), parts)
 
 
-def _flat(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Per window of the table's rows: m, w, doc, th, start, the row, and whether the same
-    window is in a row with a smaller doc."""
-    lists = table.column("w").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
-    size = np.diff(lists.offsets.to_numpy())
-    w = lists.flatten().to_numpy()
-    row = np.repeat(np.arange(table.num_rows), size)
-    m, doc, th = (table.column(c).to_numpy()[row] for c in ("m", "doc", "th"))
-    start = table.column("pos").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    order = np.lexsort((doc, w, m))
-    new = np.ones(len(order), bool)
-    new[1:] = (m[order][1:] != m[order][:-1]) | (w[order][1:] != w[order][:-1])
-    first = doc[order][new][np.cumsum(new) - 1]
-    gone = np.zeros(len(order), bool)
-    gone[order] = doc[order] > first
-    return m, w, doc, th, start, row, gone
-
-
-def _gone_runs(flat: tuple[np.ndarray, ...]) -> list[pa.Array]:
-    """The removed windows as runs: doc, th, start, size."""
-    _, _, doc, th, start, row, gone = flat
-    hit = np.flatnonzero(gone)
-    head = np.ones(len(hit), bool)
-    head[1:] = (row[hit][1:] != row[hit][:-1]) | (np.diff(hit) != 1)
-    at = np.flatnonzero(head)
-    where = hit[at]
-    return [pa.array(doc[where], pa.int64()), pa.array(th[where], pa.int32()), pa.array(start[where], pa.int32()), pa.array(np.diff(at, append=len(hit)), pa.int32())]
-
-
-def _resolve(table: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(_gone_runs(_flat(table)), names=["doc", "th", "start", "size"])
-
-
-_HALF = _GONE + ", m long, w long"
-
-
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch: what its own rows already remove, as runs, and for each window only the
-    rows with the least doc (m and w set), to be resolved over all batches."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        flat = _flat(pa.Table.from_batches([batch]))
-        runs = _gone_runs(flat)
-        m, w, doc, th, start, _, gone = flat
-        left = ~gone
-        n, k = len(runs[0]), int(left.sum())
-        own = [doc[left], th[left].astype(np.int32), start[left].astype(np.int32), np.ones(k, np.int32)]
-        columns = [pa.concat_arrays([a, pa.array(b, a.type)]) for a, b in zip(runs, own, strict=True)]
-        keys = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c[left], pa.int64())]) for c in (m, w)]
-        yield pa.RecordBatch.from_arrays([*columns, *keys], names=["doc", "th", "start", "size", "m", "w"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by m; a group cut by a batch's end waits for the next batch."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
-        now = now if held is None else pa.concat_tables([held, now])
-        m = now.column("m").to_numpy()
-        cut = int(np.searchsorted(m, m[-1]))
-        held = now.slice(cut)
-        if cut:
-            yield _resolve(now.slice(0, cut))
-    if held is not None:
-        yield _resolve(held)
-
-
-def removed_windows(rows: DataFrame, window: int = WINDOW, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """(doc, th, start, size): runs of windows of rows (doc, text) that also start in a row
-    with a smaller doc. A minimizer of up to heavy_rows rows is never heavy."""
+def _resolve(sketch: Sketch):
+    """Rows sorted by part and kind, the part's sketch (0, if it was not broadcast) before its
+    windows (1): per part of the documents the places that go."""
+
+    def answer(part: int, bits: np.ndarray | None, blobs: list[tuple]) -> pa.RecordBatch:
+        w, v = (np.concatenate([b[k] for b in blobs]) for k in range(2))
+        doc, tag, start = (np.concatenate([b[2][k] for b in blobs]) for k in range(3))
+        if bits is not None:
+            ok = np.flatnonzero(sketch.repeated(bits, w, part * DEPTH * sketch.width))
+            w, v, doc, tag, start = (x[ok] for x in (w, v, doc, tag, start))
+        gone = later(w, v, doc)
+        doc, tag, start = (np.concatenate([x[gone], *[b[3][k] for b in blobs]]) for k, x in enumerate((doc, tag, start)))
+        home = home_of(doc, tag, sketch.parts)
+        order = np.lexsort((start, tag, doc, home))
+        doc, tag, start, home = doc[order], tag[order], start[order], home[order]
+        bounds = np.searchsorted(home, np.arange(sketch.parts + 1))
+        return _rows([(p, int(b - a), _squeezed(b"".join(_places(doc[a:b], tag[a:b], start[a:b])))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits, blobs = -1, None, []
+        for batch in batches:
+            for part, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != now:
+                    if blobs:
+                        yield answer(now, bits, blobs)
+                    now, bits, blobs = part, None, []
+                if kind == 0:
+                    bits = np.frombuffer(blob, np.uint8)
+                else:
+                    blobs.append(unpack_windows(blob))
+        if blobs:
+            yield answer(now, bits, blobs)
+
+    return run
+
+
+def removed_places(rows: DataFrame, window: int = WINDOW, broadcast_cells: int = BROADCAST_CELLS) -> tuple[DataFrame, Sketch]:
+    """(part, n, blob): per part of the documents packed (doc, tag, start) of windows of rows
+    (doc, text) that also start in a row with a smaller doc."""
     spark = rows.sparkSession
-    sketch = spark.sparkContext.broadcast(repeated_cells(rows.select("text"), window))
-    runs = Stash(rows.mapInArrow(_candidates(sketch, window), _RUNS), "windows").df
-    total = runs.count()
-    heavy = Stash(runs.groupBy("m").count().where(F.col("count") > max(heavy_rows, total // HEAVY)).select("m"), "heavy").df  # at most HEAVY rows
-    light = runs.join(F.broadcast(heavy), "m", "left_anti").repartition("m").sortWithinPartitions("m").mapInArrow(_groups, _GONE)
-    half = Stash(runs.join(F.broadcast(heavy), "m", "left_semi").select("m", "doc", "th", "pos", "w").mapInArrow(_local, _HALF), "heavy-windows").df
-    done, each = half.where("m is null").drop("m", "w"), half.where("m is not null")
-    least = each.groupBy("m", "w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    hot = each.join(least, ["m", "w"]).where(F.col("doc") > F.col("least")).select("doc", "th", "start", "size")
-    return light.unionByName(done).unionByName(hot)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    sketch = Sketch(max(1, partitions(spark)), size)
+    merged = Stash(merged_sketch(rows.select("text"), sketch, window), "window-sketch")
+    bits = None
+    if sketch.cells <= broadcast_cells:
+        bits = spark.sparkContext.broadcast(gathered(merged.df, sketch))
+        merged.drop()
+    sent = rows.mapInArrow(_candidates(window, sketch, bits), _ROWS).select("part", F.lit(1).alias("kind"), "blob")
+    if bits is None:
+        sent = sent.unionByName(merged.df.select("part", F.lit(0).alias("kind"), "blob"))
+    met = sent.repartitionById(sketch.parts, "part").sortWithinPartitions("part", "kind")
+    return met.mapInArrow(_resolve(sketch), _ROWS), sketch
 
 
 def _cut(window: int, digest: bool):
+    """Rows sorted by kind, all that goes (0) before the texts (1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_rows(batches, 500):
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc_id, text, gone in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words = (text or b"").split()
-                left = words
-                if gone:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    start = np.array([g["start"] for g in gone])
-                    end = start + [g["size"] for g in gone] + (window - 1)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, end, -1)
-                    left = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
-                whole = b" ".join(left)
-                for to, value in zip(out, (doc_id, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8")), strict=True):
-                    to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+        packs: list[tuple] = []
+        at: dict[tuple[int, int], tuple[int, int]] | None = None
+        start = np.zeros(0, np.int64)
+        for batch in batches:
+            kind = batch.column(0).to_numpy()
+            first = int(np.searchsorted(kind, 1))
+            for n, blob in zip(batch.column(1)[:first].to_pylist(), batch.column(5)[:first].to_pylist(), strict=True):
+                packs.append(_read_places(_opened(blob, 16 * n), n))
+            if first == batch.num_rows:
+                continue
+            if at is None:
+                at = {}
+                if packs:
+                    doc, tag, start = (np.concatenate([p[k] for p in packs]) for k in range(3))
+                    packs.clear()
+                    order = np.lexsort((start, tag, doc))
+                    doc, tag, start = doc[order], tag[order], start[order]
+                    head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 0)]))
+                    at = {k: (a, b) for k, a, b in zip(zip(doc[head].tolist(), tag[head].tolist(), strict=True), head.tolist(), [*head[1:].tolist(), len(doc)], strict=True)}
+            for part in batches_of_bytes([batch.slice(first)], 5):
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for doc_id, doc, tag, text in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                    words = (text or b"").split()
+                    left = words
+                    if (doc, tag) in at:
+                        a, b = at[doc, tag]
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        own = np.unique(start[a:b])
+                        edge[own] += 1
+                        edge[own + window] -= 1
+                        left = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
+                    whole = b" ".join(left)
+                    for to, value in zip(out, (doc_id, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8")), strict=True):
+                        to.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches_of_rows(batches, 1000):
-        tags = [text_tag(t or b"") for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int32())], names=["doc_id", "doc", "text", "th"])
+def _homed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tag = np.array([text_tag(t or b"") for t in batch.column(2).to_pylist()], np.int32)
+            doc = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tag), pa.array(home_of(doc, tag, parts), pa.int32())], names=["doc_id", "doc", "text", "tag", "part"])
+
+    return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs (doc_id, text): kept is the words
     left, joined by one space, or with digest its SHA-256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    gone = removed_windows(rows.select("doc", "text").where("text is not null"), window)
-    lists = gone.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    tagged = rows.mapInArrow(_tagged, "doc_id long, doc long, text binary, th int")
-    joined = tagged.join(lists, ["doc", "th"], "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
+    gone, sketch = removed_places(rows.select("doc", "text"), window, broadcast_cells)
+    texts = rows.mapInArrow(_homed(sketch.parts), "doc_id long, doc long, text binary, tag int, part int")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    met = texts.select(F.lit(1).alias("kind"), none("int", "n"), "doc_id", "doc", "tag", F.col("text").alias("blob"), "part").unionByName(
+        gone.select(F.lit(0).alias("kind"), "n", none("long", "doc_id"), none("long", "doc"), none("int", "tag"), "blob", "part")
+    )
+    met = met.repartitionById(sketch.parts, "part").drop("part").sortWithinPartitions("kind")
+    return met.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
