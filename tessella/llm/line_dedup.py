@@ -1,20 +1,24 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 The index is a list of runs, tables of (h1, h2, n_docs, max_doc) sorted by hash within hash
-partitions. A batch of documents becomes a run of level 0; when a level holds FANOUT runs they
-are compacted to one of the next level, so a line hash is rewritten a logarithmic number of
-times. New documents are merge-anti-joined with the runs: a line whose hash is in them, held
-by enough documents, and not kept there by this document goes.
-
-Incremental use: ``LineIndex.new_lines`` (lines in no run yet) then ``add``. Whole-corpus use
-(``dedup``): add every batch, then anti-join each document's lines with the runs.
-
-Line hashes are 128 bits wide (two longs), so that equal hashes stand for equal keys.
-
-Edge cases: a null or empty text is one empty line; a document is a row when counted, and
-rows that share a doc_id drop and keep the same lines; a null doc_id counts as the smallest;
-an empty table gives an empty result. A line of a third of all documents is one row per task in the
-runs' aggregation; in the anti-join such hot lines, HOT at most, are broadcast.
+partitions. A batch of documents is merge-anti-joined with the runs, which gives the lines that
+are new, and then added as a run of level 0; when a level holds FANOUT runs they are compacted
+to one of the next level, so a line hash is rewritten a logarithmic number of times.
+
+``dedup`` takes the batches by falling doc_id: the batch in which a line is new holds the largest
+doc_id with that line, which keeps it, and the runs hold in how many documents it is. Incremental
+use: ``LineIndex.new_lines`` (lines in no run yet), ``LineIndex.add``. Lines are hashed once, into a
+written table that the batches and the last step read.
+
+Line hashes are 128 bits wide (two longs), so that equal hashes stand for equal keys. A document
+is a doc_id: rows that share one count once.
+
+Edge cases: a null or empty text is one empty line; a very long text is hashed by itself; rows that
+share a doc_id drop and keep the same lines, repeated rows too; rows without a doc_id count for no
+line and keep none that goes; of equal lines those of the largest doc_id all stay (ties); only
+doc_id and text are read, so other columns cannot clash; an empty table gives an empty result. A
+line of a third of all documents is one row per task in the runs' aggregation; in the last join
+such hot lines, HOT at most, are broadcast.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Stash, batches_of_rows, documents
+from .common import BLANKS, Stash, batches_of_bytes, batches_of_rows, documents
 
-FANOUT, BATCHES, MIN_CHARS, MIN_DOCS = 4, 3, 40, 5
+FANOUT, BATCHES, MIN_CHARS, MIN_DOCS = 4, 6, 40, 5
 #: A line is hot if more than HOT_ROWS documents hold it and more than 1 / HOT of all (line, document) pairs.
 HOT, HOT_ROWS = 2000, 1000
 _STRIP = BLANKS.encode()
-_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64())])
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -48,21 +52,27 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 def _line_hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_rows(batches, 1000):
-            hashes, ids = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in batches_of_bytes(batches, 1):
+            hashes, ids, tags = [], [], []
+            for doc_id, text, tag in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 own = {xxhash.xxh3_128_digest(k) for line in (text or b"").split(b"\n") if (k := line_key(line, min_chars)) is not None}
                 hashes.extend(own)
                 ids.extend([doc_id] * len(own))
+                tags.extend([tag] * len(own))
             h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64())], schema=_LINES)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(tags, pa.int64())], schema=_LINES)
 
     return run
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, tag); the tag tells rows with one doc_id and different texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("tag", F.xxhash64("text"))
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id), each line key of a row once."""
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_line_hashes(min_chars), "h1 long, h2 long, doc_id long")
+    """(h1, h2, doc_id, tag), each line key of a row once."""
+    return tagged(docs).mapInArrow(_line_hashes(min_chars), "h1 long, h2 long, doc_id long, tag long")
 
 
 class LineIndex:
@@ -81,18 +91,23 @@ class LineIndex:
             whole = whole.unionByName(p)
         return whole.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
-    def add(self, lines: DataFrame) -> None:
-        """Adds a batch's lines (h1, h2, doc_id) as a sorted run, compacting full levels."""
-        run = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    def add(self, lines: DataFrame) -> Stash:
+        """Adds a batch's lines (h1, h2, doc_id) as a sorted run, compacting full levels. Returns
+        those (h1, h2, n_docs, max_doc) that no run held before."""
+        own = lines.where("doc_id is not null").select("h1", "h2", "doc_id").distinct()
+        run = own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        run = Stash(run.sortWithinPartitions("h1", "h2"), "lines-l0")
+        new = Stash(self.new_lines(run.df), "lines-new")
         self._put(0, run)
+        return new
 
-    def _put(self, level: int, run: DataFrame) -> None:
+    def _put(self, level: int, run: Stash) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(Stash(run.sortWithinPartitions("h1", "h2"), f"lines-l{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged([r.df for r in old]))
+            self._put(level + 1, Stash(self._merged([r.df for r in old]).sortWithinPartitions("h1", "h2"), f"lines-l{level + 1}"))
             for r in old:
                 r.drop()
 
@@ -106,20 +121,25 @@ class LineIndex:
             lines = lines.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         return lines
 
+    def drop(self) -> None:
+        for level in self.levels:
+            for run in level:
+                run.drop()
+        self.levels = []
+
 
-def repeated(docs_lines: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, h1, h2) of the lines that go: held by min_docs documents or more, and kept by
-    a larger doc_id."""
-    often = Stash(index.merged().where((F.col("n_docs") >= min_docs) & F.col("max_doc").isNotNull()), "often").df
+def repeated(docs_lines: DataFrame, often: DataFrame) -> DataFrame:
+    """(doc_id, tag, h1, h2) of the lines that go: those in often (h1, h2, n_docs, max_doc) that a
+    larger doc_id keeps."""
     total = often.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     hot = F.col("n_docs") > max(HOT_ROWS, total // HOT)
     hottest = often.where(hot).select("h1", "h2", F.col("max_doc").alias("hot_max"))  # at most HOT rows, so it may be broadcast
     lines = docs_lines.join(F.broadcast(hottest), ["h1", "h2"], "left")
     # rows of hot lines are done; their keys are scattered so that they meet in no task
-    scattered = lambda h: F.when(F.col("hot_max").isNotNull(), F.xxhash64("doc_id", h)).otherwise(F.col(h))
+    scattered = lambda h: F.when(F.col("hot_max").isNotNull(), F.xxhash64("doc_id", "tag", h)).otherwise(F.col(h))
     rest = often.where(~hot).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "max_doc")
     hit = lines.withColumn("k1", scattered("h1")).withColumn("k2", scattered("h2")).join(rest, ["k1", "k2"], "left").withColumn("last", F.coalesce("hot_max", "max_doc"))
-    return hit.where(F.col("last").isNotNull() & F.coalesce(F.col("doc_id") < F.col("last"), F.lit(True))).select("doc_id", "h1", "h2")
+    return hit.where(F.col("last").isNotNull() & F.coalesce(F.col("doc_id") < F.col("last"), F.lit(True))).select("doc_id", "tag", "h1", "h2")
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
@@ -143,27 +163,39 @@ def _keep(min_chars: int, digest: bool):
     return run
 
 
-def batch_of(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """docs cut by doc_id into so many batches of about equal rows (ids null: the first)."""
-    at = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(at or []))
+def batch_of(lines: DataFrame, batches: int) -> list[DataFrame]:
+    """Rows with a doc_id cut by it into so many batches of about equal rows, the largest first."""
+    at = lines.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] if batches > 1 else None
+    cuts = sorted(set(at or []), reverse=True)
     if not cuts:
-        return [docs]
-    out = [docs.where((F.col("doc_id") < cuts[0]) | F.col("doc_id").isNull())]
-    out += [docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [*out, docs.where(F.col("doc_id") >= cuts[-1])]
+        return [lines]
+    inner = [lines.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts[1:], cuts, strict=False)]
+    return [lines.where(F.col("doc_id") >= cuts[0]), *inner, lines.where(F.col("doc_id") < cuts[-1])]
+
+
+def often_held(lines: DataFrame, index: LineIndex, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> Stash:
+    """(h1, h2, n_docs, max_doc) of the lines (h1, h2, doc_id) that min_docs documents or more hold,
+    batch by batch through the index."""
+    new = [index.add(batch) for batch in batch_of(lines, batches)]
+    keepers = new[0].df
+    for n in new[1:]:
+        keepers = keepers.unionByName(n.df)
+    counts = index.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "n_docs")
+    out = Stash(counts.join(keepers.select("h1", "h2", "max_doc"), ["h1", "h2"]), "often")
+    for n in new:
+        n.drop()
+    return out
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, digest: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): kept is the text left, or with digest its SHA-256."""
-    docs = docs.select("doc_id", "text")
-    index = LineIndex(fanout)
-    for batch in batch_of(docs, batches):
-        index.add(line_hashes(batch, min_chars))
-    gone = repeated(line_hashes(docs, min_chars), index, min_docs)
-    packed = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("g"))
-    packed = packed.select(F.col("doc_id").alias("g_id"), "g")
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(packed, F.col("doc_id").eqNullSafe(F.col("g_id")), "left").select("doc_id", "text", "g")
+    lines, index = Stash(line_hashes(docs, min_chars), "line-hashes").df, LineIndex(fanout)
+    often = often_held(lines, index, min_docs, batches).df
+    index.drop()
+    packed = repeated(lines, often).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("h1", "h2")).alias("g"))
+    packed = packed.select(F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "g")
+    same = F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tag") == F.col("g_tag"))
+    joined = tagged(docs).join(packed, same, "left").select("doc_id", "text", "g")
     return joined.mapInArrow(_unpacked(min_chars, digest), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
