@@ -16,7 +16,9 @@ documents' texts and ids do not reach the driver otherwise.
 Edge cases: null and empty texts have zero features and are scored like others; labels that
 are null or not 0 or 1 are ignored, of repeated ones the least counts; with labels of one kind
 only, or none, the score is the share of ones (0.5 without any); repeated rows get equal
-scores; an empty table gives an empty result.
+scores; a very long text is read with few others at a time; rows equal in all that the sample is
+chosen by are equal rows (ties); only doc_id and text are read, so other columns cannot clash, and
+``accepted`` carries them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Stash, batches_of_rows, documents, mix64
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 8, 2
+#: Tokens whose neighbours are counted at a time.
+HELD = 1_000_000
 HIDDEN, SAMPLE, EPOCHS, SEED = 32, 12_000, 40, 7
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -64,33 +68,47 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def _neighbours(own: np.ndarray) -> np.ndarray:
-    """For each row of a document's index vectors the sum of those around it."""
-    out = np.zeros_like(own)
-    for step in range(1, min(WINDOW, len(own) - 1) + 1):
-        out[step:] += own[:-step]
-        out[:-step] += own[step:]
-    return out
+def sparse(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(dimensions, signs) of the non-zeros of each row, filled up with zeros."""
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+    return at, np.take_along_axis(index, at, axis=1)
+
+
+def neighbours(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one, other, times) of the pairs of buckets within WINDOW in one text, the lower first."""
+    doc = np.repeat(np.arange(len(n)), n)
+    pairs = [np.zeros(0, np.int64)]
+    for step in range(1, WINDOW + 1):
+        a, b = flat[:-step], flat[step:]
+        pairs.append((np.minimum(a, b) * BUCKETS + np.maximum(a, b))[doc[:-step] == doc[step:]])
+    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+    return pair // BUCKETS, pair % BUCKETS, times
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, seen = index_vectors(), Buckets()
-    total = np.zeros((DIM, BUCKETS))
-    used = np.zeros(BUCKETS, np.int64)
+    (at, sign), seen = sparse(index_vectors()), Buckets()
+    total, used = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        flat, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        np.add(used, np.bincount(flat, minlength=BUCKETS), out=used)
+        one, other, times = neighbours(flat, n)
+        for to, of in ((one, other), (other, one)):
+            for k in range(NONZERO):
+                np.add(total, np.bincount(to * DIM + at[of, k], weights=times * sign[of, k], minlength=BUCKETS * DIM), out=total)
+
     for batch in batches_of_rows(batches, 64):
-        flat, n = seen.of(batch.column(0).to_pylist())
-        ends = np.cumsum(n).tolist()
-        near = [_neighbours(index[flat[a:b]]) for a, b in zip([0, *ends], ends, strict=False) if b > a]
-        if not near:
-            continue
-        near = np.ascontiguousarray(np.concatenate(near).T, np.float64)
-        used += np.bincount(flat, minlength=BUCKETS)
-        for d in range(DIM):
-            total[d] += np.bincount(flat, weights=near[d], minlength=BUCKETS)
-    at = np.flatnonzero(used)
-    for k in range(0, len(at), 4096):
-        part = at[k : k + 4096]
-        columns = [pa.array(part, pa.int32()), pa.array(used[part], pa.int64()), *(pa.array(total[d, part].astype(np.int64), pa.int64()) for d in range(DIM))]
+        held.append(seen.of(batch.column(0).to_pylist()))
+        if sum(len(x[0]) for x in held) > HELD:
+            add()
+    if held:
+        add()
+    table, rows = total.reshape(BUCKETS, DIM), np.flatnonzero(used)
+    for k in range(0, len(rows), 4096):
+        part = rows[k : k + 4096]
+        columns = [pa.array(part, pa.int32()), pa.array(used[part], pa.int64()), *(pa.array(table[part, d].astype(np.int64), pa.int64()) for d in range(DIM))]
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", *(f"v{d}" for d in range(DIM))])
 
 
