@@ -41,6 +41,46 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return Stash(df, name).df
 
 
+class Scratch:
+    """Written tables that are dropped together."""
+
+    def __init__(self):
+        self.held: list[Stash] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(Stash(df, name))
+        return self.held[-1].df
+
+    def drop(self) -> None:
+        for s in self.held:
+            s.drop()
+        self.held = []
+
+
+#: Hot keys are broadcast up to this many.
+BROADCAST_KEYS = 100_000
+
+
+class HotKeys:
+    """The keys with more than `most` rows: at most rows / most of them, broadcast if they are
+    BROADCAST_KEYS at most; else joins are left to adaptive splitting."""
+
+    def __init__(self, rows: DataFrame, key: str, most: int, scratch: Scratch):
+        self.key = key
+        self.keys = scratch(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "hot-keys")
+        self.few = self.keys.count() <= BROADCAST_KEYS
+
+    def join(self, left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+        """left with right, which has one row a key: rows of hot keys find theirs in a broadcast
+        and are not dealt by the key."""
+        if not self.few:
+            return left.join(right, self.key, how)
+        mark = F.broadcast(self.keys.select(self.key, F.lit(True).alias("is_hot")))
+        marked = left.join(mark, self.key, "left")
+        hot = marked.where("is_hot").drop("is_hot").join(F.broadcast(right.join(mark, self.key, "left_semi")), self.key, how)
+        return marked.where("is_hot is null").drop("is_hot").join(right, self.key, how).unionByName(hot)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

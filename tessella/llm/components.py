@@ -46,4 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         left.drop()
         roots.drop()
         left = rest
-    return labels.df if labels else left.df.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    if labels:
+        left.drop()
+        return labels.df
+    return left.df.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -16,9 +16,11 @@ link lost to a cap.
 Sets are compared as sorted arrays of 64-bit shingle hashes.
 
 Edge cases: documents without words (null text too) are linked with nothing; with fewer words
-than a shingle's the whole sequence is the set; rows that share a doc_id are one document for
-links; a class whose ids are all null stays ungrouped; ties go to the least doc_id; an empty
-table gives an empty result.
+than a shingle's the whole sequence is the set; a very long text is signed with few others at a
+time; rows that share a doc_id are one document for links; a class whose ids are all null stays
+ungrouped; ties go to the least doc_id; ``near_duplicates`` reads only doc_id and text, and
+``distinct_documents`` carries other columns in a struct, so they cannot clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Stash, WordHashes, batches_of_rows, documents, mix64, shingle_set
+from .common import HotKeys, IdFilter, Scratch, Stash, WordHashes, batches_of_bytes, batches_of_rows, documents, mix64, shingle_set
 from .components import components
 
 POSITIONS, ROWS = 80, 4
-#: Members of one hub that are compared in one task.
-PER_TASK = 4000
+#: Members of one hub that are dealt to one task.
+PER_TASK = 250
 
 
 def superminhash(sets: list[np.ndarray], m: int = POSITIONS) -> np.ndarray:
@@ -87,7 +89,7 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1",
 def _sign(words: int, m: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        for batch in batches_of_rows(batches, 256):
+        for batch in batches_of_bytes(batches, 1, 1 << 20):
             sets = [shingle_set(seen.of((t or b"").lower().split()), words) for t in batch.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             own = bands(superminhash(full, m), rows) if full else np.zeros((0, m // rows), np.int64)
@@ -137,22 +139,25 @@ def _compare(least: int, with_diff: bool):
     return run
 
 
-def compared(sets: DataFrame, pairs: DataFrame, least: int, with_diff: bool) -> DataFrame:
+def compared(sets: DataFrame, pairs: DataFrame, least: int, with_diff: bool, scratch: Scratch) -> DataFrame:
     """Each of pairs (a, b) with whether 100 * intersection >= least * union, the sets' sizes
     and, with_diff, their symmetric difference.
 
     b's set travels to the pair; a's set, which may serve very many pairs, is copied once per
     PER_TASK of them, and the pairs are salted alike.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).cast("int").alias("parts"))
-    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    hubs = sets.join(parts, F.col("doc_id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("x"))
+    hot = HotKeys(pairs, "a", PER_TASK, scratch)
+    parts = hot.keys.select("a", F.ceil(F.col("n") / PER_TASK).cast("int").alias("parts"))
+    of = lambda df: df.join(F.broadcast(parts) if hot.few else parts, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = of(pairs).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    hubs = of(pairs.select("a").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a"))
+    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("x"))
     with_b = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(hubs, ["a", "salt"]).select("a", "b", "x", "y")
     return both.mapInArrow(_compare(least, with_diff), _COMPARED)
 
 
-def unrefuted(star: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+def unrefuted(star: DataFrame, labels: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of members of one pivot, in different components, that may be linked.
 
     star holds each member's difference D from its pivot (a: pivot, b: member). Members u, v
@@ -162,14 +167,15 @@ def unrefuted(star: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     of copies with different edits hardly a pair is left to compare. The bound is tried on
     the distinct sizes of a pivot's members first, whose number doesn't grow with the group.
     """
+    hot = HotKeys(star, "a", PER_TASK, scratch)
     comp = lambda c, name: labels.select(F.col("node").alias(c), F.col("comp").alias(name))
-    known = star.join(comp("a", "ca"), "a", "left").join(comp("b", "cb"), "b", "left")
+    known = hot.join(star, comp("a", "ca")).join(comp("b", "cb"), "b", "left")
     known = known.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    open_ = known.where("ca <> cb").select("a").distinct()
-    rows = Stash(known.join(open_, "a", "left_semi").select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("open"), F.col("n_b").alias("n"), F.size("diff").alias("d"), "diff"), "open").df
+    known = scratch(known.select("a", "b", "cb", (F.col("ca") != F.col("cb")).alias("open"), F.col("n_b").alias("n"), F.size("diff").alias("d"), "diff"), "known")
+    rows = scratch(hot.join(known, known.where("open").select("a").distinct(), "left_semi"), "open")
     alone = rows.select("a", "b", F.explode("diff").alias("e")).groupBy("a", "e").agg(F.count(F.lit(1)).alias("k"), F.min("b").alias("b")).where("k = 1")
     own = alone.groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
-    sized = Stash(rows.drop("diff").join(own, ["a", "b"], "left").withColumn("c", F.col("d") - F.coalesce("own", F.lit(0))).drop("own"), "sized").df
+    sized = scratch(rows.drop("diff").join(own, ["a", "b"], "left").withColumn("c", F.col("d") - F.coalesce("own", F.lit(0))).drop("own"), "sized")
     left = sized.where("open").select("a", *[F.col(k).alias(f"{k}_l") for k in ("b", "cb", "n", "d", "c")])
     right = sized.select("a", *[F.col(k).alias(f"{k}_r") for k in ("b", "cb", "open", "n", "d", "c")])
     apart = F.col("d_l") + F.col("d_r") - 2 * F.least("c_l", "c_r")
@@ -180,12 +186,12 @@ def unrefuted(star: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     return pairs.select(F.least("b_l", "b_r").alias("a"), F.greatest("b_l", "b_r").alias("b")).distinct()
 
 
-def links(docs: DataFrame, members: DataFrame, words: int, least: int) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, words: int, least: int, scratch: Scratch) -> DataFrame:
     """(node, comp) of class representatives with links; members: (bucket, node)."""
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    star = Stash(members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs").df
+    star = scratch(members.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     ids = star.select(F.col("a").alias("doc_id")).unionAll(star.select(F.col("b").alias("doc_id"))).distinct()
-    ids = Stash(ids, "ids").df
+    ids = scratch(ids, "ids")
     # sets are made only for rows that a bounded Bloom filter of the ids lets through, so that the
     # texts needn't be shuffled; a set too many finds no pair. Where there are more ids than the
     # filter is made for, a join makes the choice exact.
@@ -194,14 +200,14 @@ def links(docs: DataFrame, members: DataFrame, words: int, least: int) -> DataFr
     sets = texts.mapInArrow(_sets(words, wanted), "doc_id long, shingles binary")
     if not wanted.value.tight:
         sets = sets.join(ids, "doc_id", "left_semi")
-    sets = Stash(sets, "sets").df
-    seen = Stash(compared(sets, star, least, True), "star").df
+    sets = scratch(sets, "sets")
+    seen = scratch(compared(sets, star, least, True, scratch), "star")
     edges = seen.where("linked").select("a", "b")
     labels = components(edges)
-    more = Stash(unrefuted(seen, labels, least), "pairs").df
+    more = scratch(unrefuted(seen, labels, least, scratch), "pairs")
     if more.isEmpty():
         return labels
-    found = compared(sets, more, least, False).where("linked").select("a", "b")
+    found = compared(sets, more, least, False, scratch).where("linked").select("a", "b")
     return components(edges.unionAll(found))
 
 
@@ -211,14 +217,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, m: int = P
 
 
 def _grouped(docs: DataFrame, words: int, least: int, m: int, rows: int) -> DataFrame:
-    docs = docs.select("doc_id", "text")
+    docs, scratch = docs.select("doc_id", "text"), Scratch()
     sig = Stash(signed(docs, words, m, rows), "signatures").df
-    classes = Stash(
-        sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes"
-    ).df
+    classes = scratch(sig.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     members = classes.where(F.col("node").isNotNull()).select(F.explode("bands").alias("bucket"), "node").distinct()
-    labels = links(docs, members, words, least)
+    labels = links(docs, members, words, least, scratch)
     named = Stash(classes.select("s1", "s2", "node").join(labels, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("comp")), "class-components").df
+    scratch.drop()
     out = sig.drop("bands").join(named, ["s1", "s2"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), "s1", "s2").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
