@@ -7,8 +7,13 @@ is a source's own: of SEEDS shifts of the hash the one that brings the source's
 to its target, from one aggregation that holds the sums for all of them.
 
 Edge cases: a null text has size 0; a null source is a source of its own, ordered last; a
-source without words has rate 1, since no number of copies changes its words; repeated rows
-are mixed each for itself but share the extra copy's hash; an empty table gives none.
+source without words has rate 1, since no number of copies changes its words; a very long text is
+counted whole and repeated whole; repeated rows are mixed each for itself but share the extra
+copy's hash; sources of one ratio are filled in code-point order and of equally near shifts the
+first is taken (ties); ``mix`` carries other columns in a struct, so they cannot clash; an empty
+table gives none.
+
+Words are counted once: sizes, sources and hashes are written as a thin table.
 """
 
 from __future__ import annotations
@@ -18,20 +23,20 @@ from pyspark.sql import functions as F
 
 from .common import documents, stash, unit_hash, word_count
 
-#: The per-source table is broadcast only up to this many rows; beyond it the join shuffles.
+#: So many sources' rows are broadcast, those with most documents; the others are joined.
 BROADCAST_SOURCES = 10_000
 WEIGHTS, CAP, SEED, SEEDS = (1.0, 2.0, 3.0), 3.0, "mix-1", 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(m_source, source_size, target) from rows (m_source, m_size).
+    """(m_source, source_size, m_rows, target) from rows (m_source, m_size).
 
     Sources in code-point order, null last, carry the weights in turn. Ordered by
     cap * size / weight, each source in turn either stops at its cap or, with all after it,
     shares what is left by weight; that is the fixpoint of resharing the excess.
     The windows without a key run over one row per source.
     """
-    per = sizes.groupBy("m_source").agg(F.sum("m_size").alias("source_size"))
+    per = sizes.groupBy("m_source").agg(F.sum("m_size").alias("source_size"), F.count(F.lit(1)).alias("m_rows"))
     turn = F.row_number().over(Window.orderBy(F.col("m_source").asc_nulls_last())) - 1
     most = F.lit(cap) * F.col("source_size")
     by_ratio = Window.orderBy("ratio", "turn")
@@ -47,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     )
     first = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("place", "level"))).over(Window.partitionBy())
     share = F.col("first.level") * F.col("weight")
-    return filled.withColumn("first", first).select("m_source", "source_size", F.least(most, F.coalesce(share, most)).alias("target"))
+    return filled.withColumn("first", first).select("m_source", "source_size", "m_rows", F.least(most, F.coalesce(share, most)).alias("target"))
 
 
 def _rate(cap: float) -> Column:
@@ -60,38 +65,64 @@ def _extra(shift: Column) -> Column:
     return x - F.floor(x) < F.col("m_rate") - F.floor("m_rate")
 
 
-def _joined(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """sized with its source's row of targets; that table is broadcast if it is small."""
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    right = targets.withColumnRenamed("m_source", "t_source")
-    return sized.join(right, F.col("m_source").eqNullSafe(F.col("t_source")), "left").drop("t_source")
+def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with their source's row: the sources with most documents, which may be hot, are
+    broadcast, and what they leave is dealt by source."""
+    right = sources.withColumnRenamed("m_source", "t_source")
+    same = F.col("m_source").eqNullSafe(F.col("t_source"))
+    if sources.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(right), same, "left").drop("t_source", "m_rows")
+    most = right.orderBy(F.desc("m_rows"), "t_source").limit(BROADCAST_SOURCES)
+    most = F.broadcast(stash(most.withColumn("m_most", F.lit(True)), "mix-most"))
+    first = rows.join(most, same, "left")
+    rest = first.where("m_most is null").select(*rows.columns).join(right, same, "left")
+    return first.where("m_most").drop("m_most").unionByName(rest).drop("t_source", "m_rows")
 
 
-def with_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """Adds m_size, source_size, target and m_copies to each row of docs (doc_id, text, source)."""
-    sized = docs.withColumns({"m_size": word_count(F.col("text")), "m_source": F.col("source"), "m_u": unit_hash(F.lit(seed), F.col("doc_id"))})
-    targets = stash(source_targets(sized.select("m_source", "m_size"), weights, cap).withColumn("m_rate", _rate(cap)), "mix-targets")
-    tried = _joined(sized.select("m_source", "m_size", "m_u"), targets)
+def hashed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds m_source and m_u, a document's hash in [0, 1)."""
+    return docs.withColumns({"m_source": F.col("source"), "m_u": unit_hash(F.lit(seed), F.col("doc_id"))})
+
+
+def source_plan(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """(m_source, source_size, target, m_rows, m_rate, m_shift) from rows (m_source, m_size, m_u)."""
+    targets = stash(source_targets(thin, weights, cap).withColumn("m_rate", _rate(cap)), "mix-targets")
+    tried = _joined(thin.select("m_source", "m_size", "m_u"), targets)
     sums = [F.coalesce(F.sum(F.when(_extra(F.lit(k)), F.col("m_size"))), F.lit(0)).alias(f"e{k}") for k in range(SEEDS)]
     base = F.floor("m_rate") * F.col("source_size")
     gaps = F.array(*[F.struct(F.abs(base + F.col(f"e{k}") - F.col("target")).alias("gap"), F.lit(k).alias("k")) for k in range(SEEDS)])
-    known = tried.groupBy("m_source", "source_size", "target", "m_rate").agg(*sums)
-    chosen = stash(known.select("m_source", "source_size", "target", "m_rate", F.array_min(gaps)["k"].alias("m_shift")), "mix-seeds")
-    out = _joined(sized, chosen)
+    known = tried.groupBy("m_source", "source_size", "target", "m_rate").agg(F.count(F.lit(1)).alias("m_rows"), *sums)
+    return stash(known.select("m_source", "source_size", "target", "m_rows", "m_rate", F.array_min(gaps)["k"].alias("m_shift")), "mix-seeds")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (m_source, m_u, ...) with source_size, target and m_copies."""
     copies = F.floor("m_rate") + F.when(_extra(F.col("m_shift")), 1).otherwise(0)
-    return out.withColumn("m_copies", copies.cast("long")).drop("m_source", "m_u", "m_rate", "m_shift")
+    return _joined(rows, plan).withColumn("m_copies", copies.cast("long")).drop("m_source", "m_u", "m_rate", "m_shift")
+
+
+def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """(doc_id, m_size, m_source, m_u), written, of docs (doc_id, text, source)."""
+    return stash(hashed(docs.select("doc_id", "source", word_count(F.col("text")).alias("m_size")), seed).drop("source"), "mix-sizes")
+
+
+def with_targets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """Adds m_size, source_size, target and m_copies to each row of docs (doc_id, text, source)."""
+    plan = source_plan(sized(docs, seed), weights, cap)
+    return with_copies(hashed(docs.withColumn("m_size", word_count(F.col("text"))), seed), plan)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of docs as often as its copies say, with docs' columns."""
-    inner = docs.select(F.struct("*").alias("m_row"), F.col("doc_id"), F.col("text"), F.col("source"))
-    out = with_targets(inner, weights, cap, seed)
+    plan = source_plan(sized(docs, seed), weights, cap)
+    inner = docs.select(F.struct("*").alias("m_row"), F.col("doc_id"), F.col("source"))
+    out = with_copies(hashed(inner, seed), plan)
     return out.select("m_row", F.explode(F.array_repeat(F.lit(1), F.col("m_copies").cast("int"))).alias("m_copy")).select("m_row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    out = with_targets(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    thin = sized(documents(spark, sf_dir))
+    out = with_copies(thin, source_plan(thin))
     return out.select("doc_id", F.col("m_size").alias("size"), "source_size", "target", (F.col("m_size") * F.col("m_copies")).alias("taken"))
 
 
