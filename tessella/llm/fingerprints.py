@@ -12,8 +12,10 @@ share no term by chance however long they are; terms are taken in blocks, so mem
 What was computed for the terms of a document and of the one after it serves the edit too.
 
 Edge cases: a null text is empty; a text without words has a fingerprint of zeros, alike (1)
-to another such and unlike (0) to any other; rows with the same doc_id are ordered by text;
-null ids come first; the only row of a table is its own next document.
+to another such and unlike (0) to any other; a very long text is sampled whole, block by block;
+rows with the same doc_id are ordered by text (ties), repeated rows follow one another; null ids
+come first; the only row of a table is its own next document; only doc_id and text are read, so
+other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batches_of_rows, documents, mix64, ngram_hashes, partitions
+from .common import Stash, WordHashes, batches_of_bytes, documents, mix64, ngram_hashes, partitions
 
 SAMPLES = 128
 #: Terms for which variates are made at a time (few enough for a processor's cache), and up to which a text's are kept.
@@ -129,11 +131,11 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, place: each document with the one after it; a bucket's last row
+    """Rows sorted within buckets: each document with the one after it; a bucket's last row
     (head) is the first document of the next bucket and only looked at."""
     seen = WordHashes()
     held = None
-    for batch in batches_of_rows(batches, 1000):
+    for batch in batches_of_bytes(batches, 3):
         out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
         for bucket, head, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             now = (bucket, doc_id, text, *drawn(seen.of(_words(text))))
@@ -151,33 +153,40 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_chars"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(pa.array(out[k], pa.float64()) for k in ("near_edited", "near_next"))], names=list(out))
 
 
+def _dealt(cuts):
+    """doc_id, ... with its bucket: the number of cuts up to the id; null ids are in the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            bucket = np.searchsorted(cuts.value, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], names=[*batch.schema.names, "bucket"])
+
+    return run
+
+
 def with_neighbour(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row of docs (doc_id, text) and of its edit by the next document.
 
-    Rows are dealt to buckets of doc_id by cut points (an approximate quantile per bucket, a
-    few numbers), and each bucket gets a copy of the first row of the next one, so that one
-    sort within partitions puts every document before its neighbour without a global window.
+    Rows are dealt to buckets, one a task, by ranges of doc_id (approximate quantiles, one number
+    a bucket, searched in order), and each bucket gets a copy of the first row of the next one, so
+    that one sort within partitions puts every document before its neighbour without a global window.
     """
     spark = docs.sparkSession
     n = max(1, partitions(spark))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    # the first row of each bucket: at most n rows
-    first_ids = {r[0]: r[1] for r in rows.select("bucket", "doc_id").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id"))["doc_id"].alias("id")).collect()}
-    used = sorted(first_ids)
-    before = {b: used[k - 1] for k, b in enumerate(used)}
-    if not used:
-        return spark.createDataFrame([], SCHEMA)
-    link = F.create_map(*[F.lit(x) for b in used for x in (b, before[b])])
-    is_first = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for b in used for x in (b, first_ids[b] if first_ids[b] is not None else -(1 << 63))]), F.col("bucket")) == F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), F.lit(False))
-    wanted = [i for i in first_ids.values() if i is not None]
-    candidates = rows.where(F.col("doc_id").isin(wanted) | F.col("doc_id").isNull() if None in first_ids.values() else F.col("doc_id").isin(wanted))
-    heads = candidates.where(is_first).groupBy("bucket").agg(F.min(F.struct("text", "doc_id")).alias("f"))
-    heads = heads.select(F.element_at(link, F.col("bucket")).alias("bucket"), F.lit(1).alias("head"), F.col("f.doc_id").alias("doc_id"), F.col("f.text").alias("text"))
-    both = rows.select("bucket", F.lit(0).alias("head"), "doc_id", "text").unionByName(heads)
-    laid = both.repartition(n, "bucket").sortWithinPartitions("bucket", "head", F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    asked = [k / n for k in range(1, n)] or [0.5]
+    found = rows.agg(F.percentile_approx("doc_id", asked, max(10_000, 10 * n))).first()[0] if n > 1 else None
+    cuts = spark.sparkContext.broadcast(np.unique(np.array(found or [], np.int64)))
+    ids = rows.select("doc_id").mapInArrow(_dealt(cuts), "doc_id long, bucket int")
+    first = ids.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("set"), "doc_id"))["doc_id"].alias("first_id"))
+    # at most n rows, so they may be ordered in one task and broadcast; the last bucket's next is the first
+    last = F.max("bucket").over(Window.partitionBy())
+    first = Stash(first.withColumn("before", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), last)), "bucket-heads").df
+    heads = rows.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("before").agg(F.min(F.struct("text", "doc_id")).alias("f"))
+    heads = heads.select("f.doc_id", "f.text", F.col("before").alias("bucket"), F.lit(1).alias("head"))
+    both = rows.mapInArrow(_dealt(cuts), "doc_id long, text string, bucket int").withColumn("head", F.lit(0)).unionByName(heads)
+    laid = both.select("bucket", "head", "doc_id", "text").repartitionById(n, "bucket").sortWithinPartitions("bucket", "head", F.col("doc_id").asc_nulls_first(), "text")
     return laid.mapInArrow(_in_order, SCHEMA)
 
 
