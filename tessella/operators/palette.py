@@ -10,6 +10,8 @@ from ..functions import color
 from ..sources.palettes import palette_frame
 
 SAMPLE, ROUNDS, TOLERANCE = 16_384, 20, 1e-6
+#: Keys of a block of the two-level running sum.
+BLOCK = 1 << 16
 #: The arithmetic hash of the sampler: (id * A + B) mod M, the same in every SQL dialect.
 HASH_A, HASH_B, HASH_M = 48_271, 12_345, 2_147_483_647
 
@@ -81,12 +83,23 @@ def uniform_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
 
 
 def plus_plus_pick(df: DataFrame, distance: str, key: str, u: float) -> DataFrame:
-    """CLU03, WIN01: the row at which the running sum of distances first reaches u times the
-    total (the last row if rounding leaves none)."""
-    run = df.withColumn("acc_", F.sum(distance).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
-    total = run.agg(F.max("acc_").alias("total_"))
-    hit = run.crossJoin(total).where(F.col("acc_") >= F.col("total_") * u)
-    return hit.orderBy(key).limit(1).drop("acc_", "total_")
+    """CLU03, WIN01: the row at which the running sum of distances, by an integer key, first
+    reaches u times the total (the last row if rounding leaves none; nothing of nothing).
+
+    Two levels: the running sum over blocks of BLOCK keys, a row each, names the block, in which
+    alone rows are summed one by one. No task orders all rows.
+    """
+    blocks = df.groupBy(F.floor(F.col(key) / BLOCK).alias("block_")).agg(F.sum(distance).alias("own_"))
+    run = Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("acc_", F.sum("own_").over(run)).withColumn("most_", F.sum("own_").over(Window.partitionBy()) * u)
+    reached = F.when(F.col("acc_") >= F.col("most_"), F.struct("block_", (F.col("acc_") - F.col("own_")).alias("before_"), "most_"))
+    last = F.max(F.struct("block_", (F.col("acc_") - F.col("own_")).alias("before_"), "most_"))
+    hit = blocks.agg(F.coalesce(F.min(reached), last).alias("h_")).select("h_.*").first()  # one row
+    if hit["block_"] is None:
+        return df.limit(0)
+    inside = df.where(F.floor(F.col(key) / BLOCK) == hit["block_"])
+    inside = inside.withColumn("acc_", F.sum(distance).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) + hit["before_"])
+    return inside.orderBy(F.col("acc_") < hit["most_"], F.when(F.col("acc_") < hit["most_"], -F.col(key)).otherwise(F.col(key))).limit(1).drop("acc_")
 
 
 def medoids(df: DataFrame, cluster: str, distance: str, key: str) -> DataFrame:

@@ -170,11 +170,11 @@ def uniform_sample(spark, d):
     return palette.uniform_sample(rgba_cells(spark, d), F.col("y").cast("long") * 100_003 + F.col("x"), 100).select("y", "x")
 
 
-@query(with_([R, LAB, "d AS (SELECT y, x, y * 16 + x AS k, floor((l - 50) * (l - 50) + la * la + lb * lb) AS q FROM lab WHERE y < 64), a AS (SELECT *, sum(q) OVER (ORDER BY k) AS acc, sum(q) OVER () AS t FROM d)"], "SELECT y, x FROM a WHERE acc >= t * 0.375::DOUBLE ORDER BY k LIMIT 1"))
+@query(with_([R, LAB, "d AS (SELECT y, x, y * 16 + x AS k, floor((l - 50) * (l - 50) + la * la + lb * lb) AS q FROM lab), a AS (SELECT *, sum(q) OVER (ORDER BY k) AS acc, sum(q) OVER () AS t FROM d)"], "SELECT y, x FROM a WHERE acc >= t * 0.375::DOUBLE ORDER BY k LIMIT 1"))
 def kmeans_pp_step(spark, d):
     """CLU03: the pick of k-means++ for a given draw, over integer distances so that the
     running sum has one value in any order of addition."""
-    base = lab_cells(spark, d).where("y < 64").withColumn("k", F.col("y") * 16 + F.col("x"))
+    base = lab_cells(spark, d).withColumn("k", F.col("y").cast("long") * 16 + F.col("x"))
     dist = F.floor((F.col("l") - 50) * (F.col("l") - 50) + F.col("la") * F.col("la") + F.col("lb") * F.col("lb"))
     return palette.plus_plus_pick(base.withColumn("q", dist), "q", "k", 0.375).select("y", "x")
 
@@ -223,9 +223,9 @@ def categorical_colors(spark, d):
     return scalar_cells(spark, d).select("y", "x", *[c.alias(k) for c, k in zip(color.region_color(label), "rgb", strict=True)])
 
 
-@query(with_([R], "SELECT DISTINCT '#' || printf('%02X%02X%02X', r, g, b) AS hex FROM r WHERE y < 20"))
+@query(with_([R], "SELECT DISTINCT '#' || printf('%02X%02X%02X', r, g, b) AS hex FROM r"))
 def hex_colors(spark, d):
-    return rgba_cells(spark, d).where("y < 20").select(color.hex_color(F.col("r"), F.col("g"), F.col("b")).alias("hex")).distinct()
+    return rgba_cells(spark, d).select(color.hex_color(F.col("r"), F.col("g"), F.col("b")).alias("hex")).distinct()
 
 
 BLK = "blk AS (SELECT i.*, bo.o AS oy, bx.o AS ox FROM {src} i, hh, (SELECT unnest(range(40)) AS o) bo, (SELECT unnest(range({ow})) AS o) bx WHERE i.y >= floor(bo.o * ((h + 1) / 40.0::DOUBLE)) AND i.y < ceil((bo.o + 1) * ((h + 1) / 40.0::DOUBLE)) AND i.x >= floor(bx.o * ({w} / {ow}.0::DOUBLE)) AND i.x < ceil((bx.o + 1) * ({w} / {ow}.0::DOUBLE)))"

@@ -236,12 +236,12 @@ def clip(spark, d):
     return geometry.clip(rgba_cells(spark, d), (height(spark, d), 16), 0.25, 0.2, 0.5, 0.5).select("y", "x", "r", "g", "b", "a")
 
 
-ROT = """k AS (SELECT cos(radians(30)) AS c, sin(radians(30)) AS s, h + 1 AS ih FROM hh),
+ROT = """p AS MATERIALIZED (SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, r, g, b, a FROM r), k AS (SELECT cos(radians(30)) AS c, sin(radians(30)) AS s, h + 1 AS ih FROM hh),
 z AS (SELECT *, CAST(floor(16 * s + ih * c + 1e-9) AS INT) AS oh, CAST(floor(16 * c + ih * s + 1e-9) AS INT) AS ow FROM k),
 o AS (SELECT y, x, (x - ow / 2.0::DOUBLE) * c + (y - oh / 2.0::DOUBLE) * s + 8 AS sx, (x - ow / 2.0::DOUBLE) * -s + (y - oh / 2.0::DOUBLE) * c + ih / 2.0::DOUBLE AS sy, ih FROM z, (SELECT unnest(range(oh)) AS y FROM z) oy, (SELECT unnest(range(ow)) AS x FROM z) ox),
-t AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM o WHERE sx >= 0 AND sx < 16 AND sy >= 0 AND sy < ih),
+t AS MATERIALIZED (SELECT *, CAST(floor(sx) AS BIGINT) AS x0, CAST(floor(sy) AS BIGINT) AS y0, CAST(ih - 1 AS BIGINT) AS last, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM o WHERE sx >= 0 AND sx < 16 AND sy >= 0 AND sy < ih),
 q AS (SELECT t.y, t.x, """ + ", ".join(f"CAST(floor(p00.{c} * (1 - fx) * (1 - fy) + p10.{c} * fx * (1 - fy) + p01.{c} * (1 - fx) * fy + p11.{c} * fx * fy + 5e-7) AS INT) AS {c}" for c in "rgba") + """ FROM t
-  JOIN r p00 ON p00.x = x0 AND p00.y = y0 JOIN r p10 ON p10.x = least(x0 + 1, 15) AND p10.y = y0 JOIN r p01 ON p01.x = x0 AND p01.y = least(y0 + 1, ih - 1) JOIN r p11 ON p11.x = least(x0 + 1, 15) AND p11.y = least(y0 + 1, ih - 1))"""
+  LEFT JOIN p p00 ON p00.x = x0 AND p00.y = y0 LEFT JOIN p p10 ON p10.x = least(x0 + 1, 15) AND p10.y = y0 LEFT JOIN p p01 ON p01.x = x0 AND p01.y = least(y0 + 1, last) LEFT JOIN p p11 ON p11.x = least(x0 + 1, 15) AND p11.y = least(y0 + 1, last))"""
 
 
 @query(with_([R, HR, ROT], "SELECT CAST(o.y AS INT) AS y, CAST(o.x AS INT) AS x, " + ", ".join(f"coalesce(q.{c}, 0) AS {c}" for c in "rgba") + " FROM o LEFT JOIN q ON q.y = o.y AND q.x = o.x"))
@@ -249,17 +249,21 @@ def rotate(spark, d):
     return geometry.rotate(rgba_cells(spark, d), (height(spark, d), 16), 30.0).select("y", "x", "r", "g", "b", "a")
 
 
-CENTERS = [(i, 12 + 31 * i, (i * 23) % 64) for i in range(12)]
+#: Centres lie SPACING apart over the whole raster, three in a row of centres.
+SPACING = 20
+CENTERS = f"c AS (SELECT i * 3 + j AS c, {SPACING // 2} + {SPACING} * i AS cy, {SPACING // 2} + {SPACING} * j AS cx FROM (SELECT unnest(range((h + {SPACING // 2}) // {SPACING})) AS i FROM hh), (SELECT unnest(range(3)) AS j))"
 
 
-@query(with_([E, f"c AS (SELECT * FROM (VALUES {', '.join(map(str, CENTERS))}) AS c(c, cy, cx))", "cc AS (SELECT c.*, e.v AS cv FROM c JOIN e ON e.y = cy AND e.x = cx)", "d AS (SELECT e.y, e.x, c, (v - cv) * (v - cv) + ((e.x - cx) / 64.0::DOUBLE) * ((e.x - cx) / 64.0::DOUBLE) AS d FROM e, cc WHERE abs(e.y - cy) <= 20 AND abs(e.x - cx) <= 20)", "n AS (SELECT y, x, arg_min(c, round(d, 12) * 1000000 + c / 1e6) AS c FROM d GROUP BY y, x)"], "SELECT CAST(c AS INT) AS region, count(*) AS n, round(avg(y), 6) + 0.0 AS cy, round(avg(x), 6) + 0.0 AS cx FROM n GROUP BY c"))
+@query(with_([E, HE, CENTERS, "cc AS (SELECT c.*, e.v AS cv FROM c JOIN e ON e.y = cy AND e.x = cx)", f"d AS (SELECT e.y, e.x, c, (v - cv) * (v - cv) + ((e.x - cx) / 64.0::DOUBLE) * ((e.x - cx) / 64.0::DOUBLE) AS d FROM e JOIN cc ON cy BETWEEN e.y - {SPACING} AND e.y + {SPACING} AND cx BETWEEN e.x - {SPACING} AND e.x + {SPACING})", "n AS (SELECT y, x, arg_min(c, round(d, 12) * 100000000 + c / 1e6) AS c FROM d GROUP BY y, x)"], "SELECT CAST(c AS INT) AS region, count(*) AS n, round(avg(y), 6) + 0.0 AS cy, round(avg(x), 6) + 0.0 AS cx FROM n GROUP BY c"))
 def slic_assign(spark, d):
-    """JOI06, AGG11: one windowed assignment and the centroids' new positions."""
+    """JOI06, AGG11: one windowed assignment and the centroids' new positions; the centres and
+    their windows cover the whole raster."""
     cells = scalar_cells(spark, d)
     feats = cells.select("img", "y", "x", F.array("v", F.col("x") / 64.0).alias("f"))
-    c = spark.createDataFrame(CENTERS, "c int, cy int, cx int")
+    rows = spark.range((height(spark, d) - 1 + SPACING // 2) // SPACING).withColumn("j", F.explode(F.array(*map(F.lit, range(3)))))
+    c = rows.select((F.col("id") * 3 + F.col("j")).cast("int").alias("c"), *[(F.col(k) * SPACING + SPACING // 2).cast("int").alias(n) for k, n in (("id", "cy"), ("j", "cx"))])
     centers = c.join(feats, (feats["y"] == c["cy"]) & (feats["x"] == c["cx"])).select("img", "c", "cy", "cx", "f")
-    near = regions.assign(feats, centers, 20)
+    near = regions.assign(feats, centers, SPACING)
     return near.groupBy(F.col("c").alias("region")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("y")).alias("cy"), r6(F.avg("x")).alias("cx"))
 
 
