@@ -378,8 +378,9 @@ def draw(pixels: DataFrame, edge: DataFrame | None, labels: DataFrame | None, se
         planes = {}
         for name in ("edge", "label", "seg"):
             if name in pdf:
-                planes[name] = np.zeros(size)
-                planes[name][pdf["y"], pdf["x"]] = pdf[name].fillna(0.0)
+                none = -1.0 if name == "label" else 0.0  # a cell without a row has no region
+                planes[name] = np.full(size, none)
+                planes[name][pdf["y"], pdf["x"]] = pdf[name].fillna(none)
         if "edge" in planes:
             top = nms_array(planes["edge"])
             mask = grow_array(top >= config.threshold, (top >= config.threshold * LOW_SHARE) & (top < config.threshold))

@@ -27,7 +27,7 @@ def region_background(cells: DataFrame, size, pct: float = 0.15, value: str = "v
     """CMP01, the region rule: (img, region, is_bg): the mean above the 70th percentile of the
     regions' means, and on the border or larger than the given share of the image."""
     per = region_stats(cells, size, value)
-    p70 = stats.nearest_ranks(per, ["img"], "mean", {"p70": 0.7})
+    p70 = stats.nearest_ranks(per, ["img"], "mean", {"p70": 0.7}, stats.is_large(size))
     most = int(size[0] * size[1] * min(max(pct, 0.0), 1.0))
     return per.join(p70, "img").select("img", "region", ((F.col("mean") > F.col("p70")) & (F.col("border") | (F.col("n") > most))).alias("is_bg"))
 
@@ -153,7 +153,7 @@ def features(cells: DataFrame, size, depth: str | None = None, weight: float = 0
     for v in ("l", "d"):
         g = cut(stencil.forward_gradients(stencil.rows_of(base, v)))
         union = g.select("img", F.col("dx").alias("v")).unionAll(g.select("img", F.col("dy").alias("v")))
-        p = stats.nearest_ranks(union, ["img"], "v", {"p95": 0.95})
+        p = stats.nearest_ranks(union, ["img"], "v", {"p95": 0.95}, stats.is_large((2 * size[0], size[1])))
         p = p.select("img", F.greatest("p95", F.lit(1e-6)).alias("p95"))
         scaled = g.join(p, "img").select("img", "y", "x", *[clamp(F.col(k) / F.col("p95"), -1, 1).alias(f"{v}_{k}") for k in ("dx", "dy")])
         out = out.join(scaled, ["img", "y", "x"])

@@ -9,22 +9,32 @@ from ..functions.color import clamp
 
 #: Buckets between a group's least and greatest value; exact ranks are taken within one.
 BUCKETS = 1024
-#: Groups above this size are bucketed; smaller ones are ranked by a window.
+#: Groups known to have at most so many values, such as the cells of a small image, are sorted by
+#: one aggregate; others are bucketed.
 LARGE = 1_000_000
 
 
-def _at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+def is_large(size: tuple[int, int]) -> bool:
+    """Whether an image of (height, width) has more cells than one aggregate should sort."""
+    return size[0] * size[1] > LARGE
+
+
+def _at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], large: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """One row per group with the values at 0-based ranks (columns over `n_`).
 
     Two passes over the values: counts per bucket (partially aggregated) locate each rank's
     bucket, then only those buckets' values are sorted, each bucket for itself. No task ever
-    sorts a whole group. NaN sorts last and has the last bucket.
+    sorts a whole group. NaN sorts last and has the last bucket. With large=False, which the
+    caller answers for, each group is gathered and sorted by one aggregate instead.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("v_")).where("v_ is not null")
+    if not large:
+        whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list("v_")).alias("s_")).withColumn("n_", F.size("s_")).where("n_ > 0")
+        return whole.select(*by, *[F.get("s_", r.cast("int")).alias(k) for k, r in ranks.items()])
     span = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), F.min("v_").alias("lo_"), F.max(F.when(~F.isnan("v_"), F.col("v_"))).alias("hi_"))
     step = (F.col("hi_") - F.col("lo_")) / buckets
     at = F.when(F.isnan("v_"), buckets).when(step > 0, F.least(F.lit(buckets - 1), F.floor((F.col("v_") - F.col("lo_")) / step))).otherwise(0).cast("int")
-    join = lambda a, b: a.join(b, by) if by else a.crossJoin(b)
+    join = lambda a, b: a.join(b, by) if by else a.crossJoin(b)  # noqa: E731  b is one row then
     put = join(rows, F.broadcast(span) if not by else span).withColumn("b_", at)
     counts = put.groupBy(*by, "b_").agg(F.count(F.lit(1)).alias("c_"), F.max("n_").alias("n_"))
     order = Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,9 +54,9 @@ def rank_of(p: float) -> Column:
     return F.floor((F.col("n_") - 1) * F.lit(float(p)) + 0.5)
 
 
-def nearest_ranks(df: DataFrame, by: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+def nearest_ranks(df: DataFrame, by: list[str], value: str, ps: dict[str, float], large: bool = True) -> DataFrame:
     """AGG07: nearest-rank percentiles, one column each."""
-    return _at_ranks(df, by, value, {k: rank_of(p) for k, p in ps.items()})
+    return _at_ranks(df, by, value, {k: rank_of(p) for k, p in ps.items()}, large)
 
 
 def medians(df: DataFrame, by: list[str], value: str, name: str = "med") -> DataFrame:
@@ -80,12 +90,12 @@ def min_max(df: DataFrame, value: str, by: list[str], out: str = "n") -> DataFra
     return df.join(ends, by).withColumn(out, clamp((F.col(value) - F.col("lo_")) / wide, 0, 1)).drop("lo_", "hi_")
 
 
-def percentile_normalised(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95, fallback: str = "min_max", out: str = "n") -> DataFrame:
+def percentile_normalised(df: DataFrame, value: str, by: list[str], low: float = 0.05, high: float = 0.95, fallback: str = "min_max", out: str = "n", large: bool = True) -> DataFrame:
     """NRM02 (fallback 'min_max') and NRM03 (fallback 'zero'): scaled between two nearest-rank
     percentiles; where they coincide, min-max or 0."""
     if fallback == "min_max" and high <= low:
         return min_max(df, value, by, out)
-    ends = nearest_ranks(df, by, value, {"p_lo": low, "p_hi": high})
+    ends = nearest_ranks(df, by, value, {"p_lo": low, "p_hi": high}, large)
     joined = df.join(ends, by)
     if fallback == "zero":
         flat = F.lit(0.0)
@@ -96,9 +106,9 @@ def percentile_normalised(df: DataFrame, value: str, by: list[str], low: float =
     return joined.withColumn(out, _scaled(joined, value, F.col("p_lo"), F.col("p_hi"), flat)).drop("lo_", "hi_", "p_lo", "p_hi")
 
 
-def global_shading(df: DataFrame, value: str, by: list[str], out: str = "shade") -> DataFrame:
+def global_shading(df: DataFrame, value: str, by: list[str], out: str = "shade", large: bool = True) -> DataFrame:
     """NRM04: between the 2nd and 98th percentile to [1, -1] (near is bright); 0 if they coincide."""
-    ends = nearest_ranks(df, by, value, {"p_lo": 0.02, "p_hi": 0.98})
+    ends = nearest_ranks(df, by, value, {"p_lo": 0.02, "p_hi": 0.98}, large)
     n = _scaled(df, value, F.col("p_lo"), F.col("p_hi"), F.lit(0.5))
     return df.join(ends, by).withColumn(out, (F.lit(0.5) - n) * 2).drop("p_lo", "p_hi")
 

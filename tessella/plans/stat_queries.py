@@ -26,7 +26,7 @@ def _shaded(spark, d):
     rows = scalar_rows(spark, d)
     med = cut(stencil.median5(rows, "v").join(rows.select("img", "y", "region"), ["img", "y"]))  # read by four aggregations
     local = stats.mad_stats(med, ["region"], "v").select("region", "med", "mad")
-    both = stats.global_shading(med, "v", ["img"], "glob").join(F.broadcast(local), "region")
+    both = stats.global_shading(med, "v", ["img"], "glob", stats.is_large((height(spark, d), W))).join(local, "region")
     s = stats.shading_from_stats(F.col("v"), F.col("region"), F.col("med"), F.col("mad"), MAD_LEAST)
     flat = F.when(F.col("mad") < MAD_LEAST, 0.0).otherwise(1.0)
     return both.withColumn("shade", stats.blended_shading(F.col("glob"), s, flat, GLOBAL_WEIGHT))

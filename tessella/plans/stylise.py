@@ -37,12 +37,12 @@ class Output:
     warnings: list[str] = field(default_factory=list)
 
 
-def shading(depth: DataFrame, region: DataFrame | None, config: ShadingConfig) -> DataFrame:
+def shading(depth: DataFrame, region: DataFrame | None, config: ShadingConfig, large: bool = True) -> DataFrame:
     """PRJ08 with AGG05, FIL05, NRM04: (img, y, x, v, region, shade); depth is filtered already.
     Without regions the image is one."""
     cells = depth.join(region, ["img", "y", "x"], "left") if region is not None else depth.withColumn("region", F.lit(0).cast("long"))
     per = stats.mad_stats(cells.where("region is not null"), ["img", "region"], "v").select("img", "region", "med", "mad")
-    both = stats.global_shading(cells, "v", ["img"], "glob").join(per, ["img", "region"], "left")
+    both = stats.global_shading(cells, "v", ["img"], "glob", large).join(per, ["img", "region"], "left")
     local = stats.shading_from_stats(F.col("v"), F.col("region"), F.col("med"), F.col("mad"), config.mad_threshold)
     flat = F.when(F.col("mad") < config.mad_threshold, 0.0).otherwise(1.0)
     weight = min(max(config.global_depth_weight, 0.0), 1.0)
@@ -54,7 +54,7 @@ def depth_to_flat(pixels: DataFrame, size, layers: Layers, config: ShadingConfig
     if layers.depth is None:
         return pixels
     depth = cut(stencil.median5(stencil.rows_of(layers.depth), "v"))
-    shaded = cut(shading(depth, layers.region, config))
+    shaded = cut(shading(depth, layers.region, config, stats.is_large(size)))
     base = shaded
     if layers.seg is not None:
         base = shaded.join(layers.seg.select("img", "y", "x", F.col("v").alias("seg")), ["img", "y", "x"])
@@ -173,7 +173,7 @@ def analyse(pixels: DataFrame, size, depth: bool = True, edge: bool = True, segm
         found["depth"] = placeholder_depth(luma, size)
     if edge:
         grad = stencil.sobel(stencil.rows_of(luma), "g", 255.0)
-        found["edge"] = stats.percentile_normalised(grad, "g", ["img"], 0.05, 0.95, out="v").select("img", "y", "x", "v")
+        found["edge"] = stats.percentile_normalised(grad, "g", ["img"], 0.05, 0.95, out="v", large=stats.is_large(size)).select("img", "y", "x", "v")
     if segmentation:
         found["seg"] = pixels.select("img", "y", "x", F.lit(1.0).alias("v"))
     return Layers(**found)
