@@ -14,9 +14,18 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tessella-")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset, as in tests, a folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """spark.checkpoint.dir, or where it is unset a folder of this process, which only a local
+    master's executors, as in tests, share with the driver."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not _is_local(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/tessella-{spark.sparkContext.applicationId}"
 
 

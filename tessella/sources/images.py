@@ -59,11 +59,15 @@ def encode(pixels: DataFrame, size, scale: int = 1) -> DataFrame:
 
 
 def write_png(pixels: DataFrame, size, folder: str, scale: int = 1) -> None:
-    """Writes <folder>/<img>.png; an image that is written twice, after a lost task, is the same."""
+    """Writes <folder>/<img>.png; an image that is written twice, after a lost task, is the same.
+    The folder is a path that all executors share, or a URI of a store that Arrow writes to."""
 
     def put(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
         for r in rows:
-            with open(f"{folder}/{r['img'].rsplit('/', 1)[-1]}.png", "wb") as f:
+            with store.open_output_stream(f"{base}/{r['img'].rsplit('/', 1)[-1]}.png") as f:
                 f.write(bytes(r["png"]))
 
     encode(pixels, size, scale).foreachPartition(put)

@@ -298,3 +298,48 @@ def test_written_tables_can_be_released(spark):
     release(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path.rsplit("/", 1)[0]).count()
+
+
+def test_running_sum_pick_over_blocks(spark, monkeypatch):
+    """CLU03 equals a plain running sum whatever the blocks; 0 picks the first, beyond 1 the last."""
+    rng = np.random.default_rng(4)
+    q = rng.integers(0, 50, 300).tolist()
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(q)], "k long, q long").repartition(3)
+    for block in (1, 7, 1 << 16):
+        monkeypatch.setattr(palette, "BLOCK", block)
+        for u in (0.0, 0.1, 0.5, 0.99, 1.0, 1.5):
+            run = np.cumsum(q)
+            want = int(np.argmax(run >= u * run[-1])) if u <= 1 else 299
+            assert palette.plus_plus_pick(rows, "q", "k", u).first()["k"] == want
+    assert palette.plus_plus_pick(rows.limit(0), "q", "k", 0.5).count() == 0
+
+
+def test_ranks_are_the_same_either_way(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 4, 500), np.round(rng.normal(0, 1, 500), 2), strict=True)] + [(1, float("nan")), (2, None), (7, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    both = [sorted(map(str, stats.nearest_ranks(df, ["g"], "v", {"a": 0.0, "b": 0.33, "c": 0.95, "d": 1.0}, large).collect())) for large in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 4
+
+
+def test_cells_without_a_region_row_have_no_region(spark):
+    """An edge between region 0 and cells that the layer lacks is an outline; within either it isn't."""
+    from tessella.operators.edges import EdgeConfig, draw
+
+    size = (12, 12)
+    px = spark.createDataFrame([("i", y, x, 10, 10, 10, 255) for y in range(12) for x in range(12)], "img string, y int, x int, r int, g int, b int, a int")
+    edge = spark.createDataFrame([("i", y, x, 1.0 if y in (3, 6) else 0.0) for y in range(12) for x in range(12)], "img string, y int, x int, v double")
+    labels = spark.createDataFrame([("i", y, x, 0) for y in range(6) for x in range(12)], "img string, y int, x int, region long")
+    changed = draw(px, edge, labels, None, size, EdgeConfig(mode="outlines", threshold=0.5), [(255, 255, 255), (0, 0, 0)]).where("r <> 10")
+    rows = {r["y"] for r in changed.select("y").distinct().collect()}
+    assert rows and 3 not in rows
+
+
+def test_shared_folder_is_refused_off_a_local_master(spark, monkeypatch):
+    from tessella import checkpoint
+
+    assert checkpoint.shared_folder(spark)
+    monkeypatch.setattr(checkpoint, "_is_local", lambda master: False)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            checkpoint.shared_folder(spark)
