@@ -15,21 +15,32 @@ from .palette import uniform_sample
 
 #: Rows of an image whose runs of cells are joined by one task.
 BAND = 64
+#: So many links between bands are contracted by one task an image, more by joins.
+FEW_LINKS = 200_000
+
+
+def on_border(size) -> Column:
+    """Whether one of the cells (y, x) is on the image's border."""
+    return F.bool_or((F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == size[1] - 1) | (F.col("y") == size[0] - 1)).alias("border")
 
 
 def region_stats(cells: DataFrame, size, value: str = "v") -> DataFrame:
     """AGG06: (img, region, mean, n, border): mean, number of cells, whether one is on the border."""
-    border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == size[1] - 1) | (F.col("y") == size[0] - 1)
-    return cells.where("region is not null").groupBy("img", "region").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"), F.bool_or(border).alias("border"))
+    return cells.where("region is not null").groupBy("img", "region").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"), on_border(size))
 
 
-def region_background(cells: DataFrame, size, pct: float = 0.15, value: str = "v") -> DataFrame:
-    """CMP01, the region rule: (img, region, is_bg): the mean above the 70th percentile of the
-    regions' means, and on the border or larger than the given share of the image."""
-    per = region_stats(cells, size, value)
+def with_background(per: DataFrame, size, pct: float = 0.15) -> DataFrame:
+    """CMP01, the region rule: rows (img, region, mean, n, border) with is_bg: the mean above the
+    70th percentile of the regions' means, and on the border or larger than the given share of the
+    image."""
     p70 = stats.nearest_ranks(per, ["img"], "mean", {"p70": 0.7}, stats.is_large(size))
     most = int(size[0] * size[1] * min(max(pct, 0.0), 1.0))
-    return per.join(p70, "img").select("img", "region", ((F.col("mean") > F.col("p70")) & (F.col("border") | (F.col("n") > most))).alias("is_bg"))
+    return per.join(p70, "img").withColumn("is_bg", (F.col("mean") > F.col("p70")) & (F.col("border") | (F.col("n") > most))).drop("p70")
+
+
+def region_background(cells: DataFrame, size, pct: float = 0.15, value: str = "v") -> DataFrame:
+    """CMP01, the region rule: (img, region, is_bg)."""
+    return with_background(region_stats(cells, size, value), size, pct).select("img", "region", "is_bg")
 
 
 def classify_background(cells: DataFrame, size, pct: float = 0.15, use_otsu: bool = True, manual: float = 0.6, value: str = "v", seg: str | None = None) -> DataFrame:
@@ -61,7 +72,8 @@ def components(mask: DataFrame, key: str | None = None) -> DataFrame:
     local = cut(runs.groupBy("img", "band_").applyInPandas(_joined_in_band, "img string, k_ long, y long, x0 long, x1 long, root long"))
     up = local.where(F.col("y") % BAND == BAND - 1).select("img", "k_", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("root").alias("a"))
     edges = local.where(F.col("y") % BAND == 0).join(up, ["img", "k_", "y"]).where((F.col("u0") <= F.col("x1") + 1) & (F.col("u1") >= F.col("x0") - 1)).select("img", "a", F.col("root").alias("b"))
-    labels = _contracted(edges)
+    edges = cut(edges.where("a <> b").distinct())
+    labels = edges.groupBy("img").applyInPandas(_united, "img string, node long, comp long") if edges.count() <= FEW_LINKS else _contracted(edges)
     named = local.join(labels.withColumnRenamed("node", "root"), ["img", "root"], "left").withColumn("comp", F.coalesce("comp", "root"))
     cells = named.select("img", "k_", F.col("y").cast("int").alias("y"), F.explode(F.sequence("x0", "x1")).alias("x"), "comp").withColumn("x", F.col("x").cast("int"))
     if key:
@@ -95,6 +107,23 @@ def _joined_in_band(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["img", "k_", "y", "x0", "x1", "root"]]
 
 
+def _united(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(img, node, comp) for the nodes with an edge (img, a, b): comp is the least node reachable."""
+    top: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while top.setdefault(i, i) != i:
+            top[i] = top.setdefault(top[i], top[i])
+            i = top[i]
+        return i
+
+    for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+        a, b = root(a), root(b)
+        top[max(a, b)] = min(a, b)
+    nodes = list(top)
+    return pd.DataFrame({"img": pdf["img"].iloc[0] if len(pdf) else "", "node": nodes, "comp": [root(i) for i in nodes]})
+
+
 def _order(by: list[str], order: str):
     from pyspark.sql import Window
 
@@ -103,7 +132,7 @@ def _order(by: list[str], order: str):
 
 def _contracted(edges: DataFrame) -> DataFrame:
     """(img, node, comp) for the nodes with an edge (img, a, b)."""
-    left, labels = cut(edges.where("a <> b").distinct()), None
+    left, labels = edges, None
     while not left.isEmpty():
         both = left.unionAll(left.select("img", F.col("b").alias("a"), F.col("a").alias("b")))
         to = cut(both.groupBy("img", F.col("a").alias("node")).agg(F.min("b").alias("m")).select("img", "node", F.least("node", "m").alias("p")))

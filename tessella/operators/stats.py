@@ -106,11 +106,35 @@ def percentile_normalised(df: DataFrame, value: str, by: list[str], low: float =
     return joined.withColumn(out, _scaled(joined, value, F.col("p_lo"), F.col("p_hi"), flat)).drop("lo_", "hi_", "p_lo", "p_hi")
 
 
+#: The percentiles between which a depth is shaded.
+SHADED = {"p_lo": 0.02, "p_hi": 0.98}
+
+
+def shading_between(value: str, low: Column, high: Column) -> Column:
+    """NRM04, the formula: from [low, high] to [1, -1] (near is bright); 0 if they coincide."""
+    n = F.when(high - low < 1e-6, F.lit(0.5)).otherwise(clamp((F.col(value) - low) / (high - low), 0, 1))
+    return (F.lit(0.5) - n) * 2
+
+
 def global_shading(df: DataFrame, value: str, by: list[str], out: str = "shade", large: bool = True) -> DataFrame:
-    """NRM04: between the 2nd and 98th percentile to [1, -1] (near is bright); 0 if they coincide."""
-    ends = nearest_ranks(df, by, value, {"p_lo": 0.02, "p_hi": 0.98}, large)
-    n = _scaled(df, value, F.col("p_lo"), F.col("p_hi"), F.lit(0.5))
-    return df.join(ends, by).withColumn(out, (F.lit(0.5) - n) * 2).drop("p_lo", "p_hi")
+    """NRM04 between the 2nd and 98th percentile."""
+    ends = nearest_ranks(df, by, value, SHADED, large)
+    return df.join(ends, by).withColumn(out, shading_between(value, F.col("p_lo"), F.col("p_hi"))).drop("p_lo", "p_hi")
+
+
+def _middle(values: Column) -> Column:
+    """The median of a sorted array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+def gathered_stats(df: DataFrame, by: list[str], value: str, *more: Column) -> DataFrame:
+    """(by, n, mean, med, mad, more) of groups known to be small, by one aggregate; more are further
+    aggregates."""
+    whole = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("s_"), *more)
+    whole = whole.withColumn("med", _middle(F.col("s_")))
+    gaps = F.sort_array(F.transform("s_", lambda v: F.abs(v - F.col("med"))))
+    return whole.withColumn("s_", gaps).withColumn("mad", _middle(F.col("s_"))).drop("s_")
 
 
 def histogram(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -55,8 +55,9 @@ def inside(x: Column) -> Column:
     return (x > 0) & (x < F.size("vals") - 1) & F.get(F.col("around"), F.lit(0)).isNotNull() & F.get(F.col("around"), F.lit(2)).isNotNull()
 
 
-def median5(rows: DataFrame, name: str = "m") -> DataFrame:
-    """STN01: median of the 5 x 5 neighbourhood, the border's cells repeated outwards."""
+def median5(rows: DataFrame, name: str = "m", keep: tuple[str, ...] = ()) -> DataFrame:
+    """STN01: median of the 5 x 5 neighbourhood, the border's cells repeated outwards; `keep` are
+    columns of the row that go along."""
     near = with_rows_around(rows, 2, clamp=True)
     last = F.size("vals") - 1
 
@@ -64,21 +65,21 @@ def median5(rows: DataFrame, name: str = "m") -> DataFrame:
         cols = [F.greatest(F.lit(0), F.least(last, x + d)) for d in range(-2, 3)]
         return F.element_at(F.sort_array(F.array(*[at(dy, c, 2) for dy in range(-2, 3) for c in cols])), 13)
 
-    return each_cell(near, kernel, name)
+    return each_cell(near, kernel, name, keep)
+
+
+def sobel_at(x: Column, v: Callable[[int, int], Column], scale: float) -> Column:
+    """The gradient at column x; v gives the value dy rows below and dx columns on."""
+    gx = v(-1, 1) - v(-1, -1) + 2 * (v(0, 1) - v(0, -1)) + v(1, 1) - v(1, -1)
+    gy = v(1, -1) - v(-1, -1) + 2 * (v(1, 0) - v(-1, 0)) + v(1, 1) - v(-1, 1)
+    return F.when(inside(x), F.sqrt(gx * gx + gy * gy) / scale).otherwise(0.0)
 
 
 def sobel(rows: DataFrame, name: str = "g", scale: float = 1.0) -> DataFrame:
     """STN02, STN03, STN04: 3 x 3 gradient magnitude over `scale`, 0 on the border. The
     normalisation (by the maximum or by percentiles) is the caller's."""
     near = with_rows_around(rows, 1, clamp=False)
-
-    def kernel(x: Column) -> Column:
-        v = lambda dy, dx: at(dy, x + dx, 1)
-        gx = v(-1, 1) - v(-1, -1) + 2 * (v(0, 1) - v(0, -1)) + v(1, 1) - v(1, -1)
-        gy = v(1, -1) - v(-1, -1) + 2 * (v(1, 0) - v(-1, 0)) + v(1, 1) - v(-1, 1)
-        return F.when(inside(x), F.sqrt(gx * gx + gy * gy) / scale).otherwise(0.0)
-
-    return each_cell(near, kernel, name)
+    return each_cell(near, lambda x: sobel_at(x, lambda dy, dx: at(dy, x + dx, 1), scale), name)
 
 
 def over_max(cells: DataFrame, value: str, floor: float = 0.0) -> DataFrame:
@@ -107,15 +108,27 @@ def central_magnitude(rows: DataFrame, name: str = "g") -> DataFrame:
     return each_cell(near, kernel, name)
 
 
+def depth_importance_at(x: Column, v: Callable[[int, int], Column]) -> Column:
+    gx, gy = F.abs(v(0, 1) - v(0, -1)), F.abs(v(1, 0) - v(-1, 0))
+    return F.when(inside(x), F.lit(1.0) + (gx + gy) / 2 * 2).otherwise(1.0)
+
+
 def depth_importance(rows: DataFrame, name: str = "g") -> DataFrame:
     """STN06: 1 + 2 (gx + gy) / 2 with absolute central differences, 1 on the border."""
     near = with_rows_around(rows, 1, clamp=False)
+    return each_cell(near, lambda x: depth_importance_at(x, lambda dy, dx: at(dy, x + dx, 1)), name)
+
+
+def luma_and_depth(rows: DataFrame, scale: float = 255.0) -> DataFrame:
+    """(img, y, x, e_, b_): STN02 of field l and STN06 of field d of rows (img, y, vals: structs), in
+    one pass."""
+    near = with_rows_around(rows, 1, clamp=False)
 
     def kernel(x: Column) -> Column:
-        gx, gy = F.abs(at(0, x + 1, 1) - at(0, x - 1, 1)), F.abs(at(1, x, 1) - at(-1, x, 1))
-        return F.when(inside(x), F.lit(1.0) + (gx + gy) / 2 * 2).otherwise(1.0)
+        of = lambda k: lambda dy, dx: at(dy, x + dx, 1)[k]
+        return F.struct(sobel_at(x, of("l"), scale).alias("e_"), depth_importance_at(x, of("d")).alias("b_"))
 
-    return each_cell(near, kernel, name)
+    return each_cell(near, kernel, "g").select("img", "y", "x", "g.e_", "g.b_")
 
 
 def combined_importance(base: DataFrame, edges: DataFrame) -> DataFrame:

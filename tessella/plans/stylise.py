@@ -37,32 +37,65 @@ class Output:
     warnings: list[str] = field(default_factory=list)
 
 
-def shading(depth: DataFrame, region: DataFrame | None, config: ShadingConfig, large: bool = True) -> DataFrame:
-    """PRJ08 with AGG05, FIL05, NRM04: (img, y, x, v, region, shade); depth is filtered already.
-    Without regions the image is one."""
-    cells = depth.join(region, ["img", "y", "x"], "left") if region is not None else depth.withColumn("region", F.lit(0).cast("long"))
-    per = stats.mad_stats(cells.where("region is not null"), ["img", "region"], "v").select("img", "region", "med", "mad")
-    both = stats.global_shading(cells, "v", ["img"], "glob", large).join(per, ["img", "region"], "left")
-    local = stats.shading_from_stats(F.col("v"), F.col("region"), F.col("med"), F.col("mad"), config.mad_threshold)
-    flat = F.when(F.col("mad") < config.mad_threshold, 0.0).otherwise(1.0)
-    weight = min(max(config.global_depth_weight, 0.0), 1.0)
-    return both.select("img", "y", "x", "v", "region", stats.blended_shading(F.col("glob"), local, flat, weight).alias("shade"))
+def wide_rows(pixels: DataFrame, layers: Layers) -> DataFrame:
+    """(img, y, p): all layers of a row of cells as one array of structs (x, r, g, b, a, v, region,
+    seg), in the order of x. One union and one shuffle, by row, in place of a join a layer; cells
+    that pixels, depth or segmentation lack are left out."""
+    types = {"r": "int", "g": "int", "b": "int", "a": "int", "v": "double", "region": "long", "seg": "double"}
+
+    def part(df: DataFrame, **given: str) -> DataFrame:
+        return df.select("img", "y", "x", *[(F.col(given[c]) if c in given else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    whole = part(pixels, r="r", g="g", b="b", a="a").unionByName(part(layers.depth, v="v"))
+    if layers.region is not None:
+        whole = whole.unionByName(part(layers.region, region="region"))
+    if layers.seg is not None:
+        whole = whole.unionByName(part(layers.seg, seg="v"))
+    cells = whole.repartition("img", "y").groupBy("img", "y", "x").agg(*[F.max(c).alias(c) for c in types])
+    there = F.col("r").isNotNull() & F.col("v").isNotNull() & (F.col("seg").isNotNull() if layers.seg is not None else F.lit(True))
+    return cells.where(there).groupBy("img", "y").agg(F.sort_array(F.collect_list(F.struct("x", *types))).alias("p"))
+
+
+def filtered_cells(pixels: DataFrame, layers: Layers) -> DataFrame:
+    """(img, y, x, r, g, b, a, v, region, seg) with the depth v filtered by STN01."""
+    rows = wide_rows(pixels, layers).withColumn("vals", F.transform("p", lambda p: p["v"]))
+    med = stencil.median5(rows, "m", keep=("p",))
+    return med.select("img", "y", F.get("p", F.col("x")).alias("p"), F.col("m").alias("v")).select("img", "y", "p.x", "p.r", "p.g", "p.b", "p.a", "v", "p.region", "p.seg")
+
+
+def region_rows(cells: DataFrame, size, config: ShadingConfig) -> DataFrame:
+    """(img, region, med, mad, is_bg) of the cells' regions: AGG05 and CMP01's region rule."""
+    inside = cells.where("region is not null")
+    if stats.is_large(size):
+        per = stats.mad_stats(inside, ["img", "region"], "v").drop("n").join(regions.region_stats(cells, size), ["img", "region"])
+    else:
+        per = stats.gathered_stats(inside, ["img", "region"], "v", regions.on_border(size))
+    return regions.with_background(per, size, config.bg_cluster_size_pct).select("img", "region", "med", "mad", "is_bg")
 
 
 def depth_to_flat(pixels: DataFrame, size, layers: Layers, config: ShadingConfig = ShadingConfig()) -> DataFrame:
-    """CMP02: foreground lit by the shading, background toned down; without depth unchanged."""
+    """CMP02: foreground lit by the shading (PRJ08 with AGG05, FIL05, NRM04), background toned down;
+    without depth unchanged. Without regions the image is one. The cells are written once; statistics
+    are a row a region or image, joined to them."""
     if layers.depth is None:
         return pixels
-    depth = cut(stencil.median5(stencil.rows_of(layers.depth), "v"))
-    shaded = cut(shading(depth, layers.region, config, stats.is_large(size)))
-    base = shaded
-    if layers.seg is not None:
-        base = shaded.join(layers.seg.select("img", "y", "x", F.col("v").alias("seg")), ["img", "y", "x"])
+    cells = cut(filtered_cells(pixels, layers))
     if layers.region is None:
-        base = base.drop("region")
-    marked = regions.classify_background(base, size, config.bg_cluster_size_pct, config.use_otsu, config.bg_depth_threshold, seg="seg" if layers.seg is not None else None)
-    rows = pixels.join(marked.select("img", "y", "x", "shade", "is_bg"), ["img", "y", "x"])
-    rows = color.with_lab(rows)
+        cells = cells.withColumn("region", F.lit(0).cast("long"))
+    ends = stats.nearest_ranks(cells, ["img"], "v", stats.SHADED, stats.is_large(size))
+    rows = cells.join(region_rows(cells, size, config), ["img", "region"], "left").join(ends, "img")
+    if layers.seg is not None:
+        rows = rows.withColumn("is_bg", F.col("seg") < 0.5)
+    elif layers.region is not None:
+        rows = rows.withColumn("is_bg", F.coalesce("is_bg", F.lit(True)))
+    else:
+        thr = stats.background_threshold(cells, "v", ["img"], config.use_otsu, config.bg_depth_threshold)
+        rows = rows.join(thr, "img").withColumn("is_bg", F.col("v") > F.col("thr"))
+    local = stats.shading_from_stats(F.col("v"), F.col("region"), F.col("med"), F.col("mad"), config.mad_threshold)
+    even = F.when(F.col("mad") < config.mad_threshold, 0.0).otherwise(1.0)
+    weight = min(max(config.global_depth_weight, 0.0), 1.0)
+    rows = rows.withColumn("shade", stats.blended_shading(stats.shading_between("v", F.col("p_lo"), F.col("p_hi")), local, even, weight))
+    rows = color.with_lab(rows.select("img", "y", "x", "r", "g", "b", "a", "shade", "is_bg"))
     lab = tuple(F.col(k) for k in ("l_", "a_", "b_"))
     back = color.background_lab(*lab, config.bg_desaturation, config.bg_lightness_shift)
     front = (color.foreground_lightness(lab[0], F.col("shade"), config.strength, config.gamma, config.l_shift_scale), lab[1], lab[2])
@@ -85,14 +118,21 @@ def resample_layers(layers: Layers, size, out) -> Layers:
 
 
 def importance(pixels: DataFrame, layers: Layers, size) -> DataFrame:
-    """STN13: (img, y, x, w): depth and luma gradients; without depth the base is 1."""
-    luma = pixels.select("img", "y", "x", color.luma(F.col("r"), F.col("g"), F.col("b")).alias("v"))
-    sobel = stencil.over_max(stencil.sobel(stencil.rows_of(luma), "g", 255.0), "g")
-    if layers.depth is not None:
-        base = stencil.over_max(stencil.depth_importance(stencil.rows_of(layers.depth)), "g", 1.0)
+    """STN13: (img, y, x, w): depth and luma gradients; without depth the base is 1. Both stencils
+    run over one array of structs a row, and are written once, as their maxima are needed first."""
+    luma = pixels.select("img", "y", "x", color.luma(F.col("r"), F.col("g"), F.col("b")).cast("double").alias("l"))
+    if layers.depth is None:
+        cells = luma.withColumn("d", F.lit(1.0))
     else:
-        base = sobel.withColumn("g", F.lit(1.0))
-    return stencil.combined_importance(base, sobel).withColumnRenamed("g", "w")
+        both = luma.withColumn("d", F.lit(None).cast("double")).unionByName(layers.depth.select("img", "y", "x", F.lit(None).cast("double").alias("l"), F.col("v").cast("double").alias("d")))
+        cells = both.repartition("img", "y").groupBy("img", "y", "x").agg(F.max("l").alias("l"), F.max("d").alias("d")).where("l is not null and d is not null")
+    rows = cells.groupBy("img", "y").agg(F.sort_array(F.collect_list(F.struct("x", "l", "d"))).alias("vals"))
+    grads = cut(stencil.luma_and_depth(rows))
+    tops = grads.groupBy("img").agg(F.max("e_").alias("e_top"), F.greatest(F.max("b_"), F.lit(1.0)).alias("b_top"))
+    edge = F.when(F.col("e_top") > 0, F.col("e_") / F.col("e_top")).otherwise(F.col("e_"))
+    base = F.col("b_") / F.col("b_top") if layers.depth is not None else F.lit(1.0)
+    mixed = grads.join(tops, "img").select("img", "y", "x", (base * 0.7 + edge * 0.3).alias("w"))
+    return stencil.over_max(mixed, "w", 1.0)
 
 
 def as_prefix(layer: DataFrame, value: str, width: int, out) -> DataFrame:
