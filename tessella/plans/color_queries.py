@@ -107,6 +107,14 @@ def hsl_hue_counts(spark, d):
     return rgba_cells(spark, d).groupBy(hue_name(h).alias("hue")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("r", "g", "b").alias("colors"))
 
 
+@query(with_([R, HSL], "SELECT hue, string_agg(hex, ' ' ORDER BY hex) AS colors FROM (SELECT DISTINCT CASE WHEN h < 15 - 1e-9 OR h >= 345 - 1e-9 THEN 'RED' " + " ".join(f"WHEN h < {t} - 1e-9 THEN '{n}'" for t, n in HUES[1:]) + " ELSE 'MAGENTA' END AS hue, '#' || printf('%02X%02X%02X', r, g, b) AS hex FROM hsl) GROUP BY hue"))
+def hue_colors(spark, d):
+    """AGG13: the distinct colours of each hue, of which there are 2^24 at most."""
+    h = color.rgb_to_hsl(F.col("r"), F.col("g"), F.col("b"))[0] + 1e-9
+    each = rgba_cells(spark, d).select(hue_name(h).alias("hue"), color.hex_color(F.col("r"), F.col("g"), F.col("b")).alias("hex")).distinct()
+    return each.groupBy("hue").agg(F.array_join(F.sort_array(F.collect_list("hex")), " ").alias("colors"))
+
+
 PAL = palette_ctes(palette_values(PRESET))
 DIST = "dist AS (SELECT lab.y, lab.x, lab.a, pal.idx, pal.r, pal.g, pal.b, pow(lab.l - pal.l, 2) + pow(lab.la - pal.la, 2) + pow(lab.lb - pal.lb, 2) AS d FROM lab, pal)"
 

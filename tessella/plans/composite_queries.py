@@ -135,6 +135,43 @@ def model_size(spark, d):
     return models.total_size(models.registry(spark))
 
 
+@query("SELECT * FROM (VALUES ('absent', false), ('nation', true), ('region', true)) AS f(id, downloaded)")
+def model_files(spark, d):
+    """SRC08, JOI10: files looked for in a real folder, that of the tables."""
+    wanted = spark.createDataFrame([(n, n, f"{n}.parquet", 1.0, True) for n in ("region", "nation", "absent")], models.MODEL)
+    return models.status(wanted, models.files(spark, f"{d}/*n.parquet"))
+
+
+_BOX = ["v[1] * 320 + 320", "v[2] * 240 + 240", "v[3] * 320 + 320", "v[4] * 240 + 240"]
+
+
+@query("SELECT vec_id, " + ", ".join(f"round((CAST({b.split(' ')[0].replace('v', 'embedding')} AS DOUBLE) * {m} + {m}) * ({o} / {i}.0::DOUBLE) / {o}, 6) + 0.0 AS {c}" for b, m, o, i, c in zip(_BOX, (320, 240, 320, 240), (1920, 1080, 1920, 1080), (640, 480, 640, 480), ("x1", "y1", "x2", "y2"), strict=True)) + " FROM embeddings")
+def scaled_boxes(spark, d):
+    """PRJ17: boxes in a model's input (four floats of a vector) as fractions of the original."""
+    v = lambda k, half: F.get("embedding", F.lit(k)).cast("double") * half + half
+    box = tensors.Scale((1080, 1920), (480, 640)).box(v(0, 320), v(1, 240), v(2, 320), v(3, 240))
+    return table(spark, d, "embeddings").select("vec_id", *[r6(b).alias(c) for b, c in zip(box, ("x1", "y1", "x2", "y2"), strict=True)])
+
+
+_SIZES = [(h, w, t) for h, w in ((480, 640), (640, 480), (100, 100), (9, 1000), (1000, 9)) for t in (16, 64)]
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {', '.join(map(str, _SIZES))}) AS s(h, w, t))
+SELECT h, w, t, 'square' AS mode, t AS oh, t AS ow FROM s UNION ALL
+SELECT h, w, t, 'preserve', CASE WHEN w >= h THEN greatest(8, CAST(floor(t / (w / h::DOUBLE) + 0.5) AS INT)) ELSE t END, CASE WHEN w >= h THEN t ELSE greatest(8, CAST(floor(t * (w / h::DOUBLE) + 0.5) AS INT)) END FROM s UNION ALL
+SELECT h, w, t, 'custom', greatest(8, t // 4), greatest(8, t * 2) FROM s""")
+def output_sizes(spark, d):
+    """PRJ18."""
+    rows = [(h, w, t, m, *geometry.output_size((h, w), t, m, (t // 4, t * 2))) for h, w, t in _SIZES for m in ("square", "preserve", "custom")]
+    return spark.createDataFrame(rows, "h int, w int, t int, mode string, oh int, ow int")
+
+
+@query("SELECT CAST(i AS INT) AS i, i / 12.0::DOUBLE AS band FROM (SELECT unnest(range(12)) AS i)")
+def even_bands(spark, d):
+    """PRJ19."""
+    return spark.createDataFrame(list(enumerate(tensors.even_bands(12))), "i int, band double")
+
+
 @query("SELECT * FROM (VALUES ('Game Boy Style', 48, 'nearest', 'preset', 4), ('Portrait - Detailed', 64, 'weighted', 'auto', 32), ('Portrait - Minimal', 32, 'weighted', 'auto', 12)) AS p(name, output_size, method, palette_mode, max_colors)")
 def presets(spark, d):
     """SRC04, SRC10, SNK06: the built-in presets, written as JSON and read again by Spark."""

@@ -189,6 +189,19 @@ def upsample_model(spark, d):
     return geometry.upsample_model(scalar_rows(spark, d), (height(spark, d), W), (90, 45)).select("y", "x", r6("v").alias("v"))
 
 
+NEAR = "nr AS (SELECT o.y AS y, p.x AS x, e.region FROM (SELECT unnest(range(90)) AS y) o, (SELECT unnest(range(45)) AS x) p, hh, e WHERE e.y = floor((o.y + 0.5) * (h + 1) / 90.0::DOUBLE) AND e.x = floor((p.x + 0.5) * 64 / 45.0::DOUBLE))"
+
+
+@query(with_([E, HE, BIL.format(fy="o.y * (h / 89.0::DOUBLE)", fx="p.x * (63 / 44.0::DOUBLE)"), f"bl AS ({BIL_OUT})", NEAR], "SELECT y, x, v, region FROM bl JOIN nr USING (y, x)"))
+def resample_layers(spark, d):
+    """GEO13: depth bilinear, regions nearest."""
+    from .stylise import Layers, resample_layers
+
+    cells = scalar_cells(spark, d)
+    near = resample_layers(Layers(depth=cells.select("img", "y", "x", "v"), region=cells.select("img", "y", "x", "region")), (height(spark, d), W), (90, 45))
+    return near.depth.join(near.region, ["img", "y", "x"]).select("y", "x", r6("v").alias("v"), "region")
+
+
 @query(with_([E, HE], "SELECT CAST(o.y AS INT) AS y, CAST(p.x AS INT) AS x, round(e.v, 6) + 0.0 AS v FROM (SELECT unnest(range(90)) AS y) o, (SELECT unnest(range(45)) AS x) p, hh, e WHERE e.y = floor((o.y + 0.5) * (h + 1) / 90.0::DOUBLE) AND e.x = floor((p.x + 0.5) * 64 / 45.0::DOUBLE)"))
 def resample_nearest(spark, d):
     return geometry.resample_nearest(scalar_rows(spark, d), (height(spark, d), W), (90, 45)).select("y", "x", r6("v").alias("v"))
