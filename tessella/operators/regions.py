@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoint import cut
 from ..functions.color import clamp, with_lab
 from . import stats, stencil
-from .palette import uniform_sample
+from .palette import uniform
 
 #: Rows of an image whose runs of cells are joined by one task.
 BAND = 64
@@ -125,8 +123,6 @@ def _united(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _order(by: list[str], order: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*by).orderBy(order)
 
 
@@ -197,49 +193,60 @@ def gap(f: Column, g: Column) -> Column:
 
 
 def assign(feats: DataFrame, centers: DataFrame, window: int) -> DataFrame:
-    """JOI06: the nearest center (img, c, cy, cx, f) whose window of +-`window` cells holds the
-    cell, lowest number on ties. The range join is an equi-join on tiles of the window's size:
-    a center goes to the tiles its window meets, at most nine."""
+    """JOI06: the nearest center (img, c, cy, cx, f) whose window of +-`window` cells, or +-`w` where
+    the centers have that column, at most `window`, holds the cell, lowest number on ties. The
+    range join is an equi-join on tiles of the window's size: a center goes to the tiles its window
+    meets, at most nine."""
     tile = lambda c: F.floor(c / window).cast("int")
     spans = [F.sequence(tile(F.col(k) - window), tile(F.col(k) + window)) for k in ("cy", "cx")]
     put = centers.withColumn("ty", F.explode(spans[0])).withColumn("tx", F.explode(spans[1])).withColumnRenamed("f", "cf")
     near = feats.withColumn("ty", tile(F.col("y"))).withColumn("tx", tile(F.col("x"))).join(put, ["img", "ty", "tx"])
-    near = near.where((F.abs(F.col("y") - F.col("cy")) <= window) & (F.abs(F.col("x") - F.col("cx")) <= window))
+    reach = F.col("w") if "w" in centers.columns else F.lit(window)
+    near = near.where((F.abs(F.col("y") - F.col("cy")) <= reach) & (F.abs(F.col("x") - F.col("cx")) <= reach))
     return near.groupBy("img", "y", "x").agg(F.min(F.struct(gap(F.col("f"), F.col("cf")).alias("d"), "c"))["c"].alias("c"))
 
 
+def seeds(own: DataFrame, k: int) -> DataFrame:
+    """(img, c, y, x, f): k cells of each image (SMP02), those with the least hash of their key,
+    numbered by key. Spark limits the ranks before the shuffle, so an image's rows don't meet."""
+    least = own.withColumn("s_", uniform(F.col("key")))
+    rank = F.row_number().over(Window.partitionBy("img").orderBy("s_", "key"))
+    few = least.withColumn("rank_", rank).where(F.col("rank_") <= k)
+    return few.select("img", (F.row_number().over(Window.partitionBy("img").orderBy("key")) - 1).alias("c"), "y", "x", "f")
+
+
 def slic(cells: DataFrame, size, k: int = 32, weight: float = 0.7, depth: str | None = None, seg: str | None = None, iterations: int = 5) -> DataFrame:
-    """CLU01: superpixel regions (img, y, x, region) by windowed k-means on PRJ11's features;
-    cells that no window reaches keep the last round's region, or have none. One image a call.
-    Seeds are a hash-ordered sample."""
+    """CLU01: superpixel regions (img, y, x, region) by windowed k-means on PRJ11's features, for all
+    images at once; cells that no window reaches keep the last round's region, or have none. Seeds
+    are a hash-ordered sample. Centers are a written table, at most 128 rows an image; a round ends
+    the loop when no image's centers moved, which changes nothing for those that stood still."""
     k, weight = min(max(k, 5), 128), min(max(weight, 0.0), 1.0)
     feats = cut(features(cells, size, depth, weight))
-    fore = cut(cells.where(F.col(seg) >= 0.5).select("img", "y", "x")) if seg else None
-    own = feats.join(fore, ["img", "y", "x"], "left_semi") if fore is not None and not fore.isEmpty() else feats
+    own = feats
+    if seg:
+        fore = cut(cells.where(F.col(seg) >= 0.5).select("img", "y", "x"))
+        some = feats.join(fore.select("img").distinct(), "img", "left_anti")  # images without foreground count whole
+        own = feats.join(fore, ["img", "y", "x"], "left_semi").unionByName(some)
     own = own.withColumn("key", F.col("y").cast("long") * size[1] + F.col("x"))
-    seeds = uniform_sample(own, F.col("key"), k).orderBy("key").collect()  # at most 128 rows
-    n = max(1, own.count())
-    window = max(1, int(math.sqrt(n / max(1, len(seeds)))))
-    spark = cells.sparkSession
-    centers = [(s["img"], i, s["y"], s["x"], list(s["f"])) for i, s in enumerate(seeds)]
+    first = seeds(own, k)
+    per = own.groupBy("img").agg(F.count(F.lit(1)).alias("cells_")).join(first.groupBy("img").agg(F.count(F.lit(1)).alias("seeds_")), "img")
+    per = per.select("img", F.greatest(F.lit(1), F.floor(F.sqrt(F.col("cells_") / F.col("seeds_")))).cast("int").alias("w"))
+    centers = cut(first.select("img", "c", F.col("y").alias("cy"), F.col("x").alias("cx"), "f").join(per, "img"))
+    window = centers.agg(F.max("w")).first()[0] or 1
     labels = None
     for turn in range(iterations):
-        frame = spark.createDataFrame(centers, "img string, c int, cy int, cx int, f array<double>")
-        now = assign(own.drop("key"), frame, window)
+        now = assign(own.drop("key"), centers, window)
         if labels is not None:
             old = labels.select("img", "y", "x", F.col("c").alias("was"))
             now = old.join(now, ["img", "y", "x"], "full").select("img", "y", "x", F.coalesce("c", "was").alias("c"))
         labels = cut(now)
-        sums = own.join(labels, ["img", "y", "x"]).groupBy("c").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"), F.array(*[F.avg(F.get("f", F.lit(j))) for j in range(10)]).alias("f")).collect()
-        moved, by = False, {r["c"]: r for r in sums}
-        for i, (img, c, _, _, f) in enumerate(centers):
-            if c in by:
-                r = by[c]
-                moved |= any(abs(p - q) > 1e-6 for p, q in zip(f, r["f"], strict=True))
-                centers[i] = (img, c, min(size[0] - 1, math.floor(r["cy"] + 0.5)), min(size[1] - 1, math.floor(r["cx"] + 0.5)), list(r["f"]))
-        if not moved and turn:
+        means = own.join(labels, ["img", "y", "x"]).groupBy("img", "c").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"), F.array(*[F.avg(F.get("f", F.lit(j))) for j in range(10)]).alias("mf"))
+        both = centers.join(means, ["img", "c"], "left")
+        at = lambda mean, was, most: F.coalesce(F.least(F.lit(most - 1), F.floor(F.col(mean) + 0.5)).cast("int"), F.col(was)).alias(was)
+        moved = F.coalesce(F.exists(F.zip_with("f", "mf", lambda p, q: F.abs(p - q)), lambda d: d > 1e-6), F.lit(False)).alias("moved")
+        centers = cut(both.select("img", "c", at("my", "cy", size[0]), at("mx", "cx", size[1]), F.coalesce("mf", "f").alias("f"), "w", moved))
+        if turn and centers.where("moved").isEmpty():
             break
+        centers = centers.drop("moved")
     whole = feats.select("img", "y", "x").join(labels.select("img", "y", "x", F.col("c").cast("long").alias("region")), ["img", "y", "x"], "left")
     return split_disconnected(whole)
-
-

@@ -343,3 +343,18 @@ def test_shared_folder_is_refused_off_a_local_master(spark, monkeypatch):
     if not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(RuntimeError):
             checkpoint.shared_folder(spark)
+
+
+def test_slic_over_many_images(spark):
+    """Each image is segmented as it is alone, whatever other images are there; two flat halves apart."""
+    size = (16, 16)
+    rows = [(img, y, x, *((200, 30, 30) if (x if img == "a" else y) < 8 else (30, 30, 200)), 255, 1.0 if img != "c" else float(x >= 4)) for img in "abc" for y in range(16) for x in range(16)]
+    px = spark.createDataFrame(rows, "img string, y int, x int, r int, g int, b int, a int, s double")
+    every = regions.slic(px, size, k=6, seg="s")
+    got = {(r["img"], r["y"], r["x"]): r["region"] for r in every.collect()}
+    assert len(got) == 3 * 256
+    for img in "abc":
+        alone = {(r["img"], r["y"], r["x"]): r["region"] for r in regions.slic(px.where(px.img == img), size, k=6, seg="s").collect()}
+        assert alone == {k: v for k, v in got.items() if k[0] == img}
+    sides = {half: {got["a", y, x] for y in range(16) for x in range(16) if (x < 8) == half and got["a", y, x] is not None} for half in (True, False)}
+    assert sides[True] and sides[False]
