@@ -127,6 +127,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
 SECOND_BASE = int(_ODD[1])
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed by array steps of 8; a longer word is hashed alone.
+LONG_WORD = 256
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, number of words of each text) of an Arrow binary or string
+    array, optionally with A-Z lower-cased. A text is read as bytes, without an object a word."""
+    kind = np.int64 if pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type) else np.int32
+    if texts.null_count:
+        texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, kind, len(texts) + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    first, last = int(ends[0]), int(ends[-1])
+    ends = ends - first
+    size = last - first
+    raw = np.zeros(size + 8, np.uint8)  # so that 8 bytes can be read from every place
+    if size:
+        own = np.frombuffer(data, np.uint8, size, first)
+        raw[:size] = _LOWER[own] if lower else own
+    solid = np.zeros(size + 1, bool)
+    np.logical_not(_BLANK[raw[:size]], out=solid[:size])
+    opens = solid[:size].copy()
+    opens[1:] &= ~solid[: max(0, size - 1)]
+    at = ends[:-1]
+    at = at[at < size]
+    opens[at] = solid[at]  # a text starts anew
+    start = np.flatnonzero(opens)
+    closes = np.ones(size, bool)
+    closes &= solid[:size]
+    closes[:-1] &= ~solid[1:size] | opens[1:]
+    length = np.flatnonzero(closes) + 1 - start
+    n = np.diff(np.searchsorted(start, ends))
+    eight = np.ndarray((size + 1,), "<u8", raw.data, strides=(1,))
+    h = mix64((eight[start] & _FIRST_BYTES[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _ODD[0]))
+    left, done = np.flatnonzero(length > 8), 8
+    for k in left[length[left] > LONG_WORD].tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[start[k] : start[k] + length[k]].tobytes())
+    left = left[length[left] <= LONG_WORD]
+    while len(left):
+        part = eight[start[left] + done] & _FIRST_BYTES[np.minimum(length[left] - done, 8)]
+        h[left] = mix64(h[left] * _ODD[1] + part)
+        done += 8
+        left = left[length[left] > done]
+    return h, n
+
+
 def ngram_hashes(h: np.ndarray, n: int, base: int = int(_ODD[0])) -> np.ndarray:
     """Hash of each run of n consecutive values of h; fewer than n: none. The polynomial's
     base is odd, so order counts."""

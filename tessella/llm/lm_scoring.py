@@ -3,7 +3,8 @@
 Counts of tokens (words, and one end per document) and of all bigrams are exact. A bigram's count
 is quantised on a logarithmic scale, q = 1 + floor(log_b c), and the bigram is entered into a
 Bloom filter once for each level 1..q. A probe asks for level 1, 2, ... until one is absent: the
-last present level is the quantised count. The filter grows with the entries and is broadcast.
+last present level is the quantised count. The PROBES bits of an entry lie in one word of 64, so
+that a probe reads memory once; about 1 % of absent entries seem present.
 
 Probability, absolutely discounted and interpolated with the unigram:
     p(w | h) = max(c^(h w) - D, 0) / c(h) + alpha(h) p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
@@ -12,45 +13,60 @@ the probabilities of a context add up to one but for the filter's false positive
 were never seen, and a document's first token, use p(w).
 
 Bigrams are keyed by the 64-bit hash of the context and a mix of both words' hashes, which for one
-context is a bijection of the second word's.
-
-The totals of the DICTIONARY most frequent tokens are broadcast (a bounded table). A position with
-a rarer token, as word or context, is completed by joins with the table of all totals; as these
-tokens are rare, the joins have no hot key.
-
-Edge cases: a null text is empty and has its end only; a null doc_id is training data; repeated
-rows count and are scored each; without training tokens every count is 0; an empty table gives
-an empty result.
+context is a bijection of the second word's. Tasks count what they hold and send it packed, one
+row a part, to as many parts as there are shuffle partitions: by context, so that a part sums
+the context's masses, but a context with more than 1 / (4 parts) of all tokens by bigram, so that
+it is spread. Each part counts, quantises and fills its own piece of the filter, of BITS_PER_ENTRY
+an entry whatever their number. No table of bigrams is written.
+
+A filter of at most BROADCAST_BITS is broadcast. A larger one stays in its parts, and the positions
+meet it there. The totals of the DICTIONARY most frequent tokens are broadcast (a bounded table). A
+position with a rarer token, as word or context, is completed by joins with the table of all totals;
+as these tokens are rare, the joins have no hot key.
+
+Masses, and what joins complete, are summed as integers, so that no order of rows changes a score.
+
+Edge cases: a null text is empty and has its end only; a very long text is scored with few others
+at a time; a null doc_id is training data; repeated rows count and are scored each; of tokens
+equally frequent at the dictionary's end all or none are in it, which changes no score (ties);
+without training tokens every count is 0; only doc_id and text are read, so other columns cannot
+clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, WordHashes, batches_of_rows, documents, mix64
+from .common import Stash, batches_of_bytes, documents, hashed_words, mix64, partitions
 
 DICTIONARY = 1 << 20
 BASE, DISCOUNT = 1.5, 0.75
-BITS_PER_ENTRY, PROBES, BLOCKS = 12, 5, 256
-#: A filter of more bits is not broadcast; the counts are joined instead.
+BITS_PER_ENTRY, PROBES = 12, 5
+#: A filter of more bits is not broadcast.
 BROADCAST_BITS = 1 << 30
-#: No word holds a line end, so it can stand for the document's.
-END = b"\n"
+#: Positions that a task holds before it sends their bigrams; the unit of masses and of joined sums.
+FLUSH, MASS_UNIT, SCORE_UNIT = 1_500_000, 1 << 20, 1 << 40
+#: Bytes of text that are scored at a time.
+SCORED_BYTES = 1 << 20
+#: Stands for a document's end among the hashes of its words.
+END = np.uint64(0x5851F42D4C957F2D)
+_CODEC = pa.Codec("zstd")
+_M32 = np.uint64(0xFFFFFFFF)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words with A-Z lower-cased, then the end."""
-    out = (text or b"").lower().split()
-    out.append(END)
-    return out
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, number of tokens of each text): the words with A-Z lower-cased, then
+    the end."""
+    h, n = hashed_words(texts, lower=True)
+    out = np.full(len(h) + len(n), END)
+    out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+    return out, n + 1
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -58,20 +74,18 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
+    held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count))
-        out = pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.fromiter(count.values(), np.int64, len(count)))], names=["h", "c"])
-        count.clear()
-        return out
-
-    for batch in batches_of_rows(batches, 500):
-        for text in batch.column(0).to_pylist():
-            count.update(tokens(text))
-            if len(count) > 400_000:
-                yield flush()
-    if count:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+
+    for batch in batches_of_bytes(batches, 0):
+        held.append(tokens(batch.column(0))[0])
+        if sum(map(len, held)) > FLUSH:
+            yield flush()
+    if held:
         yield flush()
 
 
@@ -85,165 +99,234 @@ def grams_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(h * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h, g, count) with each g once."""
-    h, g, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, first, back = np.unique(g, return_index=True, return_inverse=True)
-    return h[first], key, np.bincount(back, weights=c).astype(np.int64)
+def parts_of(h: np.ndarray, g: np.ndarray, hot: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(part, a key that orders by part and, but for hot contexts, by context); hot is sorted."""
+    at = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
+    key = mix64(np.where(hot[at] == h, g, h) if len(hot) else h)
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64), key
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    seen = WordHashes()
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
+def _squeezed(raw: bytes) -> bytes:
+    return _CODEC.compress(raw, asbytes=True)
 
-    def out() -> pa.RecordBatch:
-        h, g, c = _added(parts)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(c)], names=["h", "g", "c"])
 
-    for batch in batches_of_rows(batches, 300):
-        for text in batch.column(0).to_pylist():
-            w = seen.of(tokens(text))
-            parts.append((w[:-1], grams_of(w[:-1], w[1:]), np.ones(len(w) - 1, np.int64)))
-            held += len(w) - 1
-            if held > limit:
-                yield out()
-                parts, held = [], 0
-    if held:
-        yield out()
+def _opened(packed: bytes, size: int) -> bytes:
+    return _CODEC.decompress(packed, size, asbytes=True)
 
 
-def levels_of(c: Column) -> Column:
-    """1 + floor(log_b c), with care for powers of b."""
-    return (F.floor(F.log(c.cast("double")) / math.log(BASE) + 1e-9) + 1).cast("int")
+def pack_bigrams(h: np.ndarray, g: np.ndarray, c: np.ndarray) -> bytes:
+    """h in runs"""
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(first, append=len(h))
+    return np.array([len(g), len(first)], np.int64).tobytes() + g.tobytes() + h[first].tobytes() + _squeezed(size.astype(np.int32).tobytes() + c.astype(np.int64).tobytes())
 
 
-def _positions(gram: np.ndarray, level: int, block_bits: int) -> list[np.ndarray]:
-    """The bits of (gram, level), all in the gram's block; positions over the whole filter."""
-    x = mix64(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-    low, high = x & np.uint64(0xFFFFFFFF), (x >> np.uint64(32)) | np.uint64(1)
-    at = block_of(gram) * np.uint64(block_bits)
-    return [at + (low + np.uint64(k) * high) % np.uint64(block_bits) for k in range(PROBES)]
+def unpack_bigrams(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, runs = np.frombuffer(blob, np.int64, 2).tolist()
+    raw = _opened(blob[16 + 8 * (n + runs) :], 4 * runs + 8 * n)
+    h = np.repeat(np.frombuffer(blob, np.uint64, runs, 16 + 8 * n), np.frombuffer(raw, np.int32, runs))
+    return h, np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(raw, np.int64, n, 4 * runs)
 
 
-#: block = (gram's low 31 bits * factor mod 2^32) / 2^24, in numpy and in Spark alike.
-FACTOR = 2654435761
+def _bigrams(hot: np.ndarray, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, g = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            g, first, c = np.unique(g, return_index=True, return_counts=True)
+            h = h[first]
+            part, key = parts_of(h, g, hot, parts)
+            order = np.argsort(key)
+            h, g, c, part = h[order], g[order], c[order], part[order]
+            bounds = np.searchsorted(part, np.arange(parts + 1))
+            out = [(p, pack_bigrams(h[a:b], g[a:b], c[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["part", "blob"])
+
+        for batch in batches_of_bytes(batches, 0):
+            w, n = tokens(batch.column(0))
+            inside = np.ones(len(w), bool)
+            inside[np.cumsum(n) - 1] = False  # nothing follows an end
+            inside = np.flatnonzero(inside)
+            held.append((w[inside], grams_of(w[inside], w[inside + 1])))
+            if sum(len(x[0]) for x in held) > FLUSH:
+                yield flush()
+        if sum(len(x[0]) for x in held):
+            yield flush()
 
+    return run
 
-def block_of(gram: np.ndarray) -> np.ndarray:
-    return ((gram & np.uint64(0x7FFFFFFF)) * np.uint64(FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
 
+def levels_of(c: np.ndarray) -> np.ndarray:
+    """1 + floor(log_b c), with care for powers of b."""
+    return (np.floor(np.log(c.astype(float)) / math.log(BASE) + 1e-9) + 1).astype(np.int64)
 
-def _fill(block_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(BLOCKS, -1)
-        filled = np.zeros((0, block_bits), np.bool_)
-        for batch in batches:
-            gram = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            q = batch.column(1).to_numpy()
-            used = np.unique(block_of(gram).astype(np.int64))
-            new = used[slot[used] < 0]
-            if len(new):
-                slot[new] = len(filled) + np.arange(len(new))
-                filled = np.concatenate([filled, np.zeros((len(new), block_bits), np.bool_)])
-            flat = filled.reshape(-1)
-            for level in range(1, int(q.max(initial=0)) + 1):
-                now = gram[q >= level]
-                shift = (slot[block_of(now).astype(np.int64)] - block_of(now).astype(np.int64)) * block_bits
-                for at in _positions(now, level, block_bits):
-                    flat[at.astype(np.int64) + shift] = True
-        for b in np.flatnonzero(slot >= 0):
-            yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([np.packbits(filled[slot[b]]).tobytes()], pa.binary())], names=["block", "bits"])
 
-    return run
+def _marks(gram: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits in it) of (gram, level) in a piece of so many words, 2^32 at most."""
+    x = mix64(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+    bits = np.zeros(len(x), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << (x >> np.uint64(6 * k) & np.uint64(63))
+    return ((x >> np.uint64(32)) * words >> np.uint64(32)).astype(np.int64), bits
 
 
-class LogFrequencyFilter:
-    """The filter's bits and the probes; small enough to be broadcast."""
+def filled(gram: np.ndarray, q: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
+    """A piece of the filter that holds each gram at the levels 1..q."""
+    piece = np.zeros(max(1, -(-int(q.sum()) * bits_per_entry // 64)), np.uint64)
+    for level in range(1, int(q.max(initial=0)) + 1):
+        at, bits = _marks(gram[q >= level], level, np.uint64(len(piece)))
+        order = np.argsort(at)
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        piece[at[order][first]] |= np.bitwise_or.reduceat(bits[order], first)
+    return piece.tobytes()
 
-    def __init__(self, bits: np.ndarray, block_bits: int):
-        self.bits, self.block_bits = bits, block_bits
 
-    def quantised(self, grams: np.ndarray) -> np.ndarray:
-        """The last level present of each gram, 0 if none is."""
+class LogFrequencyFilter:
+    """Pieces of the filter, by part, and the probes."""
+
+    def __init__(self, pieces: dict[int, bytes], hot: np.ndarray, parts: int):
+        self.hot, self.parts = hot, parts
+        self.size = np.zeros(parts, np.uint64)
+        for p, piece in pieces.items():
+            self.size[p] = len(piece) // 8
+        self.first = (np.cumsum(self.size) - self.size).astype(np.int64)
+        self.words = np.frombuffer(b"".join(pieces[p] for p in sorted(pieces)), np.uint64)
+
+    def quantised(self, part: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """The last level present of each gram of a part, 0 if none is."""
         out = np.zeros(len(grams), np.int64)
-        left, level = np.arange(len(grams)), 1
+        size, first = self.size[part], self.first[part]
+        left, level = np.flatnonzero(size), 1
+        size, first, grams = size[left], first[left], grams[left]
         while len(left):
-            here = np.ones(len(left), bool)
-            for at in _positions(grams[left], level, self.block_bits):
-                at = at.astype(np.int64)
-                here &= (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            left = left[here]
+            at, bits = _marks(grams, level, size)
+            here = np.flatnonzero(self.words[first + at] & bits == bits)
+            left, size, first, grams = left[here], size[here], first[here], grams[here]
             out[left] = level
             level += 1
         return out
 
-    @classmethod
-    def build(cls, grams: DataFrame, most: int = BROADCAST_BITS) -> LogFrequencyFilter | None:
-        """From rows (g, q), with BITS_PER_ENTRY at least whatever their number; None if that takes more
-        than `most` bits. Grams are dealt by block, so that each block is filled by one task and
-        comes to the driver once."""
-        entries = grams.agg(F.sum("q")).first()[0] or 0
-        bits = 1 << max(16, math.ceil(math.log2(max(1, entries * BITS_PER_ENTRY))))
-        if bits > most:
-            return None
-        block_bits = bits // BLOCKS
-        block = F.shiftright((F.col("g").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(FACTOR)).bitwiseAND(F.lit(0xFFFFFFFF)), 24)
-        filled = grams.withColumn("part", block).repartition("part").select("g", "q").mapInArrow(_fill(block_bits), "block int, bits binary")
-        whole = np.zeros(bits // 8, np.uint8)
-        step = block_bits // 8
-        for row in filled.toLocalIterator():
-            part = whole[row["block"] * step : (row["block"] + 1) * step]
-            np.bitwise_or(part, np.frombuffer(bytes(row["bits"]), np.uint8), out=part)
-        return cls(whole, block_bits)
+
+def _counted(bits_per_entry: int):
+    """Per part: its piece of the filter, and the masses of its contexts in MASS_UNITs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(unpack_bigrams(blob))
+        for part in list(held):
+            h, g, c = (np.concatenate(x) for x in zip(*held.pop(part), strict=True))
+            order = np.argsort(g)
+            h, g, c = h[order], g[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            h, g, q = h[first], g[first], levels_of(np.add.reduceat(c, first))
+            order = np.argsort(h)
+            mass = np.round(np.maximum(BASE ** (q[order] - 1.0) - DISCOUNT, 0.0) * MASS_UNIT).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+            contexts, mass = h[order][first].view(np.int64), np.add.reduceat(mass, first)
+            piece = filled(g, q, bits_per_entry)
+            for k in range(0, len(contexts), 50_000):
+                some = slice(k, k + 50_000)
+                lists = [pa.array([x[some].tolist()], pa.list_(pa.int64())) for x in (contexts, mass)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([piece if k == 0 else None], pa.binary()), *lists], names=["part", "piece", "h", "m"])
+
+    return run
+
+
+def counted(train: DataFrame, hot: np.ndarray, parts: int, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """(part, piece, h, m) from train (text): the filter's piece of a part and, as lists, the
+    masses of contexts; a context may be in several rows."""
+    sent = train.mapInArrow(_bigrams(hot, parts), "part int, blob binary").repartitionById(parts, "part")
+    return sent.mapInArrow(_counted(bits_per_entry), "part int, piece binary, h array<long>, m array<long>")
+
+
+def _probed(hot: np.ndarray, parts: int, columns: list[str]):
+    """Rows sorted by kind, pieces (0) before positions (1): positions with their q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, bytes] = {}
+        own: LogFrequencyFilter | None = None
+        for batch in batches:
+            kind = batch.column(batch.schema.get_field_index("kind")).to_numpy()
+            first = int(np.searchsorted(kind, 1))
+            part, piece = (batch.column(batch.schema.get_field_index(c))[:first].to_pylist() for c in ("part", "piece"))
+            pieces.update(zip(part, piece, strict=True))
+            batch = batch.slice(first)
+            if not batch.num_rows:
+                continue
+            own = own or LogFrequencyFilter(pieces, hot, parts)
+            at = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
+            q = at["q"].to_numpy()
+            ask = np.flatnonzero(q < 0)
+            q = q.copy()
+            h, g = (at[c].to_numpy()[ask].view(np.uint64) for c in ("h", "g"))
+            q[ask] = own.quantised(parts_of(h, g, hot, parts)[0], g)
+            at["q"] = pa.array(q)
+            yield pa.RecordBatch.from_arrays(list(at.values()), names=list(at))
+
+    return run
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_h array<long>, open_w array<long>, open_g array<long>, open_q array<long>, open_ch array<long>, open_m array<double>, open_cw array<long>"
 OPEN = ("h", "w", "g", "q", "ch", "m", "cw")
 
 
+def looked_up(m: dict, h: np.ndarray) -> dict[str, np.ndarray]:
+    """What the model knows of tokens, given their hashes in order."""
+    found = np.zeros(len(h), bool)
+    count, mass, carried = np.zeros(len(h), np.int64), np.zeros(len(h)), np.zeros(len(h), bool)
+    if len(m["hashes"]):
+        at = np.minimum(np.searchsorted(m["hashes"], h), len(m["hashes"]) - 1)
+        found = m["hashes"][at] == h
+        count[found], mass[found], carried[found] = (m[k][at[found]] for k in ("counts", "mass", "carried"))
+    p = (count + 0.1) / m["total"]
+    alpha = np.where(count > 0, np.maximum(1e-6, 1 - mass / np.maximum(count, 1)), 1.0)
+    rare, tail = ~(carried | m["all_carried"]), ~found & (not m["complete"])
+    return {"h": h, "count": count, "mass": mass, "rare": rare, "tail": tail, "p": p, "log": np.log10(p), "alpha": alpha, "hot": np.isin(h, m["hot"]), "part": parts_of(h, h, m["hot"][:0], m["parts"])[0]}
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        seen = WordHashes()
         lfbf = m["filter"]
-        for batch in batches_of_rows(batches, 300):
-            texts = batch.column(2).to_pylist()
-            words = [tokens(t) for t in texts]
-            n = np.array([len(w) for w in words])
+        for batch in batches_of_bytes(batches, 2, SCORED_BYTES):
+            h, n = tokens(batch.column(2))
             doc = np.repeat(np.arange(len(n)), n)
-            h = np.concatenate([seen.of(w) for w in words])
-            key, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(m["hashes"], key), max(0, len(m["hashes"]) - 1))
-            found = m["hashes"][at] == key if len(m["hashes"]) else np.zeros(len(key), bool)
-            count = np.where(found, m["counts"][at] if len(m["counts"]) else 0, 0)[back]
-            mass = np.where(found, m["mass"][at] if len(m["mass"]) else 0.0, 0.0)[back]
-            with_mass = (found & (m["carried"][at] if len(m["carried"]) else False))[back] | m["all_carried"]
-            tail = ~found[back] & (not m["complete"])
-            p = (count + 0.1) / m["total"]
-            base = np.where(tail, 0.0, np.log10(p))
+            h, slot = np.unique(h, return_inverse=True)
+            at = looked_up(m, h)
+            count, tail, p = at["count"][slot], at["tail"][slot], at["p"][slot]
+            base = np.where(tail, 0.0, at["log"][slot])
             # contexts: the token before in the same document
-            follows = np.zeros(len(h), bool)
+            before = slot[np.maximum(np.arange(len(slot)) - 1, 0)]
+            follows = np.zeros(len(slot), bool)
             follows[1:] = doc[1:] == doc[:-1]
-            before = np.maximum(np.arange(len(h)) - 1, 0)
-            c_h, m_h = np.where(follows, count[before], 0), np.where(follows, mass[before], 0.0)
-            rare = follows & ~with_mass[before]
+            c_h = np.where(follows, at["count"][before], 0)
+            rare = follows & at["rare"][before]
             # a bigram of tokens never seen in training needs no probe
-            probed = follows & (rare | (c_h > 0)) & (tail | (count > 0))
-            g, q = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
-            g[probed] = grams_of(h[before[probed]], h[probed])
-            if lfbf is not None and probed.any():
-                grams, g_back = np.unique(g[probed], return_inverse=True)
-                q[probed] = lfbf.quantised(grams)[g_back]
-            left = tail | rare | (probed if lfbf is None else False)
-            c = np.where(q > 0, np.maximum(BASE ** (q - 1.0) - DISCOUNT, 0.0), 0.0)
-            inner = np.maximum(c_h, 1)
-            alpha = np.where(c_h > 0, np.maximum(1e-6, 1 - m_h / inner), 1.0)
-            full = np.where(left, 0.0, np.log10(np.minimum(1.0, np.where(c_h > 0, c / inner, 0.0) + alpha * p)))
+            probed = np.flatnonzero(follows & (rare | (c_h > 0)) & (tail | (count > 0)))
+            g, q = np.zeros(len(slot), np.uint64), np.zeros(len(slot), np.int64)
+            asked = before[probed]
+            g[probed] = grams_of(at["h"][asked], at["h"][slot[probed]])
+            if lfbf is not None:
+                part, hot = at["part"][asked], np.flatnonzero(at["hot"][asked])
+                part[hot] = parts_of(g[probed[hot]], g[probed[hot]], m["hot"][:0], m["parts"])[0]
+                q[probed] = lfbf.quantised(part, g[probed])
+            left = tail | rare
+            if lfbf is None:
+                left[probed] = True
+            full = p * np.where(follows, at["alpha"][before], 1.0)
+            some = np.flatnonzero(q)
+            full[some] += np.maximum(BASE ** (q[some] - 1.0) - DISCOUNT, 0.0) / np.maximum(c_h[some], 1) * (c_h[some] > 0)
+            full = np.where(left, 0.0, np.log10(np.minimum(1.0, full)))
             add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
             # -1 stands for what the joins fill in
-            q_open = np.where(probed, -1, 0) if lfbf is None else q
-            opened = (h[before].view(np.int64), h.view(np.int64), g.view(np.int64), q_open, np.where(rare, -1, c_h), np.where(rare, 0.0, m_h), np.where(tail, -1, count))
+            if lfbf is None:
+                q[probed] = -1
+            mass = np.where(follows & ~rare, at["mass"][before], 0.0)
+            opened = (at["h"][before].view(np.int64), at["h"][slot].view(np.int64), g.view(np.int64), q, np.where(rare, -1, c_h), mass, np.where(tail, -1, count))
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[left], minlength=len(n)))]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(full)), *(pa.ListArray.from_arrays(offsets, pa.array(x[left])) for x in opened)],
@@ -276,36 +359,41 @@ def discounted(q: Column) -> Column:
     return F.when(q > 0, F.greatest(F.pow(F.lit(BASE), q - 1) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
 
 
-def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY, filter_bits: int = BROADCAST_BITS) -> DataFrame:
+def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY, filter_bits: int = BROADCAST_BITS, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, text).
 
     At most `most` tokens' counts are broadcast, and with the `vocabulary` most frequent of them
-    what they need as contexts; the others' are joined. Neither bounds what is counted."""
+    what they need as contexts; the others' are joined. None of the bounds changes what is counted."""
     spark = docs.sparkSession
+    parts = max(1, partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary").alias("text"))
     train = rows.where(~F.col("held_out")).select("text")
-    grams = train.mapInArrow(_count_bigrams, "h long, g long, c long").groupBy("h", "g").agg(F.sum("c").alias("c"))
-    grams = Stash(grams.select("h", "g", levels_of(F.col("c")).alias("q")), "bigrams").df
-    masses = grams.groupBy("h").agg(F.sum(discounted(F.col("q"))).alias("m"))
-    counts = Stash(token_counts(train).join(masses, "h", "left").select("h", "c", F.coalesce("m", F.lit(0.0)).alias("m")), "token-totals").df
-    n_all, v_all = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    totals = Stash(token_counts(train), "token-counts")
+    n_all, v_all = totals.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    hot = totals.df.where(F.col("c") * (4 * parts) > n_all).select("h").toArrow().column("h").to_numpy()  # fewer than 4 parts
+    hot = np.sort(hot.view(np.uint64))
+    made = Stash(counted(train, hot, parts, bits_per_entry), "bigram-filter")
+    masses = made.df.select(F.explode(F.arrays_zip("h", "m")).alias("x")).groupBy(F.col("x.h").alias("h")).agg((F.sum("x.m") / F.lit(float(MASS_UNIT))).alias("m"))
+    counts = Stash(totals.df.join(masses, "h", "left").select("h", "c", F.coalesce("m", F.lit(0.0)).alias("m")), "token-totals").df
+    totals.drop()
+    pieces = made.df.where("piece is not null").select("part", "piece")
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0] * 8
+    lfbf = LogFrequencyFilter({r["part"]: bytes(r["piece"]) for r in pieces.toLocalIterator()}, hot, parts) if size <= filter_bits else None
     hashes, count, mass, complete = dictionary(counts, most)
     carried = np.zeros(len(hashes), bool)
     carried[np.lexsort((hashes, -count))[:vocabulary]] = True
     all_carried = complete and bool(carried.all())
-    lfbf = LogFrequencyFilter.build(grams.select("g", "q"), filter_bits)
     total = n_all + 0.1 * (v_all + 1)
-    model = spark.sparkContext.broadcast({"hashes": hashes, "counts": count, "mass": mass, "carried": carried, "complete": complete, "all_carried": all_carried, "total": total, "filter": lfbf})
+    model = spark.sparkContext.broadcast({"hashes": hashes, "counts": count, "mass": mass, "carried": carried, "complete": complete, "all_carried": all_carried, "total": total, "filter": lfbf, "hot": hot, "parts": parts})
     out = rows.mapInArrow(_score(model), _SCORED)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"]
     if all_carried and lfbf is not None:
         return out.select(*columns)
     out = Stash(out.withColumn("rid", F.monotonically_increasing_id()), "scored").df
     left = out.select("rid", F.explode(F.arrays_zip(*[f"open_{k}" for k in OPEN])).alias("t")).select("rid", *[F.col(f"t.open_{k}").alias(k) for k in OPEN])
-    left = left.withColumn("tail", F.col("cw") < 0)
     if lfbf is None:
-        known = grams.select("h", "g", F.col("q").cast("long").alias("q_"))
-        left = _completed(left, F.col("q") < 0, known, ["h", "g"], {"q": F.coalesce("q_", F.lit(0))})
+        left = _met(left, pieces, hot, parts)
+    left = left.withColumn("tail", F.col("cw") < 0)
     zero = F.lit(0)
     left = _completed(left, F.col("ch") < 0, counts.select("h", F.col("c").alias("c_"), F.col("m").alias("m_")), ["h"], {"ch": F.coalesce("c_", zero), "m": F.coalesce("m_", F.lit(0.0))})
     left = _completed(left, F.col("tail"), counts.select(F.col("h").alias("w"), F.col("c").alias("c_")), ["w"], {"cw": F.coalesce("c_", zero)})
@@ -313,12 +401,32 @@ def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY
     seen = F.col("ch") > 0
     inner = F.greatest("ch", F.lit(1))
     full = F.log10(F.least(F.lit(1.0), F.when(seen, discounted(F.col("q")) / inner).otherwise(0.0) + F.when(seen, F.greatest(F.lit(1e-6), 1 - F.col("m") / inner)).otherwise(1.0) * p))
-    more = left.groupBy("rid").agg(F.sum(full).alias("full"), F.sum(F.when(F.col("tail"), F.log10(p)).otherwise(0.0)).alias("base"), F.sum(F.when(F.col("tail") & (F.col("cw") > 0), 1).otherwise(0)).alias("known"))
+    added = lambda x: F.sum(F.round(x * SCORE_UNIT).cast("long")) / F.lit(float(SCORE_UNIT))
+    more = left.groupBy("rid").agg(added(full).alias("full"), added(F.when(F.col("tail"), F.log10(p)).otherwise(0.0)).alias("base"), F.sum(F.when(F.col("tail") & (F.col("cw") > 0), 1).otherwise(0)).alias("known"))
     both = out.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "rid", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
     return both.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), columns[4], plus("base_score", "base"), plus("score", "full"))
 
 
+def _met(left: DataFrame, pieces: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """Positions with the q that the filter's pieces give, in the pieces' parts."""
+    kinds = {c: t for c, t in left.dtypes}
+    homed = left.mapInArrow(_homed(hot, parts, left.columns), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", part int")
+    held = pieces.select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "part", "piece", F.lit(0).alias("kind"))
+    both = homed.withColumns({"piece": F.lit(None).cast("binary"), "kind": F.lit(1)}).unionByName(held)
+    both = both.repartitionById(parts, "part").sortWithinPartitions("kind")
+    return both.mapInArrow(_probed(hot, parts, left.columns), left.schema)
+
+
+def _homed(hot: np.ndarray, parts: int, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, g = (batch.column(columns.index(c)).to_numpy().view(np.uint64) for c in ("h", "g"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts_of(h, g, hot, parts)[0], pa.int32())], names=[*columns, "part"])
+
+    return run
+
+
 def _completed(rows: DataFrame, lacking: Column, known: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """rows, those lacking a value with it from the join; the others keep off the join, as their
     keys may be hot."""

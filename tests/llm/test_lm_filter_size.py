@@ -1,14 +1,25 @@
 """The log-frequency filter keeps its bits an entry at every size."""
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from tessella.llm import lm_scoring
+from tessella.llm import common, lm_scoring
 
 
 def test_log_frequency_filter_has_no_ceiling(spark):
-    few = spark.range(1, 20_000).select(F.xxhash64("id").alias("g"), F.lit(3).alias("q"))
-    f = lm_scoring.LogFrequencyFilter.build(few)
-    assert len(f.bits) * 8 >= 20_000 * 3 * lm_scoring.BITS_PER_ENTRY * 0.99
-    # more entries than 2^28 bits serve: never a thinner filter, but none, and the counts are joined
-    many = spark.range(1, 1000).select(F.xxhash64("id").alias("g"), F.lit(30_000).alias("q"))
-    assert lm_scoring.LogFrequencyFilter.build(many, 1 << 28) is None
+    for n in (1_000, 100_000):
+        g = common.mix64(np.arange(n, dtype=np.uint64))
+        piece = lm_scoring.filled(g, np.full(n, 3))
+        assert len(piece) * 8 >= n * 3 * lm_scoring.BITS_PER_ENTRY
+        f = lm_scoring.LogFrequencyFilter({0: piece}, np.zeros(0, np.uint64), 1)
+        other = common.mix64(np.arange(n, 2 * n, dtype=np.uint64))
+        at = np.zeros(n, np.int64)
+        assert (f.quantised(at, g) >= 3).all() and (f.quantised(at, other) > 0).mean() < 0.02
+
+
+def test_filter_grows_with_the_corpus(spark):
+    size = []
+    for n in (20, 200):
+        rng = np.random.default_rng(n)
+        train = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)).encode(),) for _ in range(n)], "text binary")
+        size.append(sum(len(r["piece"]) for r in lm_scoring.counted(train, np.zeros(0, np.uint64), 4).where("piece is not null").collect()))
+    assert size[1] > 9 * size[0]
