@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SECOND_BASE, Stash, WordHashes, batches_of_bytes, documents, mix64, ngram_hashes, partitions
+from .common import SECOND_BASE, Stash, batches_of_bytes, documents, hashed_words, mix64, ngram_hashes, partitions
 
 WINDOW, DEPTH = 13, 2
 #: Windows that a task holds before it sends them; a sketch of more cells is not broadcast.
@@ -55,11 +55,9 @@ def part_of(w: np.ndarray, parts: int) -> np.ndarray:
     return ((w >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def windows(texts: list[bytes | None], seen: WordHashes, window: int = WINDOW, second: bool = True) -> tuple[np.ndarray, ...]:
+def windows(texts: pa.Array, window: int = WINDOW, second: bool = True) -> tuple[np.ndarray, ...]:
     """(w, v, row, start) of each window of each text: 64 and, if second, 32 more bits of hash."""
-    words = [(t or b"").split() for t in texts]
-    n = np.array([len(x) for x in words], np.int64)
-    h = seen.of([x for own in words for x in own])
+    h, n = hashed_words(texts)
     row = np.repeat(np.arange(len(n)), n)
     if len(h) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), row[:0], row[:0]
@@ -111,7 +109,6 @@ def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _sketch(window: int, sketch: Sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -127,7 +124,7 @@ def _sketch(window: int, sketch: Sketch):
             return _rows([(p, int(b - a), _packed(cell[a:b] - p * step, twice[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
 
         for batch in batches_of_bytes(batches, 0):
-            held.append(windows(batch.column(0).to_pylist(), seen, window, second=False)[0])
+            held.append(windows(batch.column(0), window, second=False)[0])
             if sum(map(len, held)) > FLUSH:
                 yield flush()
         if sum(map(len, held)):
@@ -210,7 +207,6 @@ def later(w: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _candidates(window: int, sketch: Sketch, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> pa.RecordBatch:
@@ -223,13 +219,12 @@ def _candidates(window: int, sketch: Sketch, bits):
             return _rows([(p, int(b - a), pack_windows(w[a:b], v[a:b], doc[a:b], tag[a:b], start[a:b], int(b - a - gone[a:b].sum()))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
 
         for batch in batches_of_bytes(batches, 1):
-            texts = batch.column(1).to_pylist()
-            w, v, row, start = windows(texts, seen, window)
+            w, v, row, start = windows(batch.column(1), window)
             if bits is not None:
                 ok = np.flatnonzero(sketch.repeated(bits.value, w))
                 w, v, row, start = w[ok], v[ok], row[ok], start[ok]
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tag = np.array([text_tag(t or b"") for t in texts], np.int32)
+            tag = np.array([text_tag(t or b"") for t in batch.column(1).to_pylist()], np.int32)
             held.append((w, v, doc[row], tag[row], start))
             if sum(len(x[0]) for x in held) > FLUSH:
                 yield flush()
