@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HotKeys, IdFilter, Scratch, Stash, WordHashes, batches_of_bytes, batches_of_rows, documents, mix64, shingle_set
+from .common import HotKeys, IdFilter, Scratch, Stash, batches_of_bytes, documents, hashed_words, mix64, shingle_set
 from .components import components
 
 POSITIONS, ROWS = 80, 4
@@ -42,6 +42,13 @@ POSITIONS, ROWS = 80, 4
 PER_TASK = 250
 
 
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The set of each text, A-Z lower-cased."""
+    h, n = hashed_words(texts, lower=True)
+    ends = np.cumsum(n).tolist()
+    return [shingle_set(h[a:b], words) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def superminhash(sets: list[np.ndarray], m: int = POSITIONS) -> np.ndarray:
     """len(sets) x m signatures of non-empty sets of 64-bit hashes."""
     n = len(sets)
@@ -88,9 +95,8 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1",
 
 def _sign(words: int, m: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
         for batch in batches_of_bytes(batches, 1, 1 << 20):
-            sets = [shingle_set(seen.of((t or b"").lower().split()), words) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1), words)
             full = [s for s in sets if len(s)]
             own = bands(superminhash(full, m), rows) if full else np.zeros((0, m // rows), np.int64)
             it = iter(own)
@@ -108,10 +114,9 @@ def signed(docs: DataFrame, words: int, m: int = POSITIONS, rows: int = ROWS) ->
 
 def _sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
-        for batch in batches_of_rows(batches, 500):
+        for batch in batches_of_bytes(batches, 1):
             batch = batch.filter(pa.array(wanted.value.maybe(pc.fill_null(batch.column(0), 0).to_numpy())))
-            sets = [shingle_set(seen.of((t or b"").lower().split()), words).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
@@ -121,20 +126,28 @@ _COMPARED = "a long, b long, linked boolean, n_a long, n_b long, diff array<long
 
 
 def _compare(least: int, with_diff: bool):
+    """Rows sorted by (a, salt, kind): the sets of a (kind 0; several if rows share its id), then
+    those of the members b that are compared with it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of_rows(batches, 500):
-            linked, n_a, n_b, diff = [], [], [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                apart = np.setxor1d(u, v, assume_unique=True)
-                both = (len(u) + len(v) - len(apart)) // 2
-                linked.append(100 * both >= least * (len(u) + len(v) - both))
-                n_a.append(len(u))
-                n_b.append(len(v))
-                diff.append(apart.view(np.int64) if with_diff else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(diff, pa.list_(pa.int64()))], names=["a", "b", "linked", "n_a", "n_b", "diff"]
-            )
+        hub: list[np.ndarray] = []
+        at = None
+        for batch in batches_of_bytes(batches, 4, 2 << 20):
+            out: list[tuple] = []
+            for a, salt, kind, b, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if kind == 0:
+                    if at != (a, salt):
+                        hub = []
+                    at = (a, salt)
+                    hub.append(own)
+                    continue
+                for other in hub if at == (a, salt) else ():
+                    apart = np.setxor1d(other, own, assume_unique=True)
+                    both = (len(other) + len(own) - len(apart)) // 2
+                    out.append((a, b, 100 * both >= least * (len(other) + len(own) - both), len(other), len(own), apart.view(np.int64) if with_diff else []))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["a", "b", "linked", "n_a", "n_b", "diff"])
 
     return run
 
@@ -144,16 +157,16 @@ def compared(sets: DataFrame, pairs: DataFrame, least: int, with_diff: bool, scr
     and, with_diff, their symmetric difference.
 
     b's set travels to the pair; a's set, which may serve very many pairs, is copied once per
-    PER_TASK of them, and the pairs are salted alike.
+    PER_TASK of them, and the pairs are salted alike. A task reads a's set once and then its members'.
     """
     hot = HotKeys(pairs, "a", PER_TASK, scratch)
     parts = hot.keys.select("a", F.ceil(F.col("n") / PER_TASK).cast("int").alias("parts"))
     of = lambda df: df.join(F.broadcast(parts) if hot.few else parts, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     salted = of(pairs).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     hubs = of(pairs.select("a").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a"))
-    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("x"))
-    with_b = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = with_b.join(hubs, ["a", "salt"]).select("a", "b", "x", "y")
+    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "shingles")
+    members = salted.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "shingles")
+    both = hubs.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
     return both.mapInArrow(_compare(least, with_diff), _COMPARED)
 
 
