@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import common, components, decontaminate, fingerprints, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, substring_dedup, url_filters
@@ -83,6 +84,46 @@ def test_quality_separates_held_out_documents(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def plain_vectors(texts):
+    """Context vectors token by token, and the buckets of each text."""
+    index = quality.index_vectors()
+    buckets = [[xxhash.xxh3_64_intdigest(t) & quality.BUCKETS - 1 for t in quality.TOKEN.findall(text or "")] for text in texts]
+    total, n = np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
+    for own in buckets:
+        for i, b in enumerate(own):
+            n[b] += 1
+            for j in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if j != i:
+                    total[b] += index[own[j]]
+    total -= n[:, None] * (total.sum(axis=0) / max(1, n.sum()))
+    size = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.divide(total, size, out=np.zeros_like(total), where=size > 0), buckets
+
+
+def test_quality_equals_a_plain_computation(spark, monkeypatch):
+    """Vectors, pooling, network and scores, text by text in plain Python; the contexts in small batches."""
+    monkeypatch.setattr(quality, "HELD", 200)
+    docs, labels = quality_data(spark)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    texts[7] = texts[7] * 300  # a very long one
+    docs = spark.createDataFrame([(i, t, "mine", 1) for i, t in enumerate(texts)], "doc_id long, text string, quality string, x int")
+    vectors, buckets = plain_vectors(texts)
+    assert np.abs(quality.word_vectors(docs.repartition(4)) - vectors).max() < 1e-5
+    rows = []
+    for own in buckets:
+        v = vectors[own] if own else np.zeros((0, quality.DIM))
+        mean = v.mean(axis=0) if own else np.zeros(quality.DIM)
+        rows.append(np.concatenate([mean, v.std(axis=0) if own else mean, np.abs(np.diff(v, axis=0)).sum(axis=0) / max(len(own) - 1, 1)]))
+    features = np.array(rows)
+    learned = [i for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1]
+    known = {r["doc_id"]: r["quality"] for r in labels.where("quality in (0, 1) and doc_id is not null").collect()}
+    x, y = features[learned].astype(np.float32), np.array([float(known[i]) for i in learned])
+    order = np.lexsort((*x[:, :2].T, learned))
+    want = quality.Network(float(y.mean())).fit(x[order].astype(float), y[order]).probability(features)
+    got = by_id(quality.scored(docs, labels))
+    assert max(abs(got[i]["score"] - want[i]) for i in got) < 0.01
+
+
 def test_quality_ignores_held_out_labels(spark):
     docs, labels = quality_data(spark)
     lies = labels.withColumn("quality", F.when(quality.remainder3(F.col("doc_id")) == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -491,6 +532,26 @@ def test_near_duplicates_equal_brute_force(unique_docs, unique_rows, words, leas
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_near_duplicates_with_clashing_columns_and_a_very_long_text(spark):
+    long = " ".join(f"w{k * 7919 % 30_000}" for k in range(30_000))
+    rows = [(1, long), (2, long + " end"), (3, "w1 w2 w3 w4 w5"), (4, None), (5, long.replace("w77 ", "x "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("n_shingles", "s1", "bands", "node", "comp", "kept", "a", "n_id", "n_row")})
+    got = by_id(near_dup.near_duplicates(docs))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1}
+    left = near_dup.distinct_documents(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {1, 3, 4}
+
+
+def test_near_duplicates_with_hot_pivots(spark, unique_docs, unique_rows, monkeypatch):
+    """Whether hot pivots are broadcast, salted or neither, the links are the same."""
+    want = brute_components(unique_rows, 3, 85)
+    for most, keys in ((1, 100_000), (1, 0), (10**6, 100_000)):
+        monkeypatch.setattr(near_dup, "PER_TASK", most)
+        monkeypatch.setattr(common, "BROADCAST_KEYS", keys)
+        got = by_id(near_dup.near_duplicates(unique_docs, 3, 85))
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
 def test_near_copies_without_a_hub(spark):
     """A chain in which only neighbours are linked, and many copies of a base with edits of
     their own, which only the base links."""
