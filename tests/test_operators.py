@@ -358,3 +358,32 @@ def test_slic_over_many_images(spark):
         assert alone == {k: v for k, v in got.items() if k[0] == img}
     sides = {half: {got["a", y, x] for y in range(16) for x in range(16) if (x < 8) == half and got["a", y, x] is not None} for half in (True, False)}
     assert sides[True] and sides[False]
+
+
+def test_jpeg_is_near_the_image(spark, tmp_path):
+    """Read back by Spark's own decoder; nearer with a higher quality, at sizes that are no multiple of 8."""
+    px = fixtures.gradient(spark, 21).where("y < 13")
+    gaps = []
+    for quality in (95, 50, 5):
+        folder = tmp_path / str(quality)
+        folder.mkdir()
+        images.write_images(px, (13, 21), str(folder), 2, "jpeg", quality)
+        back = images.read_images(spark, str(folder)).withColumn("img", F.lit("gradient"))
+        assert back.count() == 26 * 42 and back.where("a <> 255").isEmpty()
+        near = back.join(px.select((F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x"), *[F.col(c).alias(f"w{c}") for c in "rgb"]), ["y", "x"])
+        gaps.append(near.agg(F.avg(sum(F.abs(F.col(c) - F.col(f"w{c}")) for c in "rgb") / 3)).first()[0])
+    assert gaps[0] < 3 and gaps[0] < gaps[1] < gaps[2] < 40
+
+
+def test_images_from_memory_and_shrunk(spark, tmp_path):
+    px = fixtures.busy(spark, 40).where("y < 30")
+    data = {r["img"]: bytes(r["data"]) for r in images.encode(px, (30, 40)).collect()}
+    (name,) = data
+    back = images.read_bytes(spark, data | {"broken": b"no image"})
+    assert back.count() == 1200 and images.differing(px, back).first()["n"] == 0
+    small = images.read_bytes(spark, data, 16)
+    want = geometry.resize_lanczos(px, (30, 40), (12, 16))
+    assert small.count() == 12 * 16 and images.differing(want, small).first()["n"] == 0
+    images.write_png(px, (30, 40), str(tmp_path))
+    assert images.differing(small, images.read_images(spark, str(tmp_path), 16).withColumn("img", F.lit(name))).first()["n"] == 0
+    assert images.read_bytes(spark, {"broken": b""}).count() == 0
