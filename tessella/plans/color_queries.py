@@ -203,6 +203,7 @@ def palette_kmeans(spark, d):
     return palette_frame(spark, colors)
 
 
+# The colormap's polynomial, as in functions.color, nested for SQL.
 TURBO = {
     "r": "0.13572138 + v * (4.61539260 + v * (-42.66032258 + v * (132.13108234 + v * (-152.94239396 + v * 59.28637943))))",
     "g": "0.09140261 + v * (2.19418839 + v * (4.84296658 + v * (-14.18503333 + v * (4.27729857 + v * 2.82956604))))",

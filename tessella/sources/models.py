@@ -7,8 +7,8 @@ import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: SRC06: the registry of the three models the layers come from. Their files are not part of
-#: the repository; without them the placeholders are used.
+# SRC06, fixed values: names, files and sizes of the three models the layers come from. Their files
+# are not part of the repository; without them the placeholders are used.
 REGISTRY = """
 [models.depth_anything]
 name = "Depth-Anything V2 Small"
