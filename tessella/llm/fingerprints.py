@@ -22,41 +22,79 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stash, WordHashes, batches_of_bytes, documents, mix64, ngram_hashes, partitions
+from .common import Stash, batches_of_bytes, documents, hashed_words, mix64, ngram_hashes, partitions
 
 SAMPLES = 128
 #: Terms for which variates are made at a time (few enough for a processor's cache), and up to which a text's are kept.
 BLOCK, KEPT = 128, 1 << 14
+#: Bytes of text whose documents' terms are kept at a time.
+ROWS_BYTES = 1 << 18
 
 #: Sorted terms and their ln a at t = 0.
 Known = tuple[np.ndarray, np.ndarray]
 
 
-def _product(bits: np.ndarray) -> np.ndarray:
-    """The product of two uniforms of 24 bits, from the halves of 64."""
-    u = (bits.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32)
-    u += np.float32(0.5)
-    return u[:, 0::2] * u[:, 1::2] * np.float32(2.0**-48)
+_LN_UNIT = np.float32(48 * np.log(2))
+
+
+class _Room:
+    """Arrays for the variates of BLOCK terms, so that none is allocated in the loop."""
+
+    def __init__(self, samples: int):
+        self.mask = mix64(np.arange(1, samples + 1, dtype=np.uint64) << np.uint64(40))
+        self.x, self.y, self.z = (np.empty((BLOCK, samples), np.uint64) for _ in range(3))
+        self.u = np.empty((BLOCK, 2 * samples), np.float32)
+        self.base, self.r, self.b = (np.empty((BLOCK, samples), np.float32) for _ in range(3))
+
+
+@cache
+def _room(samples: int) -> _Room:
+    return _Room(samples)
+
+
+def _gamma(bits: np.ndarray, u: np.ndarray, out: np.ndarray) -> None:
+    """Gamma(2,1): minus the logarithm of two uniforms of 24 bits, from the halves of 64."""
+    half = bits.view(np.uint32)
+    np.right_shift(half, np.uint32(8), out=half)
+    np.bitwise_or(half, np.uint32(1), out=half)  # never 0
+    u[...] = half.view(np.int32)
+    np.multiply(u[:, 0::2], u[:, 1::2], out=out)
+    np.log(out, out=out)
+    np.subtract(_LN_UNIT, out, out=out)
 
 
 def variates(term: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ln a at t = 0, r, b), each len(term) x samples."""
-    x = mix64(term[:, None] ^ mix64(np.arange(1, samples + 1, dtype=np.uint64) << np.uint64(40)))
-    y = x * np.uint64(0xD6E8FEB86659FD93)
-    y ^= y >> np.uint64(32)
-    y *= np.uint64(0xC2B2AE3D27D4EB4F)
-    r = -np.log(_product(x))
-    ln_c = np.log(-np.log(_product(y)))
-    b = ((x * np.uint64(0x165667B19E3779F9)) >> np.uint64(40)).astype(np.uint32).view(np.int32).astype(np.float32)
-    b += np.float32(0.5)
-    b *= np.float32(2.0**-24)
-    return ln_c + r * b - r, r, b
+    """(ln a at t = 0, r, b) of at most BLOCK terms, each len(term) x samples; valid until the next
+    call."""
+    room, n = _room(samples), len(term)
+    x, y, z, base, r, b, u = (getattr(room, k)[:n] for k in ("x", "y", "z", "base", "r", "b", "u"))
+    np.bitwise_xor(term[:, None], room.mask, out=x)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(x, np.uint64(shift), out=z)
+        np.bitwise_xor(x, z, out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    np.right_shift(x, np.uint64(31), out=z)
+    np.bitwise_xor(x, z, out=x)
+    np.multiply(x, np.uint64(0x165667B19E3779F9), out=z)
+    b[...] = (z.view(np.uint32)[:, 1::2] >> np.uint32(8)).view(np.int32)
+    np.add(b, np.float32(0.5), out=b)
+    np.multiply(b, np.float32(2.0**-24), out=b)
+    np.multiply(x, np.uint64(0xD6E8FEB86659FD93), out=y)
+    np.right_shift(y, np.uint64(32), out=z)
+    np.bitwise_xor(y, z, out=y)
+    np.multiply(y, np.uint64(0xC2B2AE3D27D4EB4F), out=y)
+    _gamma(x, u, r)
+    _gamma(y, u, base)
+    np.log(base, out=base)
+    base += r * (b - np.float32(1))
+    return base, r, b
 
 
 def bases(term: np.ndarray, samples: int, known: tuple[Known, ...]) -> np.ndarray:
@@ -123,33 +161,35 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8").split()
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _hashes(texts: list[str]) -> list[np.ndarray]:
+    """The words' hashes of each text."""
+    h, n = hashed_words(pa.array(texts, pa.large_string()))
+    ends = np.cumsum(n).tolist()
+    return [h[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted within buckets: each document with the one after it; a bucket's last row
     (head) is the first document of the next bucket and only looked at."""
-    seen = WordHashes()
     held = None
-    for batch in batches_of_bytes(batches, 3):
+    for batch in batches_of_bytes(batches, 3, ROWS_BYTES):
+        bucket, head, doc_id, text = (batch.column(k).to_pylist() for k in range(4))
+        rows = [(k, i, t, *drawn(h)) for k, i, t, h in zip(bucket, doc_id, text, _hashes(text), strict=True)]
+        pairs = []
+        for row, is_head in zip(rows, head, strict=True):
+            if held is not None and held[0] == row[0]:
+                pairs.append((held, row, edited(held[2], row[2])))
+            held = None if is_head else row
         out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
-        for bucket, head, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            now = (bucket, doc_id, text, *drawn(seen.of(_words(text))))
-            if held is not None and held[0] == bucket:
-                _, before_id, before, sig, known = held
-                changed = edited(before, text)
-                new = drawn(seen.of(_words(changed)), known=known + now[4])[0]
-                for name, value in zip(
-                    out,
-                    (before_id, len(before), hashlib.sha256(changed.encode("utf-8")).hexdigest(), as_text(sig), as_text(new), likeness(sig, new), likeness(sig, now[3])),
-                    strict=True,
-                ):
-                    out[name].append(value)
-            held = None if head else now
+        for (before, after, changed), h in zip(pairs, _hashes([p[2] for p in pairs]), strict=True):
+            _, before_id, own, sig, known = before
+            new = drawn(h, known=known + after[4])[0]
+            values = (before_id, len(own), hashlib.sha256(changed.encode("utf-8")).hexdigest(), as_text(sig), as_text(new), likeness(sig, new), likeness(sig, after[3]))
+            for to, value in zip(out.values(), values, strict=True):
+                to.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_chars"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("edited_sha256", "fingerprint", "edited_fingerprint")), *(pa.array(out[k], pa.float64()) for k in ("near_edited", "near_next"))], names=list(out))
 
 
