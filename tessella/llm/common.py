@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,19 @@ class Stash:
     """A DataFrame written to the shared folder and read again: lineage ends here, so a lost
     executor costs no recomputation of what came before."""
 
+    #: Those written and not dropped.
+    live: ClassVar[set[Stash]] = set()
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Stash.live.add(self)
 
     def drop(self) -> None:
         """Deletes the files; call it once nothing reads them any more."""
+        Stash.live.discard(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -41,6 +47,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return Stash(df, name).df
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> Stash:
+    """What make returns, written; the tables that were written on the way to it are dropped."""
+    before = set(Stash.live)
+    out = Stash(make(), name)
+    for used in Stash.live - before - {out}:
+        used.drop()
+    return out
+
+
 class Scratch:
     """Written tables that are dropped together."""
 
