@@ -4,7 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 reread as the next one's docs. Between stages only the documents' columns travel.
 
 Edge cases are those of the operators; a document repeated as a row is kept once by the
-near-duplicate stage, and repeated by the mixture as its source's rate says.
+near-duplicate stage, and repeated by the mixture as its source's rate says. Null and empty texts pass
+the near-duplicate and benchmark stages; very long texts are treated whole; columns beside those of the
+stages travel along, but for shard and virtual_slot, which the last stage writes; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, mixing, near_dup, quality, sharding
-from tessella.llm.common import Stash
+from tessella.llm.common import settled
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for k, (_, stage) in enumerate(STAGES):
-        now = Stash(stage(spark, docs, sf_dir), f"stage-{k}")
+        now = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k}")
         if before:
             before.drop()
         before, docs = now, now.df
