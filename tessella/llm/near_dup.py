@@ -39,7 +39,7 @@ from .components import components
 
 POSITIONS, ROWS = 80, 4
 #: Members of one hub that are dealt to one task.
-PER_TASK = 250
+PER_TASK = 64
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
