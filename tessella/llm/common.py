@@ -19,6 +19,10 @@ from ..checkpoint import shared_folder
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CODEC = pa.Codec("zstd")
+#: Where texts are dealt to homes by row: so many homes a shuffle partition, of so many bytes at least
+#: as long as there is one a partition.
+HOMES, HOME_BYTES = 8, 1 << 20
 
 
 class Stash:
@@ -212,6 +216,39 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(h, min(n, len(h))))
 
 
+def pack_sorted(values: np.ndarray, flag: np.ndarray | int = 0) -> bytes:
+    """Rising values below 2^46 as gaps, with a bit each, byte by byte of all, so that what is
+    small in all of them costs nothing."""
+    gaps = np.diff(values.astype(np.int64), prepend=0) * 2 + flag
+    return _CODEC.compress(np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), asbytes=True)
+
+
+def unpack_sorted(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bits) of n values."""
+    planes = np.zeros((n, 8), np.uint8)
+    planes[:, :6] = np.frombuffer(_CODEC.decompress(packed, 6 * n, asbytes=True), np.uint8).reshape(6, n).T
+    gaps = planes.reshape(-1).view("<u8")
+    return np.cumsum(gaps >> np.uint64(1)), (gaps & np.uint64(1)).astype(bool)
+
+
+def array_of(table: pa.Table, name: str) -> pa.Array:
+    """A column of a table as one array."""
+    whole = table.column(name).combine_chunks()
+    return whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def homes_for(texts: DataFrame, parts: int) -> tuple[int, int]:
+    """(homes, bytes) for the column text of `texts`."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(parts, min(HOMES * parts, size // HOME_BYTES)), size
+
+
+def home_of_row(homes: int) -> Column:
+    """A number below `homes` for each row, the same however often the plan is run over the same
+    files; identical rows have different ones."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(homes)).cast("int")
+
+
 def batches_of_rows(batches: Iterator, rows: int) -> Iterator:
     """Arrow record batches cut to at most so many rows, so that memory follows one slice."""
     for b in batches:

@@ -1,25 +1,26 @@
 """Substring dedup: windows of words that also start in an earlier document.
 
-Windows have a 96-bit hash; its high bits name the part, one of as many as there are shuffle
-partitions, that a window belongs to. What is sent to a part is packed: one row per part and
-FLUSH windows, whatever these hold.
+Texts are dealt once to homes, by a number of the row, and are read there three times; what the
+three passes say to each other goes by packed rows. Windows have a 96-bit hash; its high bits name
+the part, one of as many as there are shuffle partitions, that a window belongs to.
 
-Pass 1 counts windows in a count-min sketch of about a cell per byte of text, cut into the parts.
-Each task packs its sketch sparsely; the parts are merged on the executors with counters that
-stop at 2, and only the bit "two or more" of each cell is kept. Up to BROADCAST_CELLS cells the
-bits are broadcast, so that windows estimated unique are never sent; a larger sketch stays where
-it is, and the windows meet it in their part. Both ways have the same windows left.
+Pass 1 counts windows in a count-min sketch of about a cell per byte of text, cut into the parts and
+held there: nothing of it is broadcast or comes to the driver, whatever its size. A home sends a
+part its distinct windows as sorted 32-bit prints, a sparse sketch, of three bytes a window. The
+part merges them with counters that stop at 2 and answers with a bit a window: whether all cells
+of the print count two or more.
 
-Pass 2 groups the windows estimated repeated exactly, by their hash. Each task first resolves
-what it holds itself, and sends of each window only the starts in its least doc_id; so a window
-that a third of all documents hold is a few entries a task. A part answers with the starts that
-go, packed by the documents' part; there they meet the texts, which are shuffled once.
+Pass 2 groups the windows estimated repeated exactly, by their hash. A home first resolves what it
+holds itself, and sends of each window only the starts in its least doc_id; so a window that a
+third of all documents hold is an entry a home. A part answers with the starts that go.
+
+Pass 3 cuts the texts. The three passes are one plan, in which the texts' exchange is reused.
 
 Edge cases: null and empty texts have no words; texts shorter than a window lose nothing; a very
-long text is hashed by itself; of equal windows the least doc_id keeps all its own (ties); a null
+long text is one row of its home; of equal windows the least doc_id keeps all its own (ties); a null
 doc_id comes after all others; rows that share a doc_id never remove each other's words, and
-repeated rows lose the same; only doc_id and text are read, so other columns cannot clash; an
-empty table gives an empty result.
+repeated rows lose the same and are spread over homes; only doc_id and text are read, so other
+columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,15 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SECOND_BASE, Stash, batches_of_bytes, documents, hashed_words, mix64, ngram_hashes, partitions
+from .common import SECOND_BASE, array_of, documents, hashed_words, home_of_row, homes_for, mix64, ngram_hashes, pack_sorted, partitions, unpack_sorted
 
 WINDOW, DEPTH = 13, 2
-#: Windows that a task holds before it sends them; a sketch of more cells is not broadcast.
-FLUSH, BROADCAST_CELLS = 1_500_000, 1 << 30
 _CODEC = pa.Codec("zstd")
 _M32 = np.uint64(0xFFFFFFFF)
 
@@ -50,9 +48,12 @@ def _opened(packed: bytes, size: int) -> bytes:
     return _CODEC.decompress(packed, size, asbytes=True)
 
 
-def part_of(w: np.ndarray, parts: int) -> np.ndarray:
-    """The window's part; it never falls as w rises."""
-    return ((w >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def parts_and_prints(w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The window's part and its 32-bit print there: the whole and the fraction of w * parts / 2^64,
+    so that neither falls as w rises."""
+    n = np.uint64(parts)
+    x = (w >> np.uint64(32)) * n + ((w & _M32) * n >> np.uint64(32))
+    return (x >> np.uint64(32)).astype(np.int64), x & _M32
 
 
 def windows(texts: pa.Array, window: int = WINDOW, second: bool = True) -> tuple[np.ndarray, ...]:
@@ -67,114 +68,76 @@ def windows(texts: pa.Array, window: int = WINDOW, second: bool = True) -> tuple
     return ngram_hashes(h, window)[inside], v, row, inside - (np.cumsum(n) - n)[row]
 
 
-class Sketch:
-    """Measures of a count-min sketch: parts, and cells of each depth in a part."""
-
-    def __init__(self, parts: int, cells: int):
-        self.parts = parts
-        self.width = max(64, -(-cells // (parts * DEPTH * 8)) * 8)
-
-    @property
-    def cells(self) -> int:
-        return self.parts * DEPTH * self.width
-
-    def cells_of(self, w: np.ndarray) -> list[np.ndarray]:
-        """The DEPTH cells of each window, over the whole sketch; each depth has its own."""
-        x, width = mix64(w + np.uint64(1)), np.uint64(self.width)
-        first = part_of(w, self.parts).astype(np.uint64) * np.uint64(DEPTH * self.width)
-        return [first + np.uint64(d * self.width) + (half * width >> np.uint64(32)) for d, half in enumerate((x & _M32, x >> np.uint64(32)))]
+def cells(prints: np.ndarray, width: int) -> list[np.ndarray]:
+    """The DEPTH cells of each print in its part's sketch; each depth has `width` of its own."""
+    x = mix64(prints + np.uint64(1))
+    return [((half * np.uint64(width) >> np.uint64(32)) + np.uint64(d * width)).astype(np.int64) for d, half in enumerate((x & _M32, x >> np.uint64(32)))]
 
-    def repeated(self, bits: np.ndarray, w: np.ndarray, shift: int = 0) -> np.ndarray:
-        """Whether the windows are estimated repeated; bits start at cell `shift`."""
-        ok = np.ones(len(w), bool)
-        for cell in self.cells_of(w):
-            cell = cell.astype(np.int64) - shift
-            ok &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-        return ok
 
+def count(counts: np.ndarray, prints: np.ndarray, twice: np.ndarray) -> None:
+    """Adds one home's prints to a part's sketch, whose counters stop at 2."""
+    for cell in cells(prints, len(counts) // DEPTH):
+        counts[cell] = np.minimum(2, counts[cell] + 1)
+        counts[cell[twice]] = 2
 
-def _packed(cell: np.ndarray, twice: np.ndarray) -> bytes:
-    """Sorted cells of a part as gaps, with a bit for a count of two or more."""
-    gaps = np.diff(cell, prepend=0).astype(np.int64) * 2 + twice
-    kind = next(k for k in (np.uint16, np.uint32, np.uint64) if gaps.max(initial=0) <= np.iinfo(k).max)
-    return bytes([kind().itemsize]) + _squeezed(gaps.astype(kind).tobytes())
 
+def repeated(counts: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Whether the prints' windows are estimated repeated."""
+    return np.logical_and.reduce([counts[cell] > 1 for cell in cells(prints, len(counts) // DEPTH)])
 
-_ROWS = "part int, n int, blob binary"
 
+def _sketch(window: int, parts: int):
+    """Of a home: its distinct windows, packed by part."""
 
-def _rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["part", "n", "blob"])
-
-
-def _sketch(window: int, sketch: Sketch):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            key = np.concatenate([cell * np.uint64(2) + (n > 1) for cell in sketch.cells_of(value)])
-            key.sort()
-            cell = (key >> np.uint64(1)).astype(np.int64)
-            first = np.flatnonzero(np.diff(cell, prepend=-1))
-            twice = (np.diff(first, append=len(cell)) > 1) | (key[first] & np.uint64(1)).astype(bool)
-            cell, step = cell[first], DEPTH * sketch.width
-            bounds = np.searchsorted(cell, np.arange(sketch.parts + 1) * step)
-            return _rows([(p, int(b - a), _packed(cell[a:b] - p * step, twice[a:b])) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
-
-        for batch in batches_of_bytes(batches, 0):
-            held.append(windows(batch.column(0), window, second=False)[0])
-            if sum(map(len, held)) > FLUSH:
-                yield flush()
-        if sum(map(len, held)):
-            yield flush()
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        w, n = np.unique(windows(array_of(table, "text"), window, second=False)[0], return_counts=True)
+        part, prints = parts_and_prints(w, parts)
+        bounds = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(p, int(b - a), pack_sorted(prints[a:b], n[a:b] > 1)) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+        return _table(key[0].as_py(), rows)
 
     return run
 
 
-def _merge(sketch: Sketch):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, n, pack in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                kind = {2: np.uint16, 4: np.uint32, 8: np.uint64}[pack[0]]
-                gaps = np.frombuffer(_opened(pack[1:], n * pack[0]), kind).astype(np.int64)
-                cell = np.cumsum(gaps >> 1)
-                count = counts.setdefault(part, np.zeros(DEPTH * sketch.width, np.uint8))
-                count[cell] = np.minimum(2, count[cell] + 1 + (gaps & 1).astype(np.uint8))
-        for part, count in counts.items():
-            yield _rows([(part, len(count), np.packbits(count > 1).tobytes())])
+_PACKED = "part int, home int, n int, blob binary"
 
-    return run
 
+def _table(home: int, rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([home] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())]
+    return pa.table(columns, names=["part", "home", "n", "blob"])
 
-def merged_sketch(texts: DataFrame, sketch: Sketch, window: int = WINDOW) -> DataFrame:
-    """(part, n, blob): the bits of each part that has any window."""
-    return texts.mapInArrow(_sketch(window, sketch), _ROWS).repartitionById(sketch.parts, "part").mapInArrow(_merge(sketch), _ROWS)
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, int, bytes]]]:
+    """part -> (home, n, blob) of all rows of a task, which has one part or few."""
+    held: dict[int, list[tuple[int, int, bytes]]] = {}
+    for batch in batches:
+        for part, home, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            held.setdefault(part, []).append((home, n, blob))
+    return held
 
-def gathered(rows: DataFrame, sketch: Sketch) -> np.ndarray:
-    """The parts' bits as one array."""
-    out = np.zeros(sketch.cells // 8, np.uint8)
-    size = DEPTH * sketch.width // 8
-    for row in rows.toLocalIterator():  # a row a part
-        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(bytes(row["blob"]), np.uint8)
-    return out
 
+def _merge(width: int):
+    """Of a part: a bit for each window of each home."""
 
-def text_tag(text: bytes) -> int:
-    """Tells rows with one doc_id and different texts apart."""
-    return int(np.uint32(xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF).view(np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _by_part(batches).items():
+            counts = np.zeros(DEPTH * width, np.uint8)
+            for _, n, blob in rows:
+                count(counts, *unpack_sorted(blob, n))
+            for home, n, blob in rows:
+                bits = np.packbits(repeated(counts, unpack_sorted(blob, n)[0])).tobytes()
+                yield from _table(home, [(part, n, bits)]).to_batches()
+
+    return run
 
 
 def _places(doc: np.ndarray, tag: np.ndarray, start: np.ndarray) -> list[bytes]:
-    return [doc.astype(np.int64).tobytes(), tag.astype(np.int32).tobytes(), np.diff(start, prepend=0).astype(np.int32).tobytes()]
+    return [doc.astype(np.int64).tobytes(), tag.astype(np.int64).tobytes(), np.diff(start, prepend=0).astype(np.int32).tobytes()]
 
 
 def _read_places(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start = np.cumsum(np.frombuffer(raw, np.int32, n, 12 * n), dtype=np.int64)
-    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n), start
+    start = np.cumsum(np.frombuffer(raw, np.int32, n, 16 * n), dtype=np.int64)
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), start
 
 
 def pack_windows(w: np.ndarray, v: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: int) -> bytes:
@@ -186,8 +149,8 @@ def pack_windows(w: np.ndarray, v: np.ndarray, doc: np.ndarray, tag: np.ndarray,
 def unpack_windows(blob: bytes) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
     """(w, v, places of these, places that go)"""
     n, gone = np.frombuffer(blob, np.int64, 2).tolist()
-    raw = _opened(blob[16 + 12 * n :], 16 * (n + gone))
-    return np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint32, n, 16 + 8 * n), _read_places(raw[: 16 * n], n), _read_places(raw[16 * n :], gone)
+    raw = _opened(blob[16 + 12 * n :], 20 * (n + gone))
+    return np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint32, n, 16 + 8 * n), _read_places(raw[: 20 * n], n), _read_places(raw[20 * n :], gone)
 
 
 def later(w: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -205,159 +168,85 @@ def later(w: np.ndarray, v: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(window: int, sketch: Sketch, bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            w, v, doc, tag, start = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            part, gone = part_of(w, sketch.parts), later(w, v, doc)
-            order = np.argsort(part * 2 + gone, kind="stable")
-            w, v, doc, tag, start, gone, part = (x[order] for x in (w, v, doc, tag, start, gone, part))
-            bounds = np.searchsorted(part, np.arange(sketch.parts + 1))
-            return _rows([(p, int(b - a), pack_windows(w[a:b], v[a:b], doc[a:b], tag[a:b], start[a:b], int(b - a - gone[a:b].sum()))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
-
-        for batch in batches_of_bytes(batches, 1):
-            w, v, row, start = windows(batch.column(1), window)
-            if bits is not None:
-                ok = np.flatnonzero(sketch.repeated(bits.value, w))
-                w, v, row, start = w[ok], v[ok], row[ok], start[ok]
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tag = np.array([text_tag(t or b"") for t in batch.column(1).to_pylist()], np.int32)
-            held.append((w, v, doc[row], tag[row], start))
-            if sum(len(x[0]) for x in held) > FLUSH:
-                yield flush()
-        if sum(len(x[0]) for x in held):
-            yield flush()
-
-    return run
-
-
-def home_of(doc: np.ndarray, tag: np.ndarray, parts: int) -> np.ndarray:
-    """The part of a document's text."""
-    return part_of(mix64(mix64(doc.astype(np.int64).view(np.uint64)) ^ tag.astype(np.int64).view(np.uint64)), parts)
-
-
-def _resolve(sketch: Sketch):
-    """Rows sorted by part and kind, the part's sketch (0, if it was not broadcast) before its
-    windows (1): per part of the documents the places that go."""
-
-    def answer(part: int, bits: np.ndarray | None, blobs: list[tuple]) -> pa.RecordBatch:
-        w, v = (np.concatenate([b[k] for b in blobs]) for k in range(2))
-        doc, tag, start = (np.concatenate([b[2][k] for b in blobs]) for k in range(3))
-        if bits is not None:
-            ok = np.flatnonzero(sketch.repeated(bits, w, part * DEPTH * sketch.width))
-            w, v, doc, tag, start = (x[ok] for x in (w, v, doc, tag, start))
-        gone = later(w, v, doc)
-        doc, tag, start = (np.concatenate([x[gone], *[b[3][k] for b in blobs]]) for k, x in enumerate((doc, tag, start)))
-        home = home_of(doc, tag, sketch.parts)
-        order = np.lexsort((start, tag, doc, home))
-        doc, tag, start, home = doc[order], tag[order], start[order], home[order]
-        bounds = np.searchsorted(home, np.arange(sketch.parts + 1))
-        return _rows([(p, int(b - a), _squeezed(b"".join(_places(doc[a:b], tag[a:b], start[a:b])))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits, blobs = -1, None, []
-        for batch in batches:
-            for part, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if part != now:
-                    if blobs:
-                        yield answer(now, bits, blobs)
-                    now, bits, blobs = part, None, []
-                if kind == 0:
-                    bits = np.frombuffer(blob, np.uint8)
-                else:
-                    blobs.append(unpack_windows(blob))
-        if blobs:
-            yield answer(now, bits, blobs)
+def _candidates(window: int, parts: int):
+    """Of a home, with the parts' answers: the windows estimated repeated, packed by part."""
+
+    def run(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
+        w, v, row, start = windows(array_of(table, "text"), window)
+        value, back = np.unique(w, return_inverse=True)
+        answers = {p: (n, b) for p, n, b in zip(bits.column("part").to_pylist(), bits.column("n").to_pylist(), bits.column("blob").to_pylist(), strict=True)}
+        ok = [np.unpackbits(np.frombuffer(answers[p][1], np.uint8), count=answers[p][0]).astype(bool) for p in sorted(answers)]
+        ok = np.concatenate([np.zeros(0, bool), *ok])
+        left = np.flatnonzero(ok[back])
+        w, v, row, start = w[left], v[left], row[left], start[left]
+        doc, tag = (array_of(table, c).to_numpy()[row] for c in ("doc", "tag"))
+        part, gone = parts_and_prints(w, parts)[0], later(w, v, doc)
+        order = np.argsort(part * 2 + gone, kind="stable")
+        w, v, doc, tag, start, gone, part = (x[order] for x in (w, v, doc, tag, start, gone, part))
+        bounds = np.searchsorted(part, np.arange(parts + 1))
+        rows = [(p, int(b - a), pack_windows(w[a:b], v[a:b], doc[a:b], tag[a:b], start[a:b], int(b - a - gone[a:b].sum()))) for p, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+        return _table(key[0].as_py(), rows)
 
     return run
 
 
-def removed_places(rows: DataFrame, window: int = WINDOW, broadcast_cells: int = BROADCAST_CELLS) -> tuple[DataFrame, Sketch]:
-    """(part, n, blob): per part of the documents packed (doc, tag, start) of windows of rows
-    (doc, text) that also start in a row with a smaller doc."""
-    spark = rows.sparkSession
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sketch = Sketch(max(1, partitions(spark)), size)
-    merged = Stash(merged_sketch(rows.select("text"), sketch, window), "window-sketch")
-    bits = None
-    if sketch.cells <= broadcast_cells:
-        bits = spark.sparkContext.broadcast(gathered(merged.df, sketch))
-        merged.drop()
-    sent = rows.mapInArrow(_candidates(window, sketch, bits), _ROWS).select("part", F.lit(1).alias("kind"), "blob")
-    if bits is None:
-        sent = sent.unionByName(merged.df.select("part", F.lit(0).alias("kind"), "blob"))
-    met = sent.repartitionById(sketch.parts, "part").sortWithinPartitions("part", "kind")
-    return met.mapInArrow(_resolve(sketch), _ROWS), sketch
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part: the places that go, packed by home."""
+    for part, rows in _by_part(batches).items():
+        blobs = [unpack_windows(blob) for _, _, blob in rows]
+        gone = later(*(np.concatenate([b[k] for b in blobs]) for k in range(2)), np.concatenate([b[2][0] for b in blobs]))
+        ends = np.cumsum([len(b[0]) for b in blobs]).tolist()
+        for (home, _, _), blob, a, b in zip(rows, blobs, [0, *ends], ends, strict=False):
+            doc, tag, start = (np.concatenate([x[gone[a:b]], y]) for x, y in zip(blob[2], blob[3], strict=True))
+            if len(doc):
+                yield from _table(home, [(part, len(doc), _squeezed(b"".join(_places(doc, tag, start))))]).to_batches()
 
 
 def _cut(window: int, digest: bool):
-    """Rows sorted by kind, all that goes (0) before the texts (1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs: list[tuple] = []
-        at: dict[tuple[int, int], tuple[int, int]] | None = None
-        start = np.zeros(0, np.int64)
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            first = int(np.searchsorted(kind, 1))
-            for n, blob in zip(batch.column(1)[:first].to_pylist(), batch.column(5)[:first].to_pylist(), strict=True):
-                packs.append(_read_places(_opened(blob, 16 * n), n))
-            if first == batch.num_rows:
-                continue
-            if at is None:
-                at = {}
-                if packs:
-                    doc, tag, start = (np.concatenate([p[k] for p in packs]) for k in range(3))
-                    packs.clear()
-                    order = np.lexsort((start, tag, doc))
-                    doc, tag, start = doc[order], tag[order], start[order]
-                    head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 0)]))
-                    at = {k: (a, b) for k, a, b in zip(zip(doc[head].tolist(), tag[head].tolist(), strict=True), head.tolist(), [*head[1:].tolist(), len(doc)], strict=True)}
-            for part in batches_of_bytes([batch.slice(first)], 5):
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for doc_id, doc, tag, text in zip(*(part.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                    words = (text or b"").split()
-                    left = words
-                    if (doc, tag) in at:
-                        a, b = at[doc, tag]
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        own = np.unique(start[a:b])
-                        edge[own] += 1
-                        edge[own + window] -= 1
-                        left = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
-                    whole = b" ".join(left)
-                    for to, value in zip(out, (doc_id, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8")), strict=True):
-                        to.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return run
-
-
-def _homed(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tag = np.array([text_tag(t or b"") for t in batch.column(2).to_pylist()], np.int32)
-            doc = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tag), pa.array(home_of(doc, tag, parts), pa.int32())], names=["doc_id", "doc", "text", "tag", "part"])
+    """Of a home, with what goes of it: its texts cut."""
+
+    def run(key: tuple, table: pa.Table, gone: pa.Table) -> pa.Table:
+        at: dict[tuple[int, int], np.ndarray] = {}
+        if gone.num_rows:
+            packs = [_read_places(_opened(blob, 20 * n), n) for n, blob in zip(gone.column("n").to_pylist(), gone.column("blob").to_pylist(), strict=True)]
+            doc, tag, start = (np.concatenate([p[k] for p in packs]) for k in range(3))
+            order = np.lexsort((start, tag, doc))
+            doc, tag, start = doc[order], tag[order], start[order]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(tag) != 0)]))
+            ends = [*head[1:].tolist(), len(doc)]
+            at = {k: np.unique(start[a:b]) for k, a, b in zip(zip(doc[head].tolist(), tag[head].tolist(), strict=True), head.tolist(), ends, strict=True)}
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for doc_id, doc, tag, text in zip(*(table.column(c).to_pylist() for c in ("doc_id", "doc", "tag", "text")), strict=True):
+            words = (text or b"").split()
+            left = words
+            own = at.get((doc, tag))
+            if own is not None:
+                edge = np.zeros(len(words) + 1, np.int64)
+                edge[own] += 1
+                edge[own + window] -= 1
+                left = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist(), strict=True) if not c]
+            whole = b" ".join(left)
+            for to, value in zip(out, (doc_id, len(words), len(words) - len(left), hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8")), strict=True):
+                to.append(value)
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False, broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs (doc_id, text): kept is the words
     left, joined by one space, or with digest its SHA-256."""
+    parts = max(1, partitions(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.col("text").cast("binary").alias("text"))
-    gone, sketch = removed_places(rows.select("doc", "text"), window, broadcast_cells)
-    texts = rows.mapInArrow(_homed(sketch.parts), "doc_id long, doc long, text binary, tag int, part int")
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    met = texts.select(F.lit(1).alias("kind"), none("int", "n"), "doc_id", "doc", "tag", F.col("text").alias("blob"), "part").unionByName(
-        gone.select(F.lit(0).alias("kind"), "n", none("long", "doc_id"), none("long", "doc"), none("int", "tag"), "blob", "part")
-    )
-    met = met.repartitionById(sketch.parts, "part").drop("part").sortWithinPartitions("kind")
-    return met.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
+    homes, size = homes_for(rows, parts)
+    width = max(64, -(-size // (parts * DEPTH)))
+    texts = rows.select(home_of_row(homes).alias("home"), "doc_id", "doc", F.xxhash64("text").alias("tag"), "text").repartition(parts, "home")
+    at_home = texts.groupBy("home")
+    prints = at_home.applyInArrow(_sketch(window, parts), _PACKED)
+    bits = prints.repartitionById(parts, "part").mapInArrow(_merge(width), _PACKED)
+    sent = at_home.cogroup(bits.groupBy("home")).applyInArrow(_candidates(window, parts), _PACKED)
+    gone = sent.repartitionById(parts, "part").mapInArrow(_resolve, _PACKED)
+    return at_home.cogroup(gone.groupBy("home")).applyInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
