@@ -617,11 +617,12 @@ def test_substring_dedup_equals_brute_force(unique_docs, unique_rows):
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == want and sum(w[1] for w in want.values()) > 500
 
 
-@pytest.mark.parametrize("broadcast_cells", [0, 1 << 30])
-def test_substring_dedup_whichever_way_the_sketch_goes(spark, monkeypatch, docs, rows, broadcast_cells):
-    """Rows with repeated ids, null ids and null texts too, in small flushes."""
-    monkeypatch.setattr(substring_dedup, "FLUSH", 300)
-    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(docs, broadcast_cells=broadcast_cells).collect()]
+@pytest.mark.parametrize("homes", [1, 8, 200])
+def test_substring_dedup_whatever_the_homes(spark, monkeypatch, docs, rows, homes):
+    """Rows with repeated ids, null ids and null texts too."""
+    monkeypatch.setattr(common, "HOMES", homes)
+    monkeypatch.setattr(common, "HOME_BYTES", 100)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup(docs).collect()]
     first, words = {}, [(1 << 62 if r[0] is None else r[0], WORD.findall(r[1] or "")) for r in rows]
     for i, w in words:
         for k in range(len(w) - 12):
@@ -639,7 +640,7 @@ def test_substring_dedup_very_long_text_and_hot_passage(spark):
     long = " ".join(f"w{k}" for k in rng.integers(0, 10**6, 20_000))
     passage = " ".join(f"p{k}" for k in range(40))
     texts = [long, "a b " + long] + [f"own{k} " + passage for k in range(60)]
-    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("doc", "part", "kind", "n", "blob", "tag")})
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("doc", "part", "home", "n", "blob", "tag")})
     got = by_id(substring_dedup.dedup(made.repartition(5)))
     assert got[0]["n_removed"] == 0 and got[1]["kept"] == "a b" and got[1]["n_words"] == 20_002
     assert got[2]["n_removed"] == 0 and all(got[k]["kept"] == f"own{k - 2}" for k in range(3, 62))
@@ -649,17 +650,37 @@ def test_substring_dedup_other_rows(docs, rows, empty):
     assert substring_dedup.dedup(docs).count() == len(rows) and substring_dedup.dedup(empty).count() == 0
 
 
-def test_sketch_never_underestimates(unique_docs, unique_rows):
-    """Nor does it let many unique windows through, at a cell a byte."""
-    texts = [r[1] for r in unique_rows]
-    sketch = substring_dedup.Sketch(3, sum(len((t or "").encode()) for t in texts))
-    bits = substring_dedup.gathered(substring_dedup.merged_sketch(unique_docs.select(F.col("text").cast("binary").alias("text")), sketch), sketch)
-    w, v, row, _ = substring_dedup.windows(pa.array([(t or "").encode() for t in texts]))
+def test_sketch_never_underestimates(unique_rows):
+    """Nor does it let many unique windows through, at a cell a byte; each text its own home."""
+    texts = [(r[1] or "").encode() for r in unique_rows]
+    parts, size = 3, sum(map(len, texts))
+    homes = [np.unique(substring_dedup.windows(pa.array([t]))[0], return_counts=True) for t in texts]
+    counts = [np.zeros(substring_dedup.DEPTH * (size // (parts * substring_dedup.DEPTH)), np.uint8) for _ in range(parts)]
+    for w, n in homes:
+        part, prints = substring_dedup.parts_and_prints(w, parts)
+        for p in range(parts):
+            own = prints[part == p]
+            back, twice = common.unpack_sorted(common.pack_sorted(own, n[part == p] > 1), len(own))
+            assert (back == own).all() and (twice == (n[part == p] > 1)).all()
+            substring_dedup.count(counts[p], back, twice)
+    w, v, _, _ = substring_dedup.windows(pa.array(texts))
     value, n = np.unique(w, return_counts=True)
-    assert sketch.repeated(bits, value[n > 1]).all() and (n > 1).any()
-    assert sketch.repeated(bits, value[n == 1]).mean() < 0.2
+    part, prints = substring_dedup.parts_and_prints(value, parts)
+    assert (np.diff(part) >= 0).all() and all((np.diff(prints[part == p].astype(np.int64)) >= 0).all() for p in range(parts))
+    ok = np.zeros(len(value), bool)
+    for p in range(parts):
+        ok[part == p] = substring_dedup.repeated(counts[p], prints[part == p])
+    assert ok[n > 1].all() and (n > 1).any() and ok[n == 1].mean() < 0.2
     assert len({*zip(w.tolist(), v.tolist(), strict=True)}) == len(value)
-    assert len({(t, *x.split()[k : k + 13]) for t, x in [(0, x or "") for x in texts] for k in range(len(x.split()) - 12)}) == len(value)
+    assert len({tuple(x.split()[k : k + 13]) for x in texts for k in range(len(x.split()) - 12)}) == len(value)
+
+
+def test_substring_dedup_shuffles_the_texts_once(docs):
+    """The texts' exchange is made once and reused by the other passes; nothing is broadcast."""
+    df = substring_dedup.dedup(docs)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 2 and plan.count("monotonically_increasing_id()") == 1 and "Broadcast" not in plan
 
 
 # --- 9 language model ------------------------------------------------------------------------
