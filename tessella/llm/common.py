@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import ClassVar
@@ -47,6 +48,13 @@ class Stash:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Asks for a collection of what nothing refers to any more, upon which Spark's cleaner deletes
+    the shuffle files of finished jobs; it changes nothing else."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     return Stash(df, name).df
 

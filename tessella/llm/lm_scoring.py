@@ -13,21 +13,23 @@ the probabilities of a context add up to one but for the filter's false positive
 were never seen, and a document's first token, use p(w).
 
 Bigrams are keyed by the 64-bit hash of the context and a mix of both words' hashes, which for one
-context is a bijection of the second word's. Tasks count what they hold and send it packed, one
+context is a bijection of the second word's; within a part of the filter its upper 40 bits are. Tasks count what they hold and send it packed, one
 row a part, to as many parts as there are shuffle partitions: by context, so that a part sums
 the context's masses, but a context with more than 1 / (4 parts) of all tokens by bigram, so that
 it is spread. Each part counts, quantises and fills its own piece of the filter, of BITS_PER_ENTRY
 an entry whatever their number. No table of bigrams is written.
 
-A filter of at most BROADCAST_BITS is broadcast. A larger one stays in its parts, and the positions
-meet it there. The totals of the DICTIONARY most frequent tokens are broadcast (a bounded table). A
+The filter stays in its parts, whatever its size. Texts are dealt to homes; each asks the parts for its
+distinct bigrams, sorted and packed, and is answered with their quantised counts; the texts' exchange
+is reused when they are scored.
+
+The totals of the DICTIONARY most frequent tokens are broadcast (a bounded table). A
 position with a rarer token, as word or context, is completed by joins with the table of all totals;
 as these tokens are rare, the joins have no hot key.
 
 Masses, and what joins complete, are summed as integers, so that no order of rows changes a score.
 
-Edge cases: a null text is empty and has its end only; a very long text is scored with few others
-at a time; a null doc_id is training data; repeated rows count and are scored each; of tokens
+Edge cases: a null text is empty and has its end only; a very long text is one row of its home; a null doc_id is training data; repeated rows count and are scored each; of tokens
 equally frequent at the dictionary's end all or none are in it, which changes no score (ties);
 without training tokens every count is 0; only doc_id and text are read, so other columns cannot
 clash; an empty table gives an empty result.
@@ -43,17 +45,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, batches_of_bytes, documents, hashed_words, mix64, partitions
+from .common import Stash, array_of, batches_of_bytes, documents, hashed_words, home_of_row, homes_for, mix64, pack_sorted, partitions, tidy, unpack_sorted
 
 DICTIONARY = 1 << 20
 BASE, DISCOUNT = 1.5, 0.75
 BITS_PER_ENTRY, PROBES = 12, 5
-#: A filter of more bits is not broadcast.
-BROADCAST_BITS = 1 << 30
 #: Positions that a task holds before it sends their bigrams; the unit of masses and of joined sums.
 FLUSH, MASS_UNIT, SCORE_UNIT = 1_500_000, 1 << 20, 1 << 40
-#: Bytes of text that are scored at a time.
-SCORED_BYTES = 1 << 20
 #: Stands for a document's end among the hashes of its words.
 END = np.uint64(0x5851F42D4C957F2D)
 _CODEC = pa.Codec("zstd")
@@ -163,7 +161,11 @@ def levels_of(c: np.ndarray) -> np.ndarray:
     return (np.floor(np.log(c.astype(float)) / math.log(BASE) + 1e-9) + 1).astype(np.int64)
 
 
-def _marks(gram: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+#: What the filter keeps of a bigram's key.
+KEPT = np.uint64(24)
+
+
+def _marks(gram: np.ndarray, level: int, words: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(word, bits in it) of (gram, level) in a piece of so many words, 2^32 at most."""
     x = mix64(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
     bits = np.zeros(len(x), np.uint64)
@@ -173,7 +175,7 @@ def _marks(gram: np.ndarray, level: int, words: np.ndarray | np.uint64) -> tuple
 
 
 def filled(gram: np.ndarray, q: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> bytes:
-    """A piece of the filter that holds each gram at the levels 1..q."""
+    """A piece of the filter that holds each gram (its upper bits) at the levels 1..q."""
     piece = np.zeros(max(1, -(-int(q.sum()) * bits_per_entry // 64)), np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
         at, bits = _marks(gram[q >= level], level, np.uint64(len(piece)))
@@ -184,26 +186,19 @@ def filled(gram: np.ndarray, q: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY
 
 
 class LogFrequencyFilter:
-    """Pieces of the filter, by part, and the probes."""
-
-    def __init__(self, pieces: dict[int, bytes], hot: np.ndarray, parts: int):
-        self.hot, self.parts = hot, parts
-        self.size = np.zeros(parts, np.uint64)
-        for p, piece in pieces.items():
-            self.size[p] = len(piece) // 8
-        self.first = (np.cumsum(self.size) - self.size).astype(np.int64)
-        self.words = np.frombuffer(b"".join(pieces[p] for p in sorted(pieces)), np.uint64)
-
-    def quantised(self, part: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """The last level present of each gram of a part, 0 if none is."""
+    """A piece of the filter and its probes."""
+
+    def __init__(self, piece: bytes):
+        self.words = np.frombuffer(piece, np.uint64)
+
+    def quantised(self, grams: np.ndarray) -> np.ndarray:
+        """The last level present of each gram (its upper bits), 0 if none is."""
         out = np.zeros(len(grams), np.int64)
-        size, first = self.size[part], self.first[part]
-        left, level = np.flatnonzero(size), 1
-        size, first, grams = size[left], first[left], grams[left]
+        left, level = np.arange(len(grams)), 1
         while len(left):
-            at, bits = _marks(grams, level, size)
-            here = np.flatnonzero(self.words[first + at] & bits == bits)
-            left, size, first, grams = left[here], size[here], first[here], grams[here]
+            at, bits = _marks(grams, level, np.uint64(len(self.words)))
+            here = np.flatnonzero(self.words[at] & bits == bits)
+            left, grams = left[here], grams[here]
             out[left] = level
             level += 1
         return out
@@ -227,7 +222,7 @@ def _counted(bits_per_entry: int):
             mass = np.round(np.maximum(BASE ** (q[order] - 1.0) - DISCOUNT, 0.0) * MASS_UNIT).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
             contexts, mass = h[order][first].view(np.int64), np.add.reduceat(mass, first)
-            piece = filled(g, q, bits_per_entry)
+            piece = filled(g >> KEPT, q, bits_per_entry)
             for k in range(0, len(contexts), 50_000):
                 some = slice(k, k + 50_000)
                 lists = [pa.array([x[some].tolist()], pa.list_(pa.int64())) for x in (contexts, mass)]
@@ -243,35 +238,8 @@ def counted(train: DataFrame, hot: np.ndarray, parts: int, bits_per_entry: int =
     return sent.mapInArrow(_counted(bits_per_entry), "part int, piece binary, h array<long>, m array<long>")
 
 
-def _probed(hot: np.ndarray, parts: int, columns: list[str]):
-    """Rows sorted by kind, pieces (0) before positions (1): positions with their q."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[int, bytes] = {}
-        own: LogFrequencyFilter | None = None
-        for batch in batches:
-            kind = batch.column(batch.schema.get_field_index("kind")).to_numpy()
-            first = int(np.searchsorted(kind, 1))
-            part, piece = (batch.column(batch.schema.get_field_index(c))[:first].to_pylist() for c in ("part", "piece"))
-            pieces.update(zip(part, piece, strict=True))
-            batch = batch.slice(first)
-            if not batch.num_rows:
-                continue
-            own = own or LogFrequencyFilter(pieces, hot, parts)
-            at = {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
-            q = at["q"].to_numpy()
-            ask = np.flatnonzero(q < 0)
-            q = q.copy()
-            h, g = (at[c].to_numpy()[ask].view(np.uint64) for c in ("h", "g"))
-            q[ask] = own.quantised(parts_of(h, g, hot, parts)[0], g)
-            at["q"] = pa.array(q)
-            yield pa.RecordBatch.from_arrays(list(at.values()), names=list(at))
-
-    return run
-
-
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_h array<long>, open_w array<long>, open_g array<long>, open_q array<long>, open_ch array<long>, open_m array<double>, open_cw array<long>"
-OPEN = ("h", "w", "g", "q", "ch", "m", "cw")
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, open_h array<long>, open_w array<long>, open_q array<long>, open_ch array<long>, open_m array<double>, open_cw array<long>"
+OPEN = ("h", "w", "q", "ch", "m", "cw")
 
 
 def looked_up(m: dict, h: np.ndarray) -> dict[str, np.ndarray]:
@@ -288,54 +256,112 @@ def looked_up(m: dict, h: np.ndarray) -> dict[str, np.ndarray]:
     return {"h": h, "count": count, "mass": mass, "rare": rare, "tail": tail, "p": p, "log": np.log10(p), "alpha": alpha, "hot": np.isin(h, m["hot"]), "part": parts_of(h, h, m["hot"][:0], m["parts"])[0]}
 
 
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        lfbf = m["filter"]
-        for batch in batches_of_bytes(batches, 2, SCORED_BYTES):
-            h, n = tokens(batch.column(2))
-            doc = np.repeat(np.arange(len(n)), n)
-            h, slot = np.unique(h, return_inverse=True)
-            at = looked_up(m, h)
-            count, tail, p = at["count"][slot], at["tail"][slot], at["p"][slot]
-            base = np.where(tail, 0.0, at["log"][slot])
-            # contexts: the token before in the same document
-            before = slot[np.maximum(np.arange(len(slot)) - 1, 0)]
-            follows = np.zeros(len(slot), bool)
-            follows[1:] = doc[1:] == doc[:-1]
-            c_h = np.where(follows, at["count"][before], 0)
-            rare = follows & at["rare"][before]
-            # a bigram of tokens never seen in training needs no probe
-            probed = np.flatnonzero(follows & (rare | (c_h > 0)) & (tail | (count > 0)))
-            g, q = np.zeros(len(slot), np.uint64), np.zeros(len(slot), np.int64)
-            asked = before[probed]
-            g[probed] = grams_of(at["h"][asked], at["h"][slot[probed]])
-            if lfbf is not None:
-                part, hot = at["part"][asked], np.flatnonzero(at["hot"][asked])
-                part[hot] = parts_of(g[probed[hot]], g[probed[hot]], m["hot"][:0], m["parts"])[0]
-                q[probed] = lfbf.quantised(part, g[probed])
-            left = tail | rare
-            if lfbf is None:
-                left[probed] = True
-            full = p * np.where(follows, at["alpha"][before], 1.0)
-            some = np.flatnonzero(q)
-            full[some] += np.maximum(BASE ** (q[some] - 1.0) - DISCOUNT, 0.0) / np.maximum(c_h[some], 1) * (c_h[some] > 0)
-            full = np.where(left, 0.0, np.log10(np.minimum(1.0, full)))
-            add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
-            # -1 stands for what the joins fill in
-            if lfbf is None:
-                q[probed] = -1
-            mass = np.where(follows & ~rare, at["mass"][before], 0.0)
-            opened = (at["h"][before].view(np.int64), at["h"][slot].view(np.int64), g.view(np.int64), q, np.where(rare, -1, c_h), mass, np.where(tail, -1, count))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc[left], minlength=len(n)))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(full)), *(pa.ListArray.from_arrays(offsets, pa.array(x[left])) for x in opened)],
-                names=[c.split()[0] for c in _SCORED.split(", ")],
-            )
+class Positions:
+    """The tokens of texts, with what the model knows of them, and the bigrams to be asked for."""
+
+    def __init__(self, m: dict, texts: pa.Array):
+        h, self.n = tokens(texts)
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        h, self.slot = np.unique(h, return_inverse=True)
+        self.at = at = looked_up(m, h)
+        self.count, self.tail = at["count"][self.slot], at["tail"][self.slot]
+        # contexts: the token before in the same document
+        self.before = self.slot[np.maximum(np.arange(len(self.slot)) - 1, 0)]
+        self.follows = np.zeros(len(self.slot), bool)
+        self.follows[1:] = self.doc[1:] == self.doc[:-1]
+        self.c_h = np.where(self.follows, at["count"][self.before], 0)
+        self.rare = self.follows & at["rare"][self.before]
+        # a bigram of tokens never seen in training needs no probe
+        self.probed = np.flatnonzero(self.follows & (self.rare | (self.c_h > 0)) & (self.tail | (self.count > 0)))
+        asked = self.before[self.probed]
+        g = grams_of(at["h"][asked], at["h"][self.slot[self.probed]])
+        self.part, hot = at["part"][asked], np.flatnonzero(at["hot"][asked])
+        self.part[hot] = parts_of(g[hot], g[hot], m["hot"][:0], m["parts"])[0]
+        self.gram = g >> KEPT
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(parts, grams, index back) of the bigrams asked for, by part and gram."""
+        key = self.part.astype(np.uint64) << np.uint64(40) | self.gram
+        key, back = np.unique(key, return_inverse=True)
+        return (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1), back
+
+    def scored(self, doc_id: pa.Array, held_out: pa.Array, found: np.ndarray) -> pa.RecordBatch:
+        """The rows' scores, given the quantised counts of the bigrams asked for; what joins must
+        complete is left out of the sums and listed."""
+        at, n, follows = self.at, self.n, self.follows
+        q = np.zeros(len(self.slot), np.int64)
+        q[self.probed] = found
+        left = self.tail | self.rare
+        base = np.where(self.tail, 0.0, at["log"][self.slot])
+        full = at["p"][self.slot] * np.where(follows, at["alpha"][self.before], 1.0)
+        some = np.flatnonzero(q)
+        full[some] += np.maximum(BASE ** (q[some] - 1.0) - DISCOUNT, 0.0) / np.maximum(self.c_h[some], 1) * (self.c_h[some] > 0)
+        full = np.where(left, 0.0, np.log10(np.minimum(1.0, full)))
+        add = lambda x: np.bincount(self.doc, weights=x, minlength=len(n))
+        # -1 stands for what the joins fill in
+        mass = np.where(follows & ~self.rare, at["mass"][self.before], 0.0)
+        opened = (at["h"][self.before].view(np.int64), at["h"][self.slot].view(np.int64), q, np.where(self.rare, -1, self.c_h), mass, np.where(self.tail, -1, self.count))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(self.doc[left], minlength=len(n)))]).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [doc_id, held_out, pa.array(n.astype(np.int64)), pa.array(add(self.count > 0).astype(np.int64)), pa.array(add(base)), pa.array(add(full)), *(pa.ListArray.from_arrays(offsets, pa.array(x[left])) for x in opened)],
+            names=[c.split()[0] for c in _SCORED.split(", ")],
+        )
+
+
+_ASKED = "part int, home int, n int, blob binary"
+
+
+def _asked(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["part", "home", "n", "blob"])
+
+
+def _ask(model):
+    """Of a home: its distinct bigrams, packed by part."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, gram, _ = Positions(model.value, array_of(table, "text")).distinct()
+        used, first, n = np.unique(part, return_index=True, return_counts=True)
+        return _asked([(int(p), key[0].as_py(), int(size), pack_sorted(gram[a : a + size])) for p, a, size in zip(used, first, n, strict=True)])
 
     return run
 
 
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part and home, a part's piece (home null) before what is asked of it: the
+    quantised counts, in the order asked."""
+    own: dict[int, LogFrequencyFilter] = {}
+    for batch in batches:
+        for part, home, n, blob in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if home is None:
+                own = {part: LogFrequencyFilter(blob)}
+                continue
+            q = own[part].quantised(unpack_sorted(blob, n)[0]) if part in own else np.zeros(n, np.int64)
+            yield from _asked([(part, home, n, _squeezed(q.astype(np.uint8).tobytes()))]).to_batches()
+
+
+def _score_home(model):
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Positions(model.value, array_of(table, "text"))
+        part, _, back = own.distinct()
+        q = np.zeros(len(part), np.int64)
+        for p, n, blob in zip(*(answers.column(c).to_pylist() for c in ("part", "n", "blob")), strict=True):
+            q[np.searchsorted(part, p) : np.searchsorted(part, p, side="right")] = np.frombuffer(_opened(blob, n), np.uint8)
+        return pa.Table.from_batches([own.scored(array_of(table, "doc_id"), array_of(table, "held_out"), q[back])])
+
+    return run
+
+
+def scored_at_home(rows: DataFrame, model, pieces: DataFrame, parts: int) -> DataFrame:
+    """The rows' scores with the pieces (part, piece) of the filter; the texts are shuffled once."""
+    homed = rows.select(home_of_row(homes_for(rows, parts)[0]).alias("home"), *rows.columns).repartition(parts, "home").groupBy("home")
+    asked = homed.applyInArrow(_ask(model), _ASKED)
+    held = pieces.select("part", F.lit(None).cast("int").alias("home"), F.lit(0).alias("n"), F.col("piece").alias("blob"))
+    met = asked.unionByName(held).repartitionById(parts, "part").sortWithinPartitions("part", F.col("home").asc_nulls_first())
+    answers = met.mapInArrow(_answer, _ASKED)
+    return homed.cogroup(answers.groupBy("home")).applyInArrow(_score_home(model), _SCORED)
+
+
 def dictionary(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """(hashes, counts, masses) of the most frequent tokens, at most `most`, ordered by hash;
     whether they are all. The cut is by classes of counts, a few hundred rows."""
@@ -359,7 +385,7 @@ def discounted(q: Column) -> Column:
     return F.when(q > 0, F.greatest(F.pow(F.lit(BASE), q - 1) - DISCOUNT, F.lit(0.0))).otherwise(0.0)
 
 
-def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY, filter_bits: int = BROADCAST_BITS, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, text).
 
     At most `most` tokens' counts are broadcast, and with the `vocabulary` most frequent of them
@@ -376,23 +402,21 @@ def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY
     masses = made.df.select(F.explode(F.arrays_zip("h", "m")).alias("x")).groupBy(F.col("x.h").alias("h")).agg((F.sum("x.m") / F.lit(float(MASS_UNIT))).alias("m"))
     counts = Stash(totals.df.join(masses, "h", "left").select("h", "c", F.coalesce("m", F.lit(0.0)).alias("m")), "token-totals").df
     totals.drop()
+    tidy(spark)  # the bigrams' shuffle is not needed any more
     pieces = made.df.where("piece is not null").select("part", "piece")
-    size = pieces.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0] * 8
-    lfbf = LogFrequencyFilter({r["part"]: bytes(r["piece"]) for r in pieces.toLocalIterator()}, hot, parts) if size <= filter_bits else None
     hashes, count, mass, complete = dictionary(counts, most)
     carried = np.zeros(len(hashes), bool)
     carried[np.lexsort((hashes, -count))[:vocabulary]] = True
     all_carried = complete and bool(carried.all())
     total = n_all + 0.1 * (v_all + 1)
-    model = spark.sparkContext.broadcast({"hashes": hashes, "counts": count, "mass": mass, "carried": carried, "complete": complete, "all_carried": all_carried, "total": total, "filter": lfbf, "hot": hot, "parts": parts})
-    out = rows.mapInArrow(_score(model), _SCORED)
+    model = spark.sparkContext.broadcast({"hashes": hashes, "counts": count, "mass": mass, "carried": carried, "complete": complete, "all_carried": all_carried, "total": total, "hot": hot, "parts": parts})
+    out = scored_at_home(rows, model, pieces, parts)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score"]
-    if all_carried and lfbf is not None:
+    if all_carried:
         return out.select(*columns)
     out = Stash(out.withColumn("rid", F.monotonically_increasing_id()), "scored").df
+    tidy(spark)  # nor are the texts'
     left = out.select("rid", F.explode(F.arrays_zip(*[f"open_{k}" for k in OPEN])).alias("t")).select("rid", *[F.col(f"t.open_{k}").alias(k) for k in OPEN])
-    if lfbf is None:
-        left = _met(left, pieces, hot, parts)
     left = left.withColumn("tail", F.col("cw") < 0)
     zero = F.lit(0)
     left = _completed(left, F.col("ch") < 0, counts.select("h", F.col("c").alias("c_"), F.col("m").alias("m_")), ["h"], {"ch": F.coalesce("c_", zero), "m": F.coalesce("m_", F.lit(0.0))})
@@ -408,25 +432,6 @@ def scored(docs: DataFrame, most: int = DICTIONARY, vocabulary: int = DICTIONARY
     return both.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), columns[4], plus("base_score", "base"), plus("score", "full"))
 
 
-def _met(left: DataFrame, pieces: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """Positions with the q that the filter's pieces give, in the pieces' parts."""
-    kinds = {c: t for c, t in left.dtypes}
-    homed = left.mapInArrow(_homed(hot, parts, left.columns), ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", part int")
-    held = pieces.select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()], "part", "piece", F.lit(0).alias("kind"))
-    both = homed.withColumns({"piece": F.lit(None).cast("binary"), "kind": F.lit(1)}).unionByName(held)
-    both = both.repartitionById(parts, "part").sortWithinPartitions("kind")
-    return both.mapInArrow(_probed(hot, parts, left.columns), left.schema)
-
-
-def _homed(hot: np.ndarray, parts: int, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, g = (batch.column(columns.index(c)).to_numpy().view(np.uint64) for c in ("h", "g"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts_of(h, g, hot, parts)[0], pa.int32())], names=[*columns, "part"])
-
-    return run
-
-
 def _completed(rows: DataFrame, lacking: Column, known: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """rows, those lacking a value with it from the join; the others keep off the join, as their
     keys may be hot."""
