@@ -705,13 +705,11 @@ def test_lm_base_scores_are_exact(docs, rows, most):
 
 def test_log_frequency_filter_counts_are_never_low(spark):
     g = np.arange(1, 3000, dtype=np.int64)
-    grams, none = (g * 37).view(np.uint64), np.zeros(0, np.uint64)
-    part = lm_scoring.parts_of(grams, grams, none, 3)[0]
-    f = lm_scoring.LogFrequencyFilter({p: lm_scoring.filled(grams[part == p], (g % 9 + 1)[part == p]) for p in range(3)}, none, 3)
-    q = f.quantised(part, grams)
+    grams = (g * 37).view(np.uint64)
+    f = lm_scoring.LogFrequencyFilter(lm_scoring.filled(grams, g % 9 + 1))
+    q = f.quantised(grams)
     assert (q >= g % 9 + 1).all() and (q == g % 9 + 1).mean() > 0.97
-    other = (g * 37 + 1).view(np.uint64)
-    assert (f.quantised(lm_scoring.parts_of(other, other, none, 3)[0], other) == 0).mean() > 0.97
+    assert (f.quantised((g * 37 + 1).view(np.uint64)) == 0).mean() > 0.97
 
 
 def test_lm_empty(empty, spark):
