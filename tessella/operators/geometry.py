@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.color import clamp
 
 PIXEL = ("r", "g", "b", "a")
+#: Pixels of a grid that are made from one row.
+BLOCK = 1 << 16
 
 
 def _grid(rows: DataFrame, out_h: int) -> DataFrame:
@@ -79,23 +81,23 @@ def downsample_nearest(cells: DataFrame, size, out) -> DataFrame:
     return hit.withColumn("y", F.col("oy_")).withColumn("x", F.col("ox_")).drop("oy_", "ox_")
 
 
-def _kernel_weights(at: Column, k: int, size, out, support: float, weight) -> Column:
-    """(o, w) pairs of the outputs whose filter covers input position `at`."""
+def _covered(cells: DataFrame, at: str, k: int, size, out, support: float, weight) -> DataFrame:
+    """The cells, each once for every output `at`_o whose filter covers its position, with the
+    filter's weight `at`_w. Plain columns, as functions over arrays are not compiled."""
     scale = size[k] / out[k]
     wide = max(scale, 1.0)
-    near = F.floor((at + 0.5) / scale).cast("int")
+    near = F.floor((F.col(at) + 0.5) / scale).cast("int")
     reach = math.ceil(support * wide / scale) + 1
     span = F.sequence(F.greatest(near - reach, F.lit(0)), F.least(near + reach, F.lit(out[k] - 1)))
-    pairs = F.transform(span, lambda o: F.struct(o.alias("o"), weight(F.abs((at + 0.5 - (o + 0.5) * scale) / wide)).alias("w")))
-    return F.filter(pairs, lambda p: p["w"] != 0)
+    spread = cells.withColumn(f"{at}_o", F.explode(span))
+    return spread.withColumn(f"{at}_w", weight(F.abs((F.col(at) + 0.5 - (F.col(f"{at}_o") + 0.5) * scale) / wide))).where(F.col(f"{at}_w") != 0)
 
 
 def _filtered(cells: DataFrame, size, out, support: float, weight) -> DataFrame:
     """Separable filter resampling of pixels: sums of w v over sums of w."""
-    ys = cells.withColumn("py_", F.explode(_kernel_weights(F.col("y"), 0, size, out, support, weight)))
-    both = ys.withColumn("px_", F.explode(_kernel_weights(F.col("x"), 1, size, out, support, weight)))
-    w = F.col("py_.w") * F.col("px_.w")
-    sums = both.groupBy("img", F.col("py_.o").alias("y"), F.col("px_.o").alias("x")).agg(*[F.sum(w * F.col(c)).alias(c) for c in PIXEL], F.sum(w).alias("w_"))
+    both = _covered(_covered(cells, "y", 0, size, out, support, weight), "x", 1, size, out, support, weight)
+    w = F.col("y_w") * F.col("x_w")
+    sums = both.groupBy("img", F.col("y_o").alias("y"), F.col("x_o").alias("x")).agg(*[F.sum(w * F.col(c)).alias(c) for c in PIXEL], F.sum(w).alias("w_"))
     return sums.select("img", "y", "x", *[clamp(F.floor(F.col(c) / F.col("w_") + 0.5), 0, 255).cast("int").alias(c) for c in PIXEL])
 
 
@@ -130,9 +132,14 @@ def flip(cells: DataFrame, size, horizontal: bool = False, vertical: bool = Fals
 
 
 def pixel_grid(cells: DataFrame, size) -> DataFrame:
-    """(img, y, x) of every pixel of an image of this size."""
-    rows = cells.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0), F.lit(size[0] - 1))).alias("y"))
-    return rows.select("img", "y", F.explode(F.sequence(F.lit(0), F.lit(size[1] - 1))).alias("x"))
+    """(img, y, x) of every pixel of an image of this size. Blocks of pixels are dealt to tasks
+    and filled there, as an image is one row until then."""
+    n, spark = size[0] * size[1], cells.sparkSession
+    blocks = cells.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // BLOCK).cast("long"))).alias("b"))
+    if n > BLOCK:
+        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = F.sequence(F.col("b") * BLOCK, F.least((F.col("b") + 1) * BLOCK, F.lit(n).cast("long")) - 1)
+    return blocks.select("img", F.explode(at).alias("i")).select("img", F.expr(f"int(i div {size[1]})").alias("y"), (F.col("i") % size[1]).cast("int").alias("x"))
 
 
 def on_clear(cells: DataFrame, size) -> DataFrame:
@@ -164,22 +171,33 @@ def rotated_size(size, degrees: float) -> tuple[int, int]:
 
 def rotate(cells: DataFrame, size, degrees: float, compat: bool = True) -> DataFrame:
     """GEO07: inverse map and bilinear taps, truncated; clear outside. With compat the sine and
-    cosine of the inverse map lose their signs, as those of the size do."""
+    cosine of the inverse map lose their signs, as those of the size do. Each input pixel finds the
+    outputs that tap it, so there is no join."""
     out = rotated_size(size, degrees)
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     if compat:
         c, s = abs(c), abs(s)
-    dx, dy = F.col("x") - out[1] / 2, F.col("y") - out[0] / 2
-    grid = pixel_grid(cells, out).withColumn("sx", dx * c + dy * s + size[1] / 2).withColumn("sy", dx * -s + dy * c + size[0] / 2)
+    u, v = F.col("x") - size[1] / 2, F.col("y") - size[0] / 2
+    reach = abs(c) + abs(s) + 1e-3
+    steps = lambda o: F.explode(F.array(*[F.col(o) + k for k in range(math.floor(2 * reach) + 1)]))
+    first = lambda at, k: F.ceil(at + out[k] / 2 - reach).cast("int")
+    near = cells.select("img", "y", "x", *PIXEL, first(u * s + v * c, 0).alias("oy"), first(u * c - v * s, 1).alias("ox"))
+    near = near.withColumn("oy", steps("oy")).where(F.col("oy").between(0, out[0] - 1))
+    near = near.withColumn("ox", steps("ox")).where(F.col("ox").between(0, out[1] - 1))
+    dx, dy = F.col("ox") - out[1] / 2, F.col("oy") - out[0] / 2
+    near = near.withColumn("sx", dx * c + dy * s + size[1] / 2).withColumn("sy", dx * -s + dy * c + size[0] / 2)
     ok = (F.col("sx") >= 0) & (F.col("sx") < size[1]) & (F.col("sy") >= 0) & (F.col("sy") < size[0])
-    x0, y0 = F.floor("sx").cast("int"), F.floor("sy").cast("int")
-    fx, fy = F.col("sx") - x0, F.col("sy") - y0
-    taps = [(x0, y0, (1 - fx) * (1 - fy)), (F.least(x0 + 1, F.lit(size[1] - 1)), y0, fx * (1 - fy)), (x0, F.least(y0 + 1, F.lit(size[0] - 1)), (1 - fx) * fy), (F.least(x0 + 1, F.lit(size[1] - 1)), F.least(y0 + 1, F.lit(size[0] - 1)), fx * fy)]
-    tapped = grid.where(ok).select("img", "y", "x", F.explode(F.array(*[F.struct(tx.alias("tx"), ty.alias("ty"), w.alias("w")) for tx, ty, w in taps])).alias("t"))
-    source = cells.select("img", F.col("y").alias("ty"), F.col("x").alias("tx"), *PIXEL)
-    hit = tapped.select("img", "y", "x", "t.*").join(source, ["img", "ty", "tx"])
-    mixed = hit.groupBy("img", "y", "x").agg(*[F.floor(F.sum(F.col(c) * F.col("w")) + 5e-7).cast("int").alias(c) for c in PIXEL])
-    return on_clear(mixed, out)
+
+    def share(at: str, source: str, k: int) -> Column:
+        low = F.floor(source)
+        f = F.col(source) - low
+        return F.when(F.col(at) == low, 1 - f).otherwise(0.0) + F.when(F.col(at) == F.least(low + 1, F.lit(size[k] - 1)), f).otherwise(0.0)
+
+    taps = near.where(ok).withColumn("w", share("x", "sx", 1) * share("y", "sy", 0)).where(F.col("w") > 0)
+    taps = taps.select("img", F.col("oy").alias("y"), F.col("ox").alias("x"), *[(F.col(p) * F.col("w")).alias(p) for p in PIXEL])
+    clear = pixel_grid(cells, out).select("img", "y", "x", *[F.lit(0.0).alias(p) for p in PIXEL])
+    sums = taps.unionByName(clear).groupBy("img", "y", "x").agg(*[F.sum(p).alias(p) for p in PIXEL])
+    return sums.select("img", "y", "x", *[F.floor(F.col(p) + 5e-7).cast("int").alias(p) for p in PIXEL])
 
 
 @dataclass(frozen=True)
