@@ -39,6 +39,7 @@ class Stash:
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         Stash.live.add(self)
+        DriverHeap.check(self.spark)
 
     def drop(self) -> None:
         """Deletes the files; call it once nothing reads them any more."""
@@ -55,6 +56,26 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class DriverHeap:
+    """Between the many small jobs of one operator the driver's JVM rather takes more memory than it
+    collects plans, task states and broadcasts that are done with. So where its heap has grown by a
+    SHARE-th of its limit since it was last seen at its least, a collection gives that back."""
+
+    SHARE = 16
+    #: The least heap seen since the last collection, and the application it belongs to.
+    least: ClassVar[tuple[str, int]] = ("", 0)
+
+    @classmethod
+    def check(cls, spark: SparkSession) -> None:
+        app, heap = spark.sparkContext.applicationId, spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        now = heap.totalMemory()
+        seen = cls.least[1] if cls.least[0] == app else now
+        if now - seen > heap.maxMemory() // cls.SHARE:
+            tidy(spark)
+            seen = heap.totalMemory()
+        cls.least = (app, min(seen, now))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     return Stash(df, name).df
 
