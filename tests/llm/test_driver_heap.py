@@ -3,20 +3,19 @@
 from tessella.llm import common
 
 
-def test_a_written_table_gives_back_what_the_driver_heap_took_on(spark):
-    jvm = spark.sparkContext._jvm
+def test_a_written_table_asks_for_a_collection_when_the_driver_heap_grew(spark, monkeypatch):
+    jvm, asked = spark.sparkContext._jvm, []
     heap = jvm.java.lang.Runtime.getRuntime()
-    jvm.System.gc()
-    tables = [common.Stash(spark.range(3).toDF("a"), "before")]
-    least, size = heap.totalMemory(), 32 << 20
-    held = []
-    while heap.totalMemory() - least <= heap.maxMemory() // 8:
+    monkeypatch.setattr(common, "tidy", asked.append)
+    tables, size, held = [common.Stash(spark.range(3).toDF("a"), "before")], 32 << 20, []
+    asked.clear()
+    least = heap.totalMemory()
+    while heap.totalMemory() - least <= heap.maxMemory() // 8:  # held, so that nothing shrinks meanwhile
         held.append(jvm.java.nio.ByteBuffer.allocate(size))
-    grown = heap.totalMemory()
+    tables.append(common.Stash(spark.range(3).toDF("a"), "after"))
     for buffer in held:
         spark.sparkContext._gateway.detach(buffer)
-    tables.append(common.Stash(spark.range(3).toDF("a"), "after"))
-    assert heap.totalMemory() < grown - heap.maxMemory() // 16
+    assert asked == [spark]
     assert sorted(r["a"] for r in tables[1].df.collect()) == [0, 1, 2]
     for t in tables:
         t.drop()
